@@ -76,4 +76,7 @@ from conversations"""),
 
 def with_views(sql: str) -> str:
     ctes = ",\n".join(f"{name} as ({body.strip()})" for name, body in VIEWS)
-    return f"with {ctes}\n{sql.strip()}"
+    body = sql.strip()
+    if body[:5].lower() == "with ":  # merge the query's own CTEs into the list
+        return f"with {ctes},\n{body[5:]}"
+    return f"with {ctes}\n{body}"

@@ -35,7 +35,7 @@ def query(name: str, sql: str | None = None):
     return deco
 
 
-MODULES = ["serving", "ingest"]
+MODULES = ["serving", "ingest", "delivery"]
 
 
 def load_all() -> None:

@@ -61,3 +61,122 @@ def timeline_shape(m):
         format_publish_date(F.col("publish_date")).alias("publishDate"), "summary",
         serve.thumbnail_url(F.col("s3_prefix")).alias("thumbnailPath"),
         F.col("media_name").alias("media"))
+
+
+_LATEST_TEXTS_SQL = """
+texts as (
+  select article_id, lang,
+    max(case when kind = 'summary.txt' then body end) as summary_txt,
+    max(case when kind = 'article.txt' then body end) as translate_article
+  from (select article_id, lang, kind, arg_max(body, seq) as body from artifact_store
+        where body <> '' group by article_id, lang, kind)
+  where kind in ('summary.txt', 'article.txt') group by article_id, lang)
+"""
+
+_DETAIL_SQL = """
+select a.id as article_id, t.lang as lang, a.title as title,
+  strftime(a.publish_date, '%Y-%m-%d %H:%M') as publish_date, a.link_url as link_url,
+  m.name as media, t.title as translate_title, t.summary as summary
+from article a join media m on m.id = a.media_id join article_translation t on t.article_id = a.id
+"""
+
+
+@query("article_deliveries", """
+select ua.user_id, a.id, a.media_id, a.title, a.publish_date
+from article a join user_article ua on ua.article_id = a.id""")
+def q_article_deliveries(m):
+    """JOIN-01: article ⋈ user_article."""
+    return serve.article_deliveries(m.article(), m.user_article()).select(
+        "user_id", "id", "media_id", "title", "publish_date")
+
+
+@query("article_media", """
+select a.id, a.media_id, a.title, m.name as media_name from article a join media m on m.id = a.media_id""")
+def q_article_media(m):
+    """JOIN-02: article ⋈ media (size-checked broadcast of media)."""
+    return serve.article_media(m.article(), m.media()).select("id", "media_id", "title", "media_name")
+
+
+@query("detail_shape", _DETAIL_SQL)
+def q_detail_shape(m):
+    """PRJ-02: detail rows (original and translated title) for every translation."""
+    return serve.detail_shape(serve.detail_rows(m.article(), m.media(), m.article_translation()))
+
+
+@query("article_detail", f"""
+with {_LATEST_TEXTS_SQL.strip()}
+select d.article_id, d.lang, d.title, d.publish_date, d.link_url, d.media, d.translate_title,
+  coalesce(nullif(d.summary, ''), x.summary_txt) as summary, x.translate_article
+from ({_DETAIL_SQL}) d left join texts x on x.article_id = d.article_id and x.lang = d.lang
+where d.article_id = {ARTICLE_ID} and d.lang = '{LANG}'""")
+def q_article_detail(m):
+    """JOIN-05: detail of article 42 in English with its translated text."""
+    arts = m.artifact_store()
+    from ..operators.deliver import latest_artifacts
+    return serve.article_detail(m.article(), m.media(), m.article_translation(), ARTICLE_ID, LANG,
+                                artifacts=latest_artifacts(arts))
+
+
+@query("summary_fallback", f"""
+with {_LATEST_TEXTS_SQL.strip()}
+select d.article_id, d.lang, d.title, d.publish_date, d.link_url, d.media, d.translate_title,
+  coalesce(nullif(d.summary, ''), x.summary_txt) as summary, x.translate_article
+from ({_DETAIL_SQL}) d left join texts x on x.article_id = d.article_id and x.lang = d.lang""")
+def q_summary_fallback(m):
+    """JOIN-06: empty summaries fall back to summary.txt; article.txt attached."""
+    from ..operators.deliver import latest_artifacts
+    rows = serve.detail_shape(serve.detail_rows(m.article(), m.media(), m.article_translation()))
+    return serve.summary_fallback(rows, latest_artifacts(m.artifact_store()))
+
+
+@query("exactly_one_check", f"""
+select article_id, count(*) as n_rows from ({_DETAIL_SQL}) group by article_id having count(*) <> 1""")
+def q_exactly_one_check(m):
+    """AGG-03: detail lookups (language test dropped) that match more than one row."""
+    rows = serve.detail_rows(m.article(), m.media(), m.article_translation())
+    return serve.exactly_one_violations(rows.withColumnRenamed("id", "article_id"))
+
+
+@query("first_match", """
+select media_id, min(id) as id, arg_min(title, id) as title, arg_min(link_url, id) as link_url
+from article group by media_id""")
+def q_first_match(m):
+    """AGG-04: deterministic first row per key (lowest id)."""
+    a = m.article().select("media_id", "id", "title", "link_url")
+    return serve.first_by_id(a, "media_id")
+
+
+@query("article_by_link", """
+select link_url, min(id) as id, arg_min(title, id) as title, arg_min(media_id, id) as media_id
+from article where link_url in (select link_url from article where s3_prefix = '') group by link_url""")
+def q_article_by_link(m):
+    """FLT-04: for every pending link, the first article holding it."""
+    a = m.article()
+    links = a.where(F.col("s3_prefix") == "").select("link_url").distinct()
+    rows = a.join(links, "link_url", "left_semi").select("link_url", "id", "title", "media_id")
+    return serve.first_by_id(rows, "link_url")
+
+
+@query("pending_articles", "select id, link_url from article where s3_prefix = ''")
+def q_pending_articles(m):
+    """FLT-01: articles not crawled yet."""
+    return m.article().where(F.col("s3_prefix") == "").select("id", "link_url")
+
+
+@query("user_deliveries", f"select user_id, article_id from user_article where user_id = {USER}")
+def q_user_deliveries(m):
+    """FLT-02: deliveries of one user."""
+    return m.user_article().where(F.col("user_id") == USER)
+
+
+@query("article_by_id", f"select id, media_id, title, link_url, publish_date from article where id = {ARTICLE_ID}")
+def q_article_by_id(m):
+    """FLT-03: point lookup by id (pushed into the scan)."""
+    return m.article().where(F.col("id") == ARTICLE_ID).select(
+        "id", "media_id", "title", "link_url", "publish_date")
+
+
+@query("latest_articles", "select id, publish_date, title from article")
+def q_latest_articles(m):
+    """SRT-01: newest first, id desc breaks ties (compared order-insensitively)."""
+    return serve.latest_articles(m.article()).select("id", "publish_date", "title")
