@@ -35,7 +35,7 @@ def query(name: str, sql: str | None = None):
     return deco
 
 
-MODULES = ["serving", "ingest", "delivery", "extraction", "jobs"]
+MODULES = ["serving", "ingest", "delivery", "extraction", "jobs", "enrichment"]
 
 
 def load_all() -> None:
