@@ -35,7 +35,7 @@ def query(name: str, sql: str | None = None):
     return deco
 
 
-MODULES = ["serving", "ingest", "delivery", "extraction", "jobs", "enrichment", "scalars", "checks", "sinks"]
+MODULES = ["serving", "ingest", "delivery", "extraction", "jobs", "enrichment", "scalars", "checks", "sinks", "streams"]
 
 
 def load_all() -> None:
