@@ -105,7 +105,13 @@ def extract_articles(pages: DataFrame, rules: DataFrame | None = None,
     """
     out = merge_tiers(tier_values(pages.where(F.col("html").isNotNull()), rules))
     out = out.withColumn("incomplete", incomplete(out))
-    return out if keep_empty else out.where(F.length("content") > 0)
+    if keep_empty:
+        return out
+    # Catalyst would push ``length(content) > 0`` below the projection and run
+    # the content regexes twice per page; filtering the output of a one-row
+    # ``inline`` keeps the predicate on the computed column.
+    fenced = out.select(F.inline(F.array(F.struct(*out.columns))))
+    return fenced.where(F.length("content") > 0)
 
 
 def extraction_quality(extracted: DataFrame) -> DataFrame:
