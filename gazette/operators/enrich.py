@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import image_link_eligible, lang_display, text_trim, title_clean
+from .skew import skew_safe_join
 
 # Prompt wording (our own), slots {lang} and {text}; the
 # assistant turn is always last.
@@ -99,7 +100,10 @@ def requests(dispatched: DataFrame, texts: DataFrame, use_large: bool = False) -
     article has no stored text get no request (they fail and are retried).
     """
     tj = dispatched.where(F.col("job_type").isin(*TEXT_JOBS))
-    j = tj.join(texts.select("article_id", "text"), "article_id", "left")
+    # many jobs of one article (retries, languages) split over tasks; the
+    # article's text is replicated to the slices of a hot article only
+    j = skew_safe_join(tj, texts.select("article_id", "text"), ["article_id"], ["event_id"],
+                       how="left")
     src = F.when(F.col("input_source") == "title", F.col("title")).otherwise(F.col("text"))
     req = None
     for k in TEXT_JOBS:

@@ -3,12 +3,17 @@
 * ``sized_broadcast`` hints a broadcast only after a bounded row count proved
   the side small; otherwise the frame is returned unchanged and the planner
   (AQE with measured shuffle sizes) picks a shuffle join.
-* ``skew_safe_join`` is an inner equi-join whose hot keys are split.  Per-key
-  row counts of both sides (a small aggregate, map-side combined) decide how
-  many slices each side of a key is cut into; each row of one side goes to one
-  slice by a hash of its own id columns, and is replicated to the slices of the
-  other side.  A key holding a third of all rows is then spread over many tasks
-  instead of one.  Cold keys get one slice and are joined as usual.
+* ``skew_safe_join`` is an equi-join whose hot keys are split.  Per-key row
+  counts (a partial aggregate, combined map-side) find the keys holding more
+  than ``rows_per_slice`` rows on a side; only those keys are listed, so the
+  list is bounded by ``total rows / rows_per_slice``.  A hot key's rows on the
+  split side go to one of its slices by a hash of their own id columns, and
+  the other side's rows of that key are replicated to every slice.  For inner
+  joins both sides can be split (a grid of slices, for keys hot on both
+  sides); for left/semi/anti joins only the left side is split and the right
+  side is reduced to what the join needs first (distinct keys for semi/anti).
+  Cold keys get one slice and join as usual.  Results are identical to the
+  plain join; a key holding a third of all rows is spread over many tasks.
 """
 
 from __future__ import annotations
@@ -18,15 +23,16 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-DEFAULT_BROADCAST_ROWS = 200_000
+DEFAULT_BROADCAST_ROWS = 100_000
 # Target rows of one side of one key inside a single join task.
 DEFAULT_ROWS_PER_SLICE = 50_000
 DEFAULT_MAX_SLICES = 256
-DEFAULT_MAX_STAT_KEYS = 1_000_000
+DEFAULT_MAX_HOT_KEYS = 100_000
 
 
 def bounded_count(df: DataFrame, limit: int) -> int:
-    """Number of rows, counting no further than ``limit + 1``."""
+    """Number of rows, counting no further than ``limit + 1`` (only a
+    constant column of at most ``limit + 1`` rows reaches the driver)."""
     return len(df.select(F.lit(1).alias("_one")).limit(limit + 1).collect())
 
 
@@ -42,37 +48,60 @@ def _slices(n, rows_per_slice: int, max_slices: int):
                    F.lit(max_slices)).cast("int")
 
 
+def _hot_stats(left: DataFrame, right: DataFrame | None, keys: list[str], rows_per_slice: int,
+               max_slices: int, max_hot_keys: int) -> DataFrame | None:
+    """Broadcastable ``(keys, _sl, _sr)`` for hot keys, or None when there are
+    none or too many to ship (then the hash partitioning already spreads the
+    work and AQE's skew-join split handles what is left)."""
+    lc = left.groupBy(*keys).agg(F.count(F.lit(1)).alias("_nl"))
+    if right is not None:
+        rc = right.groupBy(*keys).agg(F.count(F.lit(1)).alias("_nr"))
+        counts = lc.join(rc, keys)
+    else:
+        counts = lc.withColumn("_nr", F.lit(0))
+    hot = counts.where((F.col("_nl") > rows_per_slice) | (F.col("_nr") > rows_per_slice)).select(
+        *keys, _slices(F.col("_nl"), rows_per_slice, max_slices).alias("_sl"),
+        _slices(F.col("_nr"), rows_per_slice, max_slices).alias("_sr"))
+    # Written once to the shared checkpoint folder: computed a single time and
+    # survives executor loss.
+    hot = hot.checkpoint(eager=True)
+    n = bounded_count(hot, max_hot_keys)
+    if n == 0 or n > max_hot_keys:
+        return None
+    return F.broadcast(hot)
+
+
 def skew_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str],
-                   left_ids: Sequence[str], right_ids: Sequence[str],
+                   left_ids: Sequence[str], right_ids: Sequence[str] | None = None,
+                   how: str = "inner",
                    rows_per_slice: int = DEFAULT_ROWS_PER_SLICE,
                    max_slices: int = DEFAULT_MAX_SLICES,
-                   max_stat_keys: int = DEFAULT_MAX_STAT_KEYS) -> DataFrame:
-    """Inner equi-join on ``keys`` with hot keys split over several tasks.
+                   max_hot_keys: int = DEFAULT_MAX_HOT_KEYS) -> DataFrame:
+    """Equi-join on ``keys`` with hot keys split over several tasks.
 
-    ``left_ids``/``right_ids`` are columns that spread a side's rows within a
-    key (a row id); they only choose the slice and never change the result.
+    ``how`` is ``inner``, ``left``, ``left_semi`` or ``left_anti``.
+    ``left_ids``/``right_ids`` spread a side's rows within a key (a row id);
+    they only choose the slice and never change the result.  For an inner
+    join with ``right_ids`` both sides may be split.
     """
     keys = list(keys)
-    lc = left.groupBy(*keys).agg(F.count(F.lit(1)).alias("_nl"))
-    rc = right.groupBy(*keys).agg(F.count(F.lit(1)).alias("_nr"))
-    stats = lc.join(rc, keys).select(
-        *keys, _slices(F.col("_nl"), rows_per_slice, max_slices).alias("_sl"),
-        _slices(F.col("_nr"), rows_per_slice, max_slices).alias("_sr"))
-    # One row per distinct key present on both sides; written once to the
-    # shared checkpoint folder so it is computed a single time and survives
-    # executor loss.
-    stats = stats.checkpoint(eager=True)
-    if bounded_count(stats, max_stat_keys) > max_stat_keys:
-        # Too many distinct keys to ship everywhere: with that many keys the
-        # hash partitioning already spreads the work; AQE splits what is left.
-        return left.join(right, keys)
-    stats_b = F.broadcast(stats)
-    lhs = (left.join(stats_b, keys)
-           .withColumn("_a", F.pmod(F.xxhash64(*left_ids), F.col("_sl")).cast("int"))
-           .withColumn("_b", F.explode(F.sequence(F.lit(0), F.col("_sr") - 1)))
+    if how in ("left_semi", "left_anti"):
+        right = right.select(*keys).distinct()
+    grid = how == "inner" and right_ids is not None
+    stats = _hot_stats(left, right if grid else None, keys, rows_per_slice, max_slices,
+                       max_hot_keys)
+    if stats is None:
+        return left.join(right, keys, how)
+    one = F.lit(1)
+    sl = F.coalesce(F.col("_sl"), one)
+    sr = F.coalesce(F.col("_sr"), one) if grid else one
+    lhs = (left.join(stats, keys, "left")
+           .withColumn("_a", F.pmod(F.xxhash64(*left_ids), sl).cast("int"))
+           .withColumn("_b", F.explode(F.sequence(F.lit(0), sr - 1)))
            .drop("_sl", "_sr"))
-    rhs = (right.join(stats_b, keys)
-           .withColumn("_b", F.pmod(F.xxhash64(*right_ids), F.col("_sr")).cast("int"))
-           .withColumn("_a", F.explode(F.sequence(F.lit(0), F.col("_sl") - 1)))
+    rb = F.pmod(F.xxhash64(*right_ids), sr).cast("int") if grid else F.lit(0)
+    rhs = (right.join(stats, keys, "left")
+           .withColumn("_b", rb)
+           .withColumn("_a", F.explode(F.sequence(F.lit(0), sl - 1)))
            .drop("_sl", "_sr"))
-    return lhs.join(rhs, keys + ["_a", "_b"]).drop("_a", "_b")
+    return lhs.join(rhs, keys + ["_a", "_b"], how).drop("_a", "_b")
