@@ -15,8 +15,10 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import image_link_eligible, lang_display, text_trim, title_clean
+from .fence import where_computed
 from .skew import skew_safe_join
 
 # Prompt wording (our own), slots {lang} and {text}; the
@@ -128,15 +130,27 @@ ModelFn = Callable[[pd.DataFrame], pd.DataFrame]
 
 
 def call_model(reqs: DataFrame, model_fn: ModelFn = echo_model) -> DataFrame:
-    """Apply ``model_fn`` to request batches: ``(event_id, request)`` ->
-    ``(event_id, status, body)``.  Runs in the executors' Python workers."""
+    """Apply ``model_fn`` to request batches inside the executors' Python workers.
+
+    ``model_fn`` sees ``(event_id, request)`` and returns ``(event_id, status,
+    body)``; every other column of ``reqs`` is carried through the same batch,
+    so answers never need a join back to their requests (the request pipeline
+    runs once).
+    """
+    carry = [c for c in reqs.columns if c != "request"]
+    fields = [f for f in reqs.schema.fields if f.name in carry]
+    out_schema = T.StructType(fields + [T.StructField("status", T.IntegerType()),
+                                        T.StructField("body", T.StringType())])
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            out = model_fn(b[["event_id", "request"]])
-            yield out[["event_id", "status", "body"]].astype({"status": "int32"})
+            ans = model_fn(b[["event_id", "request"]]).set_index("event_id")
+            out = b[carry].copy()
+            out["status"] = ans["status"].reindex(b["event_id"]).to_numpy().astype("int32")
+            out["body"] = ans["body"].reindex(b["event_id"]).to_numpy()
+            yield out
 
-    return reqs.select("event_id", "request").mapInPandas(
-        run, "event_id long, status int, body string")
+    return reqs.mapInPandas(run, out_schema)
 
 
 def completion_parse(status: Column, body: Column) -> Column:
@@ -145,15 +159,14 @@ def completion_parse(status: Column, body: Column) -> Column:
     return F.when(status == 200, F.coalesce(text_trim(content), F.lit(""))).otherwise(F.lit(""))
 
 
-def results(reqs: DataFrame, responses: DataFrame) -> DataFrame:
+def results(answered: DataFrame) -> DataFrame:
     """Artifact rows ``(event_id, article_id, lang, kind, key, body)``; title
     answers lose ``,.;``.  Empty answers are kept with body '' (failures)."""
-    j = reqs.drop("request").join(responses, "event_id")
     text = completion_parse(F.col("status"), F.col("body"))
     text = F.when(F.col("post_clean"), title_clean(text)).otherwise(text)
-    return j.select("event_id", "article_id", F.col("target_lang").alias("lang"),
-                    F.col("result_kind").alias("kind"), F.col("result_key").alias("key"),
-                    text.alias("body"))
+    return answered.select("event_id", "article_id", F.col("target_lang").alias("lang"),
+                           F.col("result_kind").alias("kind"), F.col("result_key").alias("key"),
+                           text.alias("body"))
 
 
 def enrich_batch(jobs: DataFrame, texts: DataFrame, model_fn: ModelFn = echo_model,
@@ -165,8 +178,8 @@ def enrich_batch(jobs: DataFrame, texts: DataFrame, model_fn: ModelFn = echo_mod
     """
     dispatched, _rejects = job_dispatch(jobs)
     reqs = requests(dispatched, texts, use_large)
-    res = results(reqs, call_model(reqs, model_fn))
-    good = res.where(F.col("body") != "")
+    res = results(call_model(reqs, model_fn))
+    good = where_computed(res, F.col("body") != "")
     failed = failed_jobs(dispatched, good)
     return good, failed
 

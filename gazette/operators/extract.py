@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions import field_priority, parse_feed_date, url_host  # noqa: F401
 from ..functions.dates import sentinel
+from .fence import where_computed
 from .skew import sized_broadcast
 
 FIELDS = ("title", "content", "author", "image_link", "publish_date")
@@ -107,11 +108,8 @@ def extract_articles(pages: DataFrame, rules: DataFrame | None = None,
     out = out.withColumn("incomplete", incomplete(out))
     if keep_empty:
         return out
-    # Catalyst would push ``length(content) > 0`` below the projection and run
-    # the content regexes twice per page; filtering the output of a one-row
-    # ``inline`` keeps the predicate on the computed column.
-    fenced = out.select(F.inline(F.array(F.struct(*out.columns))))
-    return fenced.where(F.length("content") > 0)
+    # keeps the predicate on the computed content (no second regex pass)
+    return where_computed(out, F.length("content") > 0)
 
 
 def extraction_quality(extracted: DataFrame) -> DataFrame:

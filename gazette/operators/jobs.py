@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..schemas import JOB_MESSAGE
+from .fence import where_computed
 
 # Job types, the order they are sent in, and message defaults.
 JOB_ORDER = ("summarize_title", "summarize_article", "translate_article")
@@ -25,7 +26,7 @@ def job_fanout(crawled: DataFrame, target_lang: str = DEFAULT_TARGET_LANG) -> Da
     One ``explode`` over a per-row array replaces the per-type unions; ``seq``
     keeps the send order.
     """
-    base = crawled.where(F.length("content") > 0)
+    base = where_computed(crawled, F.length("content") > 0)
     types = F.array(*[F.lit(t) for t in JOB_ORDER])
     types = F.when(F.col("image_link") != "", F.concat(types, F.array(F.lit(IMAGE_JOB)))).otherwise(types)
     return base.select(

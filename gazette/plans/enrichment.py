@@ -4,10 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.text import LANG_NAMES
+from ..functions.text import LANG_NAMES, WHITESPACE_CODES
 from ..operators import enrich, jobs
+from ..operators.fence import where_computed
 from .registry import query
 
+_WS_SQL = " || ".join(f"chr({c})" for c in WHITESPACE_CODES)
+
+
+def _trim_sql(x):
+    return f"trim({x}, {_WS_SQL})"
+
+
 _LANG_CASE = ("case target_lang " + " ".join(f"when '{k}' then '{v}'" for k, v in LANG_NAMES.items())
               + " else target_lang end")
 
@@ -63,8 +71,8 @@ where src is not null
 
 _RESULTS_SQL = f"""
 select event_id, article_id, target_lang as lang, result_kind as kind, result_key as key,
-  case when post_clean then translate(regexp_replace(user_msg, '^\\s+|\\s+$', '', 'g'), ',.;', '')
-       else regexp_replace(user_msg, '^\\s+|\\s+$', '', 'g') end as body
+  case when post_clean then translate({_trim_sql('user_msg')}, ',.;', '')
+       else {_trim_sql('user_msg')} end as body
 from ({_REQ_SQL})
 """
 
@@ -164,9 +172,9 @@ def q_prompt_translate_title(m):
         F.col("q.messages")[2]["content"].alias("assistant_msg"))
 
 
-_COMPLETION_SQL = """
+_COMPLETION_SQL = f"""
 select conv_id, turn, status,
-  case when status = 200 then regexp_replace(text, '^\\s+|\\s+$', '', 'g') else '' end as reply
+  case when status = 200 then {_trim_sql('text')} else '' end as reply
 from completion
 """
 
@@ -188,7 +196,7 @@ def q_completion_parse(m):
 @query("non_empty_result", f"select conv_id, turn, reply from ({_COMPLETION_SQL}) where reply <> ''")
 def q_non_empty_result(m):
     """FLT-08: only non-empty answers count as success."""
-    return _completions(m).where(F.col("reply") != "").select("conv_id", "turn", "reply")
+    return where_computed(_completions(m), F.col("reply") != "").select("conv_id", "turn", "reply")
 
 
 @query("enrich_batch", _RESULTS_SQL)

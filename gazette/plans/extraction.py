@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import url_authority, url_host, url_path_lower
 from ..operators import extract
+from ..operators.fence import where_computed
 from ..operators.serve import first_by_id
 from .registry import query
 
@@ -105,13 +106,13 @@ def q_field_priority(m):
 @query("incomplete_extracts", f"select page_id, url from ({_FLAGGED_SQL}) where incomplete")
 def q_incomplete_extracts(m):
     """FLT-06: extracts with any of content/author/date/image missing."""
-    return _all(m).where(F.col("incomplete")).select("page_id", "url")
+    return where_computed(_all(m), F.col("incomplete")).select("page_id", "url")
 
 
 @query("non_empty_content", f"select page_id, content from ({_MERGED_SQL}) where length(content) > 0")
 def q_non_empty_content(m):
     """FLT-07: only pages with content proceed to write and jobs."""
-    return _all(m).where(F.length("content") > 0).select("page_id", "content")
+    return where_computed(_all(m), F.length("content") > 0).select("page_id", "content")
 
 
 @query("extraction_quality", f"""

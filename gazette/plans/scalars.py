@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import (format_publish_date, image_link_eligible, lang_display, s3_prefix_build,
                          text_trim, title_clean, title_key)
-from ..functions.text import LANG_NAMES
+from ..functions.text import LANG_NAMES, WHITESPACE_CODES
 from ..operators.serve import DEFAULT_THUMBNAIL_BASE, thumbnail_url
 from .registry import query
 
@@ -69,7 +69,7 @@ def q_lang_display(m):
     return m.users().select("id", "lang", lang_display(F.col("lang")).alias("lang_name"))
 
 
-@query("text_trim", "select conv_id, turn, regexp_replace(text, '^\\s+|\\s+$', '', 'g') as text from conversations")
+@query("text_trim", f"select conv_id, turn, trim(text, {' || '.join(f'chr({c})' for c in WHITESPACE_CODES)}) as text from conversations")
 def q_text_trim(m):
     """SC-11: strip surrounding whitespace of model answers."""
     return m.t.conversations.select("conv_id", "turn", text_trim(F.col("text")).alias("text"))
