@@ -61,12 +61,16 @@ def insert_new_articles(items: DataFrame, media: DataFrame, article: DataFrame,
     """(rows to append, rejects) for one ingest run.
 
     ``dedup=True`` also collapses a link that appears in several feeds of the
-    same batch (the reference inserts it once per feed).
+    same batch (by default it is inserted once per feed); the item of the
+    lowest feed url is kept, so the choice is repeatable.
     """
     valid = F.col("link").isNotNull() & F.col("title").isNotNull()
     bad = items.where(~valid)
     fresh = new_links(items.where(valid), article)
     if dedup:
-        fresh = fresh.dropDuplicates(["link"])
+        others = [c for c in fresh.columns if c != "link"]
+        firsts = fresh.groupBy("link").agg(
+            F.min_by(F.struct(*others), F.struct("feed_url", "title")).alias("_r"))
+        fresh = firsts.select("link", *[F.col(f"_r.{c}").alias(c) for c in others])
     matched, unknown = feed_to_media(fresh, media)
     return article_defaults(matched), bad.unionByName(unknown, allowMissingColumns=True)

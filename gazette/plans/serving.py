@@ -26,21 +26,21 @@ limit 10 offset {{offset}}
 @query("timeline_page", _CARD_SQL.format(lang=f"and t.lang = '{LANG}'", user=USER, offset=0))
 def timeline_page(m):
     """JOIN-03: page 0 of user 8's timeline in English."""
-    return serve.timeline_page(m.article(), m.user_article(), m.media(), m.article_translation(),
+    return serve.timeline_page(m.article(), m.user_article(USER), m.media(), m.article_translation(),
                                user_id=USER, page=PAGE, lang=LANG)
 
 
 @query("timeline_page_all_langs", _CARD_SQL.format(lang="", user=USER, offset=0))
 def timeline_page_all_langs(m):
     """JOIN-04: the same page with the language test dropped (every translation)."""
-    return serve.timeline_page(m.article(), m.user_article(), m.media(), m.article_translation(),
+    return serve.timeline_page(m.article(), m.user_article(USER), m.media(), m.article_translation(),
                                user_id=USER, page=PAGE, lang=None)
 
 
 @query("timeline_paging", _CARD_SQL.format(lang=f"and t.lang = '{LANG}'", user=USER, offset=10))
 def timeline_paging(m):
     """LIM-01: page 1 (OFFSET 10 LIMIT 10) of the same timeline."""
-    return serve.timeline_page(m.article(), m.user_article(), m.media(), m.article_translation(),
+    return serve.timeline_page(m.article(), m.user_article(USER), m.media(), m.article_translation(),
                                user_id=USER, page=1, lang=LANG)
 
 
@@ -166,7 +166,7 @@ def q_pending_articles(m):
 @query("user_deliveries", f"select user_id, article_id from user_article where user_id = {USER}")
 def q_user_deliveries(m):
     """FLT-02: deliveries of one user."""
-    return m.user_article().where(F.col("user_id") == USER)
+    return m.user_article(USER).where(F.col("user_id") == USER)
 
 
 @query("article_by_id", f"select id, media_id, title, link_url, publish_date from article where id = {ARTICLE_ID}")

@@ -150,6 +150,11 @@ class Model:
         from ..operators.deliver import completeness_gate
         return completeness_gate(self.artifact())
 
-    def user_article(self) -> DataFrame:
+    def user_article(self, user_id: int | None = None) -> DataFrame:
+        """Deliveries; with ``user_id`` only that user's (the subscription side
+        is filtered before the fan-out, so nothing else is joined)."""
         from ..operators.deliver import subscription_fanout
-        return subscription_fanout(self.ready(), self.article(), self.user_media())
+        um = self.user_media()
+        if user_id is not None:
+            um = um.where(F.col("user_id") == user_id)
+        return subscription_fanout(self.ready(), self.article(), um)

@@ -42,3 +42,17 @@ def test_feed_stream_twice(spark):
     n1 = spark.read.parquet(p["article"]).count()
     worker.run_feed_ingest(spark, src, m.media(), stored(m), out, os.path.join(tmp, "c2"))
     assert spark.read.parquet(p["article"]).count() == n1 > 0
+
+
+def test_feed_stream_watermark_dedup(spark):
+    m = Model(spark, SF001)
+    from gazette.plans.ingest import feed_items, stored
+    tmp = scratch_path(spark, "test-feed-wm")
+    src = os.path.join(tmp, "items")
+    items = feed_items(m)
+    items.unionByName(items).repartition(3).write.parquet(src)      # every link twice
+    p = worker.run_feed_ingest(spark, src, m.media(), stored(m), os.path.join(tmp, "out"),
+                               os.path.join(tmp, "c"), dedup_watermark="3650 days")
+    got = spark.read.parquet(p["article"])
+    assert got.count() == got.select("link_url").distinct().count() == \
+        m.article().where("s3_prefix = ''").count()
