@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .skew import skew_safe_join
+from .skew import sized_broadcast, skew_safe_join
 
 # Artifact names the gate requires.
 REQUIRED_KINDS = ("title.txt", "summary.txt", "article.txt")
@@ -39,7 +39,8 @@ def _ready_with_media(ready: DataFrame, article: DataFrame) -> DataFrame:
 
 def subscription_fanout(ready: DataFrame, article: DataFrame, user_media: DataFrame,
                         existing: DataFrame | None = None, all_langs: bool = False,
-                        by_media: DataFrame | None = None) -> DataFrame:
+                        by_media: DataFrame | None = None,
+                        few_subscribers: bool = False) -> DataFrame:
     """New (user_id, article_id) deliveries for complete articles.
 
     Strict (default): a subscriber receives an article once it is complete in
@@ -51,6 +52,10 @@ def subscription_fanout(ready: DataFrame, article: DataFrame, user_media: DataFr
     ``by_media`` optionally replaces the article's own media id (e.g. the
     host-based media of ``host_to_media``).  ``existing`` is the delivery
     table already written; its keys are anti-joined away.
+
+    ``few_subscribers=True`` (e.g. one user's timeline) broadcasts the
+    subscription side after a size check instead of splitting hot keys: the
+    articles then stream through in parallel whatever media they belong to.
     """
     subs = user_media.select("user_id", "media_id", "lang")
     if all_langs:
@@ -62,7 +67,10 @@ def subscription_fanout(ready: DataFrame, article: DataFrame, user_media: DataFr
         keys = ["media_id", "lang"]
     if by_media is not None:
         items = items.drop("media_id").join(by_media.select("article_id", "media_id"), "article_id")
-    out = skew_safe_join(subs, items, keys, left_ids=["user_id"], right_ids=["article_id"])
+    if few_subscribers:
+        out = sized_broadcast(subs).join(items, keys)
+    else:
+        out = skew_safe_join(subs, items, keys, left_ids=["user_id"], right_ids=["article_id"])
     out = out.select("user_id", "article_id")
     if existing is not None:
         out = out.join(existing.select("user_id", "article_id"), ["user_id", "article_id"],

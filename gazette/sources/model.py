@@ -155,6 +155,7 @@ class Model:
         is filtered before the fan-out, so nothing else is joined)."""
         from ..operators.deliver import subscription_fanout
         um = self.user_media()
-        if user_id is not None:
-            um = um.where(F.col("user_id") == user_id)
-        return subscription_fanout(self.ready(), self.article(), um)
+        if user_id is None:
+            return subscription_fanout(self.ready(), self.article(), um)
+        return subscription_fanout(self.ready(), self.article(),
+                                   um.where(F.col("user_id") == user_id), few_subscribers=True)
