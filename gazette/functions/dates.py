@@ -14,8 +14,12 @@ DISPLAY_FORMAT = "yyyy-MM-dd HH:mm"
 # not match), 1-2 digit day, month abbreviation, year, time, then a numeric
 # offset or Z.  Named zones such as GMT do not parse.  The offset is dropped:
 # the stored value is the wall-clock part.
+# The offset is Z or +/-HH[:]MM with optional seconds and fraction, colons
+# used consistently, hours below 24.
+FEED_OFFSET_RE = (r"(?:Z|[+-](?:[01]\d|2[0-3])"
+                  r"(?::[0-5]\d(?::[0-5]\d(?:\.\d{1,6})?)?|[0-5]\d(?:[0-5]\d(?:\.\d{1,6})?)?))")
 FEED_DATE_RE = (r"^(?i:mon|tue|wed|thu|fri|sat|sun),\s+(\d{1,2})\s+([A-Za-z]{3})\s+(\d{4})\s+"
-                r"(\d{1,2}:\d{1,2}:\d{1,2})\s+(?:Z|[+-]\d\d:?[0-5]\d)$")
+                r"(\d{1,2}:\d{1,2}:\d{1,2})\s+" + FEED_OFFSET_RE + r"$")
 FEED_DATE_FORMAT = "d MMM yyyy H:m:s"
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.text import LANG_NAMES, WHITESPACE_CODES
 from ..operators import enrich, jobs
 from ..operators.fence import where_computed
+from .jobs import _MESSAGES_SQL
 from .registry import query
 
 _WS_SQL = " || ".join(f"chr({c})" for c in WHITESPACE_CODES)
@@ -26,23 +27,13 @@ def _dispatch_case(i):
         for k, v in enrich.DISPATCH.items()) + " end")
 
 
-_JOBS_SQL = """
-select event_id, cast(json_extract_string(body, '$.media_id') as bigint) as media_id,
-  cast(json_extract_string(body, '$.article_id') as bigint) as article_id,
-  json_extract_string(body, '$.title') as title, json_extract_string(body, '$.s3_prefix') as s3_prefix,
-  coalesce(json_extract_string(body, '$.job_type'), 'summarize_article') as job_type,
-  coalesce(json_extract_string(body, '$.image_link'), '') as image_link,
-  coalesce(json_extract_string(body, '$.target_lang'), 'zh-CN') as target_lang
-from job_message where json_valid(body)
-"""
-
 _DISPATCH_SQL = f"""
 select *, {_dispatch_case(0)} as input_source,
   case when {_dispatch_case(1)} = 'display' then {_LANG_CASE} else target_lang end as prompt_lang,
   {_dispatch_case(2)} as result_kind, {_dispatch_case(3)} as post_clean,
   case when {_dispatch_case(2)} = 'thumbnail.webp' then s3_prefix || '/' || {_dispatch_case(2)}
        else s3_prefix || '/lang=' || target_lang || '/' || {_dispatch_case(2)} end as result_key
-from ({_JOBS_SQL}) where job_type in ({", ".join(repr(k) for k in enrich.DISPATCH)})
+from ({_MESSAGES_SQL}) where job_type in ({", ".join(repr(k) for k in enrich.DISPATCH)})
 """
 
 _TEXTS_SQL = """

@@ -12,6 +12,16 @@ from ..sources import feeds, sinks
 from .extraction import _MERGED_SQL
 from .registry import query
 
+_MESSAGES_SQL = """
+select event_id, cast(json_extract_string(body, '$.media_id') as bigint) as media_id,
+  cast(json_extract_string(body, '$.article_id') as bigint) as article_id,
+  json_extract_string(body, '$.title') as title, json_extract_string(body, '$.s3_prefix') as s3_prefix,
+  coalesce(json_extract_string(body, '$.job_type'), 'summarize_article') as job_type,
+  coalesce(json_extract_string(body, '$.image_link'), '') as image_link,
+  coalesce(json_extract_string(body, '$.target_lang'), 'zh-CN') as target_lang
+from job_message where json_valid(body)
+"""
+
 RUN_TS = dt.datetime(2024, 2, 1, 0, 0, 0)
 RUN_TS_SQL = "timestamp '2024-02-01 00:00:00'"
 
@@ -109,14 +119,7 @@ def q_job_queue_rows(m):
     return jobs.job_queue_rows(jobs.job_fanout(crawled(m)))
 
 
-@query("job_messages", """
-select event_id, cast(json_extract_string(body, '$.media_id') as bigint) as media_id,
-  cast(json_extract_string(body, '$.article_id') as bigint) as article_id,
-  json_extract_string(body, '$.title') as title, json_extract_string(body, '$.s3_prefix') as s3_prefix,
-  coalesce(json_extract_string(body, '$.job_type'), 'summarize_article') as job_type,
-  coalesce(json_extract_string(body, '$.image_link'), '') as image_link,
-  coalesce(json_extract_string(body, '$.target_lang'), 'zh-CN') as target_lang
-from job_message where json_valid(body)""")
+@query("job_messages", f"select * from ({_MESSAGES_SQL})")
 def q_job_messages(m):
     """SRC-05: message body -> typed job; missing fields take their defaults."""
     js, _ = jobs.parse_job_messages(m.job_message().select("event_id", "body"))
