@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import field_priority, parse_feed_date, url_host  # noqa: F401
+from ..functions import field_priority, parse_feed_date, url_host
 from ..functions.dates import sentinel
 from .fence import where_computed
 from .skew import sized_broadcast
