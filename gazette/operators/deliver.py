@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .skew import sized_broadcast, skew_safe_join
+from .skew import DEFAULT_ROWS_PER_SLICE, sized_broadcast, skew_safe_join
 
 # Artifact names the gate requires.
 REQUIRED_KINDS = ("title.txt", "summary.txt", "article.txt")
@@ -40,7 +40,8 @@ def _ready_with_media(ready: DataFrame, article: DataFrame) -> DataFrame:
 def subscription_fanout(ready: DataFrame, article: DataFrame, user_media: DataFrame,
                         existing: DataFrame | None = None, all_langs: bool = False,
                         by_media: DataFrame | None = None,
-                        few_subscribers: bool = False) -> DataFrame:
+                        few_subscribers: bool = False,
+                        rows_per_slice: int = DEFAULT_ROWS_PER_SLICE) -> DataFrame:
     """New (user_id, article_id) deliveries for complete articles.
 
     Strict (default): a subscriber receives an article once it is complete in
@@ -70,7 +71,8 @@ def subscription_fanout(ready: DataFrame, article: DataFrame, user_media: DataFr
     if few_subscribers:
         out = sized_broadcast(subs).join(items, keys)
     else:
-        out = skew_safe_join(subs, items, keys, left_ids=["user_id"], right_ids=["article_id"])
+        out = skew_safe_join(subs, items, keys, left_ids=["user_id"], right_ids=["article_id"],
+                             rows_per_slice=rows_per_slice)
     out = out.select("user_id", "article_id")
     if existing is not None:
         out = out.join(existing.select("user_id", "article_id"), ["user_id", "article_id"],
