@@ -152,9 +152,11 @@ from article where link_url in (select link_url from article where s3_prefix = '
 def q_article_by_link(m):
     """FLT-04: for every pending link, the first article holding it."""
     a = m.article()
-    links = a.where(F.col("s3_prefix") == "").select("link_url").distinct()
-    rows = a.join(links, "link_url", "left_semi").select("link_url", "id", "title", "media_id")
-    return serve.first_by_id(rows, "link_url")
+    links = a.where(F.col("s3_prefix") == "").select("link_url")
+    # first row per link (partial aggregate: a link shared by many rows is
+    # reduced map-side), then keep the pending links
+    first = serve.first_by_id(a.select("link_url", "id", "title", "media_id"), "link_url")
+    return first.join(links, "link_url", "left_semi")
 
 
 @query("pending_articles", "select id, link_url from article where s3_prefix = ''")

@@ -231,3 +231,16 @@ def test_fanout_split_on_model_tables(spark):
         plain = subs.join(items, keys).select("user_id", "article_id")
         assert split.exceptAll(plain).count() == 0 and plain.exceptAll(split).count() == 0
         assert split.count() == plain.count() > 0
+
+
+def test_fanout_by_host_media(spark):
+    """The host-based media (first media of the link's host) can replace the
+    article's own media for delivery."""
+    ready = spark.createDataFrame([(10, "en")], "article_id long, lang string")
+    article = spark.createDataFrame([(10, 5)], "id long, media_id long")
+    um = spark.createDataFrame([(1, 5, "en"), (2, 6, "en")], "user_id long, media_id long, lang string")
+    by_host = spark.createDataFrame([(10, 6)], "article_id long, media_id long")
+    own = deliver.subscription_fanout(ready, article, um)
+    host = deliver.subscription_fanout(ready, article, um, by_media=by_host)
+    assert [tuple(r) for r in own.collect()] == [(1, 10)]
+    assert [tuple(r) for r in host.collect()] == [(2, 10)]
