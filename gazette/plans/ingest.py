@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import parse_feed_date
 from ..operators import ingest
 from ..sources import feeds
+from ..session import scratch_path
 from .registry import query
 
 _ITEMS_SQL = """
@@ -108,3 +109,12 @@ def q_insert_new_articles(m):
     """SNK-01: rows appended for unseen links."""
     rows, _rejects = ingest.insert_new_articles(feed_items(m), m.media(), stored(m))
     return rows
+
+
+@query("feed_files", f"select link, title, pub_date, feed_url from ({_ITEMS_SQL})")
+def q_feed_files(m):
+    """SRC-01 (files): feed XML files read with the XML data source, rowTag=item."""
+    docs = feeds.render_feed_documents(feeds.feed_items_from_articles(m.article(), m.media()))
+    path = scratch_path(m.spark, "feeds")
+    manifest = feeds.write_feed_files(docs, path)
+    return feeds.read_feed_files(m.spark, path, manifest).drop("pub_text")

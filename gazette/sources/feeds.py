@@ -66,3 +66,30 @@ def feed_items_from_articles(article: DataFrame, media: DataFrame) -> DataFrame:
     return article.join(m, "media_id").select(
         "feed_url", F.col("id").alias("seq"), "title", F.col("link_url").alias("link"),
         feed_date_text(F.col("publish_date"), F.col("id") % 10 == 9).alias("pubDate"))
+
+
+def write_feed_files(docs: DataFrame, path: str) -> DataFrame:
+    """Write each feed document as its own XML file under ``path/doc=<n>/``;
+    returns the manifest ``(feed_url, doc_dir)`` for reading them back."""
+    numbered = docs.withColumn("doc", F.concat_ws("-", F.xxhash64("feed_url").cast("string"),
+                                                  F.col("doc_no").cast("string")))
+    numbered.select("doc", "body").repartition("doc").write.mode("overwrite") \
+        .partitionBy("doc").text(path)
+    return numbered.select("feed_url", "doc")
+
+
+def read_feed_files(spark, path: str, manifest: DataFrame) -> DataFrame:
+    """Feed items from XML files with Spark's XML source (``rowTag=item``).
+
+    Every file is parsed in parallel; the feed of an item comes from its
+    file's folder, mapped to the feed url by the (per-document, small)
+    manifest.  Items come out like ``parse_feed_documents``' items.
+    """
+    from ..schemas import FEED_ITEM
+
+    raw = (spark.read.format("xml").option("rowTag", "item").option("ignoreSurroundingSpaces", "false")
+           .schema(FEED_ITEM).load(path)
+           .select("*", F.regexp_extract(F.col("_metadata.file_path"), r"/doc=([^/]+)/", 1).alias("doc")))
+    items = raw.join(manifest, "doc")
+    return items.select("link", "title", parse_feed_date(F.col("pubDate")).alias("pub_date"),
+                        F.col("pubDate").alias("pub_text"), "feed_url")
