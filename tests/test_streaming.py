@@ -56,3 +56,37 @@ def test_feed_stream_watermark_dedup(spark):
     got = spark.read.parquet(p["article"])
     assert got.count() == got.select("link_url").distinct().count() == \
         m.article().where("s3_prefix = ''").count()
+
+
+def test_worker_redelivers_failed_jobs(spark):
+    """A model that fails some requests: those jobs land in the retry table,
+    are re-queued, and succeed on the next run; nothing is written twice."""
+    import pandas as pd
+    from pyspark.sql import functions as F
+
+    from gazette.operators import enrich
+    from gazette.plans.enrichment import stored_texts
+
+    m = Model(spark, SF001)
+    tmp = scratch_path(spark, "test-worker")
+    src = os.path.join(tmp, "messages")
+    msgs = m.job_message()
+    msgs.repartitionByRange(3, "event_id").write.parquet(src)
+    out = os.path.join(tmp, "out")
+
+    def flaky(batch):
+        ok = enrich.echo_model(batch)
+        ok.loc[batch["event_id"] % 2 == 0, "status"] = 500
+        return ok
+
+    p = worker.run_worker(spark, src, stored_texts(m), out, os.path.join(tmp, "c"), flaky)
+    n_failed = worker.pending_retries(spark, p).count()
+    assert n_failed > 0
+    assert worker.requeue_failed(spark, p, src) == n_failed
+    worker.run_worker(spark, src, stored_texts(m), out, os.path.join(tmp, "c"), enrich.echo_model)
+    # what still fails now is only what can never succeed (no stored text)
+    good, failed = enrich.enrich_batch(
+        __import__("gazette.plans.enrichment", fromlist=["parsed_jobs"]).parsed_jobs(m), stored_texts(m))
+    arts = spark.read.parquet(p["artifacts"])
+    assert arts.count() == arts.select("event_id").distinct().count() == good.count()
+    assert worker.pending_retries(spark, p).count() == failed.count()
