@@ -90,3 +90,20 @@ def test_worker_redelivers_failed_jobs(spark):
     arts = spark.read.parquet(p["artifacts"])
     assert arts.count() == arts.select("event_id").distinct().count() == good.count()
     assert worker.pending_retries(spark, p).count() == failed.count()
+
+
+def test_stateful_gate_keeps_less_state(spark):
+    """The custom-state gate gives the same pairs and holds state only for
+    pairs not (or no longer) complete; the aggregate keeps every pair."""
+    m = Model(spark, SF001)
+    tmp = scratch_path(spark, "test-gate-state")
+    src = _src(m, tmp)
+    rows = {}
+    states = {}
+    for mode in ("aggregate", "pandas"):
+        out, chk = os.path.join(tmp, mode, "out"), os.path.join(tmp, mode, "chk")
+        p = worker.run_gate_fanout(spark, src, m.article(), m.user_media(), out, chk, state=mode)
+        rows[mode] = sorted(map(tuple, spark.read.parquet(p["ready"]).collect()))
+        states[mode] = spark.read.format("statestore").load(chk).count()
+    assert rows["aggregate"] == rows["pandas"] == sorted(map(tuple, m.ready().collect()))
+    assert states["pandas"] < states["aggregate"]
