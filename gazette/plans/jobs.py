@@ -10,6 +10,7 @@ from ..functions import parse_feed_date
 from ..operators import crawl, jobs
 from ..sources import feeds, sinks
 from .extraction import _MERGED_SQL
+from ..session import scratch_path
 from .registry import query
 
 _MESSAGES_SQL = """
@@ -131,3 +132,21 @@ def q_job_rejects(m):
     """SRC-05 reject path: bodies that do not parse."""
     _, rej = jobs.parse_job_messages(m.job_message().select("event_id", "body"))
     return rej
+
+
+@query("article_fixup_merge", f"""
+select a.id, a.media_id, a.title, coalesce(f.author, a.author) as author, a.link_url,
+  coalesce(f.s3_prefix, a.s3_prefix) as s3_prefix, coalesce(f.image_link, a.image_link) as image_link,
+  case when f.id is null then a.publish_date else f.publish_date end as publish_date,
+  case when f.id is null then cast(null as timestamp) else {RUN_TS_SQL} end as updated_at
+from article a left join ({_FIXED_SQL}) f on f.id = a.id""")
+def q_article_fixup_merge(m):
+    """SNK-05 + CON-06 as a table write: fixed-up rows merged into the article
+    table by id (new snapshot), updated_at stamped where a row changed."""
+    fixed = crawl.audit_columns(crawled(m), RUN_TS)
+    base = m.article().withColumn("updated_at", F.lit(None).cast("timestamp_ntz"))
+    merged = sinks.merge_by_key(base, fixed, ["id"],
+                                ["author", "image_link", "publish_date", "s3_prefix", "updated_at"])
+    path = scratch_path(m.spark, "article_snapshot")
+    merged.write.mode("overwrite").parquet(path)
+    return m.spark.read.parquet(path)

@@ -78,3 +78,19 @@ def rebuild_tables(spark: SparkSession, root: str, frames: dict[str, DataFrame]
             df = spark.createDataFrame([], schema)
         paths[name] = write_table(df, name, f"{root}/{name}")
     return paths
+
+
+def merge_by_key(base: DataFrame, updates: DataFrame, key: list[str],
+                 columns: list[str]) -> DataFrame:
+    """``base`` with ``columns`` replaced by ``updates`` where the key matches
+    (an UPDATE ... FROM for plain parquet tables); other rows pass unchanged.
+
+    One shuffle join on the key; the result is written as a new snapshot of
+    the table (never over the files it is read from).
+    """
+    u = updates.select(*key, *[F.col(c).alias(f"_u_{c}") for c in columns],
+                       F.lit(True).alias("_u_hit"))
+    j = base.join(u, key, "left")
+    out = [F.when(F.col("_u_hit"), F.col(f"_u_{c}")).otherwise(F.col(c)).alias(c)
+           if c in columns else F.col(c) for c in base.columns]
+    return j.select(*out)
