@@ -244,3 +244,37 @@ def test_fanout_by_host_media(spark):
     host = deliver.subscription_fanout(ready, article, um, by_media=by_host)
     assert [tuple(r) for r in own.collect()] == [(1, 10)]
     assert [tuple(r) for r in host.collect()] == [(2, 10)]
+
+
+def test_seed_csv_rules_drive_extraction(spark):
+    """Seed CSV (header skipped, bound by position) -> rule table per host ->
+    extraction; the first media of a host supplies its rules."""
+    import os
+
+    from gazette.schemas import SEED_CSV
+    from gazette.session import scratch_path
+    from gazette.sources import seed
+
+    cols = [f.name for f in SEED_CSV.fields]
+    row = {c: "" for c in cols}
+    custom = dict(row, name="A", base_url="Site.Example.com", rss_url="r1",
+                  xpath_title="<title>(.*?)</title>", selector_title="")
+    other = dict(row, name="B", base_url="site.example.com", rss_url="r2",
+                 xpath_title="<h1>(.*?)</h1>")
+    for k in ("content", "author", "image_url", "publish_date"):
+        for r in (custom, other):
+            r[f"xpath_{k}"] = ""
+            r[f"selector_{k}"] = ""
+    df = spark.createDataFrame([tuple(r[c] for c in cols) for r in (custom, other)],
+                               ", ".join(f"{c} string" for c in cols))
+    path = os.path.join(scratch_path(spark, "test-seed"), "seed")
+    seed.write_seed_csv(df, path)
+    media = seed.read_seed_csv(spark, path).withColumn(
+        "id", F.when(F.col("name") == "A", 1).otherwise(2))
+    rules = seed.rules_from_media(media)
+    assert rules.count() == 1                           # one host, lowest id wins
+    pages = spark.createDataFrame([(1, "https://site.example.com/1", HTML1),
+                                   (2, "https://else.example.com/2", HTML1)],
+                                  "page_id long, url string, html string")
+    got = {r.page_id: r.title for r in extract.extract_articles(pages, rules, keep_empty=True).collect()}
+    assert got == {1: "T2", 2: "T1"}                     # rule of A for its host, defaults elsewhere
