@@ -62,3 +62,26 @@ def test_column_pruning(plans):
     # gate and fan-out never read the text or html columns
     for n in ("completeness_gate", "subscription_fanout", "subscription_fanout_all_langs"):
         assert "text#" not in plans[n] and "html#" not in plans[n], n
+
+
+def test_idempotent_append_reads_touched_buckets_only(spark):
+    import os
+
+    from pyspark.sql import functions as F
+
+    from gazette.session import scratch_path
+    from gazette.sources import sinks
+
+    path = os.path.join(scratch_path(spark, "test-append"), "t")
+    sinks.append_new(spark.range(5000).select(F.col("id").alias("k")), path, ["k"])
+    batch = spark.range(4990, 5010).select(F.col("id").alias("k"))
+    sinks.append_new(batch, path, ["k"])
+    sinks.append_new(batch, path, ["k"])                     # replay adds nothing
+    got = sinks.read_bucketed(spark, path)
+    assert got.count() == got.distinct().count() == 5010
+    b = batch.withColumn("_bucket", F.pmod(F.xxhash64("k"), F.lit(sinks.BUCKETS)).cast("int"))
+    touched = [r[0] for r in b.select("_bucket").distinct().collect()]
+    scan = spark.read.parquet(path).where(F.col("_bucket").isin(touched))
+    import re
+    filters = re.search(r"PartitionFilters: \[([^\]]*)\]", plan_of(scan)).group(1)
+    assert "_bucket" in filters and ("INSET" in filters or " IN (" in filters), filters

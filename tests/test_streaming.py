@@ -21,13 +21,13 @@ def test_gate_fanout_restart_and_replay(spark):
     src = _src(m, tmp)
     out, chk = os.path.join(tmp, "out"), os.path.join(tmp, "chk")
     p = worker.run_gate_fanout(spark, src, m.article(), m.user_media(), out, chk)
-    n1 = worker.read_table(spark, p["deliveries"]).count()
+    n1 = worker.read_bucketed(spark, p["deliveries"]).count()
     batch = m.user_article().count()
     assert n1 == batch
     worker.run_gate_fanout(spark, src, m.article(), m.user_media(), out, chk)   # restart
-    assert worker.read_table(spark, p["deliveries"]).count() == n1
+    assert worker.read_bucketed(spark, p["deliveries"]).count() == n1
     worker.run_gate_fanout(spark, src, m.article(), m.user_media(), out, chk + "-new")  # replay
-    d = worker.read_table(spark, p["deliveries"])
+    d = worker.read_bucketed(spark, p["deliveries"])
     assert d.count() == n1 and d.dropDuplicates().count() == n1
 
 
@@ -39,9 +39,9 @@ def test_feed_stream_twice(spark):
     feed_items(m).repartition(3).write.parquet(src)
     out = os.path.join(tmp, "out")
     p = worker.run_feed_ingest(spark, src, m.media(), stored(m), out, os.path.join(tmp, "c1"))
-    n1 = worker.read_table(spark, p["article"]).count()
+    n1 = worker.read_bucketed(spark, p["article"]).count()
     worker.run_feed_ingest(spark, src, m.media(), stored(m), out, os.path.join(tmp, "c2"))
-    assert worker.read_table(spark, p["article"]).count() == n1 > 0
+    assert worker.read_bucketed(spark, p["article"]).count() == n1 > 0
 
 
 def test_feed_stream_watermark_dedup(spark):
@@ -53,7 +53,7 @@ def test_feed_stream_watermark_dedup(spark):
     items.unionByName(items).repartition(3).write.parquet(src)      # every link twice
     p = worker.run_feed_ingest(spark, src, m.media(), stored(m), os.path.join(tmp, "out"),
                                os.path.join(tmp, "c"), dedup_watermark="3650 days")
-    got = worker.read_table(spark, p["article"])
+    got = worker.read_bucketed(spark, p["article"])
     assert got.count() == got.select("link_url").distinct().count() == \
         m.article().where("s3_prefix = ''").count()
 
@@ -87,7 +87,7 @@ def test_worker_redelivers_failed_jobs(spark):
     # what still fails now is only what can never succeed (no stored text)
     good, failed = enrich.enrich_batch(
         __import__("gazette.plans.enrichment", fromlist=["parsed_jobs"]).parsed_jobs(m), stored_texts(m))
-    arts = worker.read_table(spark, p["artifacts"])
+    arts = worker.read_bucketed(spark, p["artifacts"])
     assert arts.count() == arts.select("event_id").distinct().count() == good.count()
     assert worker.pending_retries(spark, p).count() == failed.count()
 
@@ -103,7 +103,7 @@ def test_stateful_gate_keeps_less_state(spark):
     for mode in ("aggregate", "pandas"):
         out, chk = os.path.join(tmp, mode, "out"), os.path.join(tmp, mode, "chk")
         p = worker.run_gate_fanout(spark, src, m.article(), m.user_media(), out, chk, state=mode)
-        rows[mode] = sorted(map(tuple, worker.read_table(spark, p["ready"]).collect()))
+        rows[mode] = sorted(map(tuple, worker.read_bucketed(spark, p["ready"]).collect()))
         states[mode] = spark.read.format("statestore").load(chk).count()
     assert rows["aggregate"] == rows["pandas"] == sorted(map(tuple, m.ready().collect()))
     assert states["pandas"] < states["aggregate"]
