@@ -144,10 +144,12 @@ def call_model(reqs: DataFrame, model_fn: ModelFn = echo_model) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            ans = model_fn(b[["event_id", "request"]]).set_index("event_id")
+            ans = model_fn(b[["event_id", "request"]]).drop_duplicates("event_id").set_index("event_id")
             out = b[carry].copy()
-            out["status"] = ans["status"].reindex(b["event_id"]).to_numpy().astype("int32")
-            out["body"] = ans["body"].reindex(b["event_id"]).to_numpy()
+            # a request the model function did not answer counts as a failed call
+            out["status"] = ans["status"].reindex(b["event_id"]).fillna(0).to_numpy().astype("int32")
+            body = ans["body"].reindex(b["event_id"])
+            out["body"] = body.astype(object).where(body.notna(), None).to_numpy()
             yield out
 
     return reqs.mapInPandas(run, out_schema)

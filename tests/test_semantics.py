@@ -278,3 +278,19 @@ def test_seed_csv_rules_drive_extraction(spark):
                                   "page_id long, url string, html string")
     got = {r.page_id: r.title for r in extract.extract_articles(pages, rules, keep_empty=True).collect()}
     assert got == {1: "T2", 2: "T1"}                     # rule of A for its host, defaults elsewhere
+
+
+def test_model_missing_answers_fail(spark):
+    jobs_df = spark.createDataFrame(
+        [(1, 7, "", "p", "summarize_title", "", "fr"), (2, 7, "", "p", "translate_article", "", "fr")],
+        "event_id long, article_id long, title string, s3_prefix string, job_type string, "
+        "image_link string, target_lang string")
+    texts = spark.createDataFrame([(7, "Body, text.")], "article_id long, text string")
+
+    def half(batch):
+        ans = enrich.echo_model(batch)
+        return ans[ans["event_id"] == 1]          # no answer for job 2
+
+    good, failed = enrich.enrich_batch(jobs_df, texts, half)
+    assert [r.event_id for r in good.collect()] == [1]
+    assert [r.event_id for r in failed.collect()] == [2]
