@@ -52,7 +52,7 @@ def test_feed_stream_watermark_dedup(spark):
     items = feed_items(m)
     items.unionByName(items).repartition(3).write.parquet(src)      # every link twice
     p = worker.run_feed_ingest(spark, src, m.media(), stored(m), os.path.join(tmp, "out"),
-                               os.path.join(tmp, "c"), dedup_watermark="3650 days")
+                               os.path.join(tmp, "c"), dedup_state="3650 days")
     got = worker.read_bucketed(spark, p["article"])
     assert got.count() == got.select("link_url").distinct().count() == \
         m.article().where("s3_prefix = ''").count()
@@ -107,3 +107,28 @@ def test_stateful_gate_keeps_less_state(spark):
         states[mode] = spark.read.format("statestore").load(chk).count()
     assert rows["aggregate"] == rows["pandas"] == sorted(map(tuple, m.ready().collect()))
     assert states["pandas"] < states["aggregate"]
+
+
+def test_feed_stream_duplicates_across_feeds(spark):
+    """A link carried by two feeds in one batch is inserted once, with the
+    item of the lowest feed url, with and without stream state."""
+    from pyspark.sql import functions as F
+
+    m = Model(spark, SF001)
+    from gazette.plans.ingest import feed_items, stored
+    tmp = scratch_path(spark, "test-feed-dup")
+    src = os.path.join(tmp, "items")
+    items = feed_items(m)
+    other = items.withColumn("feed_url", F.concat(F.col("feed_url"), F.lit("-b")))
+    items.unionByName(other).repartition(3, "link").write.parquet(src)   # copies share a batch
+    media = m.media().unionByName(m.media().select(
+        (F.col("id") + 100).alias("id"), "name", "base_url",
+        F.concat(F.col("rss_url"), F.lit("-b")).alias("rss_url")))
+    for mode in (None, "all"):
+        p = worker.run_feed_ingest(spark, src, media, stored(m), os.path.join(tmp, f"out-{mode}"),
+                                   os.path.join(tmp, f"c-{mode}"), dedup_state=mode)
+        got = worker.read_bucketed(spark, p["article"])
+        assert got.count() == got.select("link_url").distinct().count() == \
+            m.article().where("s3_prefix = ''").count()
+        if mode is None:
+            assert got.where("media_id >= 100").count() == 0     # lowest feed url kept
