@@ -13,25 +13,46 @@ import datetime as _dt
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import resolve_publish_date, s3_prefix_build
+from ..functions import resolve_publish_date, s3_prefix_build, url_host
 from .extract import extract_articles
 from .skew import sized_broadcast
 
 
+def media_of_host(media: DataFrame) -> DataFrame:
+    """``(host, media_id, media_name)``: the first media (lowest id) of each
+    base url, compared case-insensitively."""
+    m = media.select(F.lower("base_url").alias("host"), F.col("id").alias("media_id"),
+                     F.col("name").alias("media_name"))
+    first = m.groupBy("host").agg(F.min_by(F.struct("media_id", "media_name"), "media_id").alias("_m"))
+    return first.select("host", "_m.media_id", "_m.media_name")
+
+
 def crawl_pending(article: DataFrame, pages: DataFrame, media: DataFrame,
-                  run_ts: _dt.datetime, rules: DataFrame | None = None) -> DataFrame:
+                  run_ts: _dt.datetime, rules: DataFrame | None = None,
+                  media_by_host: bool = False) -> DataFrame:
     """Fixed-up rows of pending articles that have a fetched page.
 
     ``pages``: ``(article_id, url, html)``.  Output keeps the article columns
     plus ``content`` (the text to store) and ``changed`` (row differs).
+
+    ``media_by_host=True`` attributes the article to the first media of its
+    link's host (its name goes into the storage prefix and its id into the
+    job messages) instead of the media of the feed it came from; articles
+    whose host has no media are left pending.
     """
     pending = article.where(F.col("s3_prefix") == "")
     p = pages.select(F.col("article_id").alias("page_id"), "url", "html")
     ex = extract_articles(p, rules, keep_empty=True).select(
         F.col("page_id").alias("id"), F.col("content"), F.col("author").alias("x_author"),
         F.col("image_link").alias("x_image"), F.col("publish_date").alias("x_date"))
-    m = sized_broadcast(media.select(F.col("id").alias("media_id"), F.col("name").alias("media_name")))
-    j = pending.join(ex, "id").join(m, "media_id")
+    if media_by_host:
+        hm = sized_broadcast(media_of_host(media))
+        j = (pending.join(ex, "id").withColumn("host", url_host(F.col("link_url")))
+             .drop("media_id").join(hm, "host").drop("host"))
+    else:
+        m = sized_broadcast(media.select(F.col("id").alias("media_id"),
+                                         F.col("name").alias("media_name")))
+        j = pending.join(ex, "id").join(m, "media_id")
     date = resolve_publish_date(F.col("publish_date"), F.col("x_date"), run_ts)
     author = F.when(F.col("author") == "", F.col("x_author")).otherwise(F.col("author"))
     image = F.when(F.col("image_link") == "", F.col("x_image")).otherwise(F.col("image_link"))

@@ -294,3 +294,21 @@ def test_model_missing_answers_fail(spark):
     good, failed = enrich.enrich_batch(jobs_df, texts, half)
     assert [r.event_id for r in good.collect()] == [1]
     assert [r.event_id for r in failed.collect()] == [2]
+
+
+def test_crawl_media_by_host(spark):
+    from gazette.operators import crawl
+
+    run = dt.datetime(2024, 2, 1)
+    article = spark.createDataFrame(
+        [(1, 9, "A b", "", "https://site.example.com/1", "", "", dt.datetime(2024, 1, 5, 7))],
+        "id long, media_id long, title string, author string, link_url string, s3_prefix string, "
+        "image_link string, publish_date timestamp_ntz")
+    pages = spark.createDataFrame([(1, "https://site.example.com/1", HTML1)],
+                                  "article_id long, url string, html string")
+    media = spark.createDataFrame([(9, "Feed", "other.example.com"), (4, "Host2", "site.example.com"),
+                                   (3, "Host1", "SITE.example.com")], "id long, name string, base_url string")
+    own = crawl.crawl_pending(article, pages, media, run).first()
+    host = crawl.crawl_pending(article, pages, media, run, media_by_host=True).first()
+    assert own.s3_prefix == "Articles/media=Feed/Year=2024/Month=1/Day=5/Hour=7/A_b"
+    assert (host.media_id, host.s3_prefix) == (3, "Articles/media=Host1/Year=2024/Month=1/Day=5/Hour=7/A_b")
