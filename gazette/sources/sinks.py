@@ -26,8 +26,10 @@ def write_article_texts(rows: DataFrame, spark: SparkSession, path: str | None =
                         mode: str = "overwrite") -> str:
     """Article texts under media=/Year=/Month=/Day=/Hour= (unpadded numbers).
 
-    Rows are clustered by the partition columns first so each task writes
-    few files per partition folder.
+    Rows are range-partitioned on the folder columns plus the article id
+    before writing: each task writes a contiguous run of folders (few files
+    per folder), and a folder holding a large share of the rows (one busy
+    media and hour) is split over several tasks instead of one.
     """
     path = path or scratch_path(spark, "article_text")
     ts = F.col("publish_date")
@@ -35,7 +37,8 @@ def write_article_texts(rows: DataFrame, spark: SparkSession, path: str | None =
         F.col("id"), title_key(F.col("title")).alias("title_key"), F.col("content").alias("body"),
         F.col("media_name").alias("media"), F.year(ts).alias("Year"), F.month(ts).alias("Month"),
         F.dayofmonth(ts).alias("Day"), F.hour(ts).alias("Hour"))
-    out.repartition(*[F.col(c) for c in LAYOUT_PARTS[:2]]).write.mode(mode) \
+    # no explicit count: AQE may merge small ranges, large inputs keep their split
+    out.repartitionByRange(*[F.col(c) for c in LAYOUT_PARTS], F.col("id")).write.mode(mode) \
         .partitionBy(*LAYOUT_PARTS).parquet(path)
     return path
 
@@ -130,8 +133,10 @@ def append_new(df: DataFrame, path: str, key: list[str], buckets: int = BUCKETS)
         existing = (spark.read.schema(df.schema).parquet(path)
                     .where(F.col("_bucket").isin(touched)).select("_bucket", *key))
         df = df.join(existing, ["_bucket", *key], "left_anti")
-    # one file per touched bucket per batch (no small-file spray from every task)
-    df.repartition("_bucket").write.mode("append").partitionBy("_bucket").parquet(path)
+    # range-partitioned on (bucket, key): a small batch writes about one file per
+    # touched bucket, a large one splits its big buckets over several tasks
+    (df.repartitionByRange("_bucket", *key).write.mode("append")
+     .partitionBy("_bucket").parquet(path))
 
 
 def read_bucketed(spark: SparkSession, path: str, schema=None) -> DataFrame:
