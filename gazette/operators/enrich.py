@@ -176,11 +176,17 @@ def enrich_batch(jobs: DataFrame, texts: DataFrame, model_fn: ModelFn = echo_mod
     """(artifacts to put, failed jobs) for one batch of parsed jobs.
 
     Image jobs succeed without text (an ineligible link is done with no output);
-    text jobs fail when the input is missing or the answer is empty.
+    text jobs fail when the input is missing or the answer is empty.  The model
+    is called once per request (answers are checkpointed).
     """
     dispatched, _rejects = job_dispatch(jobs)
     reqs = requests(dispatched, texts, use_large)
-    res = results(call_model(reqs, model_fn))
+    # Answers are written once to the checkpoint folder: both outputs (and
+    # every later action on them) read them back instead of calling the model
+    # again, and a lost executor never triggers a second call for a stored
+    # answer.
+    answered = call_model(reqs, model_fn).checkpoint(eager=True)
+    res = results(answered)
     good = where_computed(res, F.col("body") != "")
     failed = failed_jobs(dispatched, good)
     return good, failed

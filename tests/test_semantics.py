@@ -312,3 +312,29 @@ def test_crawl_media_by_host(spark):
     host = crawl.crawl_pending(article, pages, media, run, media_by_host=True).first()
     assert own.s3_prefix == "Articles/media=Feed/Year=2024/Month=1/Day=5/Hour=7/A_b"
     assert (host.media_id, host.s3_prefix) == (3, "Articles/media=Host1/Year=2024/Month=1/Day=5/Hour=7/A_b")
+
+
+def test_model_called_once_per_request(spark):
+    """Both outputs, and repeated actions, reuse the stored answers."""
+    from gazette.session import scratch_path
+    import os
+
+    log = os.path.join(scratch_path(spark, "test-model-calls"), "calls")
+    os.makedirs(log.replace("file:", ""), exist_ok=True)
+    jobs_df = spark.createDataFrame(
+        [(i, 7, "", "p", "summarize_title", "", "fr") for i in range(20)],
+        "event_id long, article_id long, title string, s3_prefix string, job_type string, "
+        "image_link string, target_lang string")
+    texts = spark.createDataFrame([(7, "Body")], "article_id long, text string")
+
+    def counting(batch, _dir=log.replace("file:", "")):
+        import uuid
+        open(os.path.join(_dir, uuid.uuid4().hex), "w").write(str(len(batch)))
+        ans = enrich.echo_model(batch)
+        ans.loc[ans["event_id"] % 2 == 0, "status"] = 500
+        return ans
+
+    good, failed = enrich.enrich_batch(jobs_df, texts, counting)
+    assert good.count() == 10 and failed.count() == 10 and good.count() == 10
+    d = log.replace("file:", "")
+    assert sum(int(open(os.path.join(d, f)).read()) for f in os.listdir(d)) == 20
