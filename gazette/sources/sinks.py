@@ -124,15 +124,27 @@ def append_new(df: DataFrame, path: str, key: list[str], buckets: int = BUCKETS)
     filter on the target's scan) instead of the whole, ever-growing table.
     The list of touched buckets has at most ``buckets`` small integers.
     """
+    from pyspark import StorageLevel
+
     spark = df.sparkSession
     df = df.withColumn("_bucket", F.pmod(F.xxhash64(F.col(key[0])), F.lit(buckets)).cast("int"))
-    if _exists(spark, path):
+    if not _exists(spark, path):
+        _write_buckets(df, path, key)
+        return
+    # the batch is read twice (its buckets, then the write): kept for the
+    # duration of the append; lost blocks are rebuilt from lineage
+    df = df.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
         touched = [r[0] for r in df.select("_bucket").distinct().collect()]
-        if not touched:
-            return
-        existing = (spark.read.schema(df.schema).parquet(path)
-                    .where(F.col("_bucket").isin(touched)).select("_bucket", *key))
-        df = df.join(existing, ["_bucket", *key], "left_anti")
+        if touched:
+            existing = (spark.read.schema(df.schema).parquet(path)
+                        .where(F.col("_bucket").isin(touched)).select("_bucket", *key))
+            _write_buckets(df.join(existing, ["_bucket", *key], "left_anti"), path, key)
+    finally:
+        df.unpersist()
+
+
+def _write_buckets(df: DataFrame, path: str, key: list[str]) -> None:
     # range-partitioned on (bucket, key): a small batch writes about one file per
     # touched bucket, a large one splits its big buckets over several tasks
     (df.repartitionByRange("_bucket", *key).write.mode("append")
