@@ -137,14 +137,11 @@ def deliver(spark: SparkSession, root: str, all_langs: bool = False) -> None:
     known = sinks.read_or_empty(spark, _p(root, "ready"), "article_id long, lang string")
     fresh = ready.join(known, ["article_id", "lang"], "left_anti").checkpoint(eager=True)
     store = arts.select("article_id", "lang", "kind", F.col("event_id").alias("seq"), "body")
-    existing_tr = sinks.read_or_empty(spark, _p(root, "article_translation"),
-                                      "article_id long, lang string, title string, summary string")
-    tr = deliver_op.translations_from_artifacts(fresh, store, existing_tr)
+    tr = deliver_op.translations_from_artifacts(fresh, store)
     sinks.append_new(tr, _p(root, "article_translation"), ["article_id", "lang"])
     um = spark.read.parquet(_p(root, "user_media"))
-    existing = sinks.read_or_empty(spark, _p(root, "user_article"), "user_id long, article_id long")
-    dl = deliver_op.subscription_fanout(fresh, articles(spark, root), um, existing=existing,
-                                        all_langs=all_langs)
+    # keys already delivered are dropped by the append's bucket-pruned anti-join
+    dl = deliver_op.subscription_fanout(fresh, articles(spark, root), um, all_langs=all_langs)
     sinks.append_new(dl, _p(root, "user_article"), ["user_id", "article_id"])
     sinks.append_new(fresh, _p(root, "ready"), ["article_id", "lang"])
 
