@@ -134,8 +134,7 @@ def deliver(spark: SparkSession, root: str, all_langs: bool = False) -> None:
     and their deliveries (each appended once per key)."""
     arts = sinks.read_or_empty(spark, _p(root, "artifacts"), ARTIFACT_SCHEMA)
     ready = deliver_op.completeness_gate(arts)
-    known = sinks.read_or_empty(spark, _p(root, "ready"), "article_id long, lang string")
-    fresh = ready.join(known, ["article_id", "lang"], "left_anti").checkpoint(eager=True)
+    fresh = sinks.without_existing(ready, _p(root, "ready"), ["article_id", "lang"]).checkpoint(eager=True)
     store = arts.select("article_id", "lang", "kind", F.col("event_id").alias("seq"), "body")
     tr = deliver_op.translations_from_artifacts(fresh, store)
     sinks.append_new(tr, _p(root, "article_translation"), ["article_id", "lang"])

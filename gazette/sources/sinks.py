@@ -144,6 +144,21 @@ def append_new(df: DataFrame, path: str, key: list[str], buckets: int = BUCKETS)
         df.unpersist()
 
 
+def without_existing(df: DataFrame, path: str, key: list[str], buckets: int = BUCKETS) -> DataFrame:
+    """Rows of ``df`` whose key the bucketed table at ``path`` does not hold;
+    only the buckets ``df`` touches are read."""
+    spark = df.sparkSession
+    b = df.withColumn("_bucket", F.pmod(F.xxhash64(F.col(key[0])), F.lit(buckets)).cast("int"))
+    if not _exists(spark, path):
+        return df
+    touched = [r[0] for r in b.select("_bucket").distinct().collect()]
+    if not touched:
+        return df
+    existing = (spark.read.schema(b.schema).parquet(path)
+                .where(F.col("_bucket").isin(touched)).select("_bucket", *key))
+    return b.join(existing, ["_bucket", *key], "left_anti").drop("_bucket")
+
+
 def _write_buckets(df: DataFrame, path: str, key: list[str]) -> None:
     # range-partitioned on (bucket, key): a small batch writes about one file per
     # touched bucket, a large one splits its big buckets over several tasks
