@@ -107,11 +107,15 @@ def translations_from_artifacts(ready: DataFrame, artifact_store: DataFrame,
     Title and summary texts are pivoted out of the latest artifacts with a
     single conditional aggregate; rows whose key already exists are skipped.
     """
-    latest = latest_artifacts(artifact_store.where(F.col("kind").isin("title.txt", "summary.txt")))
+    pairs = ready.select("article_id", "lang")
+    # only the artifacts of the pairs being written (a stream batch touches few)
+    wanted = artifact_store.where(F.col("kind").isin("title.txt", "summary.txt")).join(
+        pairs, ["article_id", "lang"], "left_semi")
+    latest = latest_artifacts(wanted)
     texts = latest.groupBy("article_id", "lang").agg(
         F.max(F.when(F.col("kind") == "title.txt", F.col("body"))).alias("title"),
         F.max(F.when(F.col("kind") == "summary.txt", F.col("body"))).alias("summary"))
-    out = ready.select("article_id", "lang").join(texts, ["article_id", "lang"])
+    out = pairs.join(texts, ["article_id", "lang"])
     if existing is not None:
         out = out.join(existing.select("article_id", "lang"), ["article_id", "lang"], "left_anti")
     return out
