@@ -59,3 +59,34 @@ def test_pipeline_end_to_end(spark):
     assert [r.publishDate for r in page] == sorted((r.publishDate for r in page), reverse=True)
     d = app.detail(spark, root, page[0].articleId, "en").collect()
     assert len(d) == 1 and d[0].translate_article and d[0].summary
+
+
+def test_command_line(spark):
+    """The stages through ``python -m gazette`` (in-process, shared session)."""
+    import os
+
+    from gazette.__main__ import main
+
+    m = Model(spark, SF001)
+    root = scratch_path(spark, "test-cli")
+    inp = scratch_path(spark, "test-cli-in")
+    seed.media_with_rules(m.media()).write.parquet(os.path.join(inp, "media"))
+    m.user_media().write.parquet(os.path.join(inp, "um"))
+    feeds.render_feed_documents(feeds.feed_items_from_articles(m.article(), m.media())) \
+        .write.parquet(os.path.join(inp, "feeds"))
+    link_of = m.article().select(F.col("id").alias("page_id"), F.col("link_url").alias("url"))
+    m.t.pages.select("page_id", "html").join(link_of, "page_id").select("url", "html") \
+        .write.parquet(os.path.join(inp, "pages"))
+    main(["seed", "--root", root, "--media", os.path.join(inp, "media"),
+          "--user-media", os.path.join(inp, "um")], spark)
+    main(["ingest", "--root", root, "--feeds", os.path.join(inp, "feeds")], spark)
+    main(["crawl", "--root", root, "--pages", os.path.join(inp, "pages"),
+          "--run-ts", "2024-02-01T00:00:00", "--target-lang", "en"], spark)
+    main(["work", "--root", root], spark)
+    main(["deliver", "--root", root], spark)
+    ua = spark.read.parquet(f"{root}/user_article")
+    user = ua.groupBy("user_id").count().orderBy(F.desc("count"), "user_id").first().user_id
+    page = main(["timeline", "--root", root, "--user", str(user)], spark).collect()
+    assert 0 < len(page) <= 10
+    d = main(["detail", "--root", root, "--article", str(page[0].articleId), "--lang", "en"], spark)
+    assert d.count() == 1
