@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 
 from ..functions import resolve_publish_date, s3_prefix_build, url_host
 from .extract import extract_articles
-from .skew import sized_broadcast
 
 
 def media_of_host(media: DataFrame) -> DataFrame:
@@ -46,12 +45,11 @@ def crawl_pending(article: DataFrame, pages: DataFrame, media: DataFrame,
         F.col("page_id").alias("id"), F.col("content"), F.col("author").alias("x_author"),
         F.col("image_link").alias("x_image"), F.col("publish_date").alias("x_date"))
     if media_by_host:
-        hm = sized_broadcast(media_of_host(media))
+        hm = media_of_host(media)          # per-site; broadcast by AQE
         j = (pending.join(ex, "id").withColumn("host", url_host(F.col("link_url")))
              .drop("media_id").join(hm, "host").drop("host"))
     else:
-        m = sized_broadcast(media.select(F.col("id").alias("media_id"),
-                                         F.col("name").alias("media_name")))
+        m = media.select(F.col("id").alias("media_id"), F.col("name").alias("media_name"))
         j = pending.join(ex, "id").join(m, "media_id")
     date = resolve_publish_date(F.col("publish_date"), F.col("x_date"), run_ts)
     author = F.when(F.col("author") == "", F.col("x_author")).otherwise(F.col("author"))

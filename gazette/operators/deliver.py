@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .skew import DEFAULT_ROWS_PER_SLICE, sized_broadcast, skew_safe_join
+from .skew import DEFAULT_ROWS_PER_SLICE, skew_safe_join
 
 # Artifact names the gate requires.
 REQUIRED_KINDS = ("title.txt", "summary.txt", "article.txt")
@@ -69,7 +69,9 @@ def subscription_fanout(ready: DataFrame, article: DataFrame, user_media: DataFr
     if by_media is not None:
         items = items.drop("media_id").join(by_media.select("article_id", "media_id"), "article_id")
     if few_subscribers:
-        out = sized_broadcast(subs).join(items, keys)
+        # one user's subscriptions come out of a shuffle: AQE measures them and
+        # broadcasts them, so the articles stream through without a hot task
+        out = subs.join(items, keys)
     else:
         # the item side is itself a join (gate output x article); written once
         # to the checkpoint folder so the hot-key pre-pass and the fan-out read

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .skew import sized_broadcast, skew_safe_join
+from .skew import skew_safe_join
 
 
 def _link_ids(items: DataFrame) -> list[str]:
@@ -37,12 +37,12 @@ def new_links(items: DataFrame, article: DataFrame) -> DataFrame:
 def feed_to_media(items: DataFrame, media: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(matched, rejects): each item gets the id of the media owning its feed url.
 
-    The media table is per site; it is broadcast after a size check.  Several
-    media sharing one feed url resolve to the lowest id.
+    The media table is per site; AQE broadcasts it from its measured size
+    (it comes out of an aggregate).  Several media sharing one feed url resolve
+    to the lowest id.
     """
     m = (media.groupBy(F.col("rss_url").alias("feed_url"))
          .agg(F.min("id").alias("media_id")))
-    m = sized_broadcast(m)
     matched = items.join(m, "feed_url")
     rejects = items.join(m, "feed_url", "left_anti")
     return matched, rejects

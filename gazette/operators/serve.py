@@ -13,7 +13,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import format_publish_date
-from .skew import sized_broadcast
 
 # Rows per page and the public thumbnail location parts.
 PAGE_LIMIT = 10
@@ -32,9 +31,11 @@ def article_deliveries(article: DataFrame, user_article: DataFrame) -> DataFrame
 
 
 def article_media(article: DataFrame, media: DataFrame) -> DataFrame:
-    """article ⋈ media; media is a per-site table, broadcast after a size check."""
+    """article ⋈ media.  Media is a per-site table: the planner broadcasts it
+    from its file size, or AQE from its measured size after a shuffle; a
+    large media table would get a shuffle join instead."""
     m = media.select(F.col("id").alias("media_id"), F.col("name").alias("media_name"))
-    return article.join(sized_broadcast(m), "media_id")
+    return article.join(m, "media_id")
 
 
 def _translations(translation: DataFrame, lang: str | None) -> DataFrame:

@@ -157,4 +157,4 @@ def q_host_to_media(m):
     media = m.media().select(F.lower("base_url").alias("host"), F.col("id").alias("media_id"))
     first = first_by_id(media.withColumn("id", F.col("media_id")), "host", "id").select("host", "media_id")
     a = m.article().select(F.col("id").alias("article_id"), url_host(F.col("link_url")).alias("host"))
-    return a.join(extract.sized_broadcast(first), "host").select("article_id", "media_id")
+    return a.join(first, "host").select("article_id", "media_id")    # per-site table: AQE broadcasts it
