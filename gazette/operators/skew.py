@@ -6,7 +6,7 @@
 * ``skew_safe_join`` is an equi-join whose hot keys are split.  Per-key row
   counts (a partial aggregate, combined map-side) find the keys holding more
   than ``rows_per_slice`` rows on a side; only those keys are listed, so the
-  list is bounded by ``total rows / rows_per_slice``.  A hot key's rows on the
+  list is bounded by ``total rows / rows_per_slice`` (and fetched with a row cap).  A hot key's rows on the
   split side go to one of its slices by a hash of their own id columns, and
   the other side's rows of that key are replicated to every slice.  For inner
   joins both sides can be split (a grid of slices, for keys hot on both
@@ -62,13 +62,14 @@ def _hot_stats(left: DataFrame, right: DataFrame | None, keys: list[str], rows_p
     hot = counts.where((F.col("_nl") > rows_per_slice) | (F.col("_nr") > rows_per_slice)).select(
         *keys, _slices(F.col("_nl"), rows_per_slice, max_slices).alias("_sl"),
         _slices(F.col("_nr"), rows_per_slice, max_slices).alias("_sr"))
-    # Written once to the shared checkpoint folder: computed a single time and
-    # survives executor loss.
-    hot = hot.checkpoint(eager=True)
-    n = bounded_count(hot, max_hot_keys)
-    if n == 0 or n > max_hot_keys:
+    # One bounded action: at most ``max_hot_keys + 1`` rows of a few integers
+    # (the same bytes a broadcast ships through the driver anyway).  Usually
+    # there is no hot key and the plain join follows; the list, once fetched,
+    # needs no recomputation after an executor loss.
+    rows = hot.limit(max_hot_keys + 1).collect()
+    if not rows or len(rows) > max_hot_keys:
         return None
-    return F.broadcast(hot)
+    return F.broadcast(left.sparkSession.createDataFrame(rows, hot.schema))
 
 
 def skew_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str],
