@@ -54,9 +54,10 @@ def subscription_fanout(ready: DataFrame, article: DataFrame, user_media: DataFr
     host-based media of ``host_to_media``).  ``existing`` is the delivery
     table already written; its keys are anti-joined away.
 
-    ``few_subscribers=True`` (e.g. one user's timeline) broadcasts the
-    subscription side after a size check instead of splitting hot keys: the
-    articles then stream through in parallel whatever media they belong to.
+    ``few_subscribers=True`` (e.g. one user's timeline) skips the hot-key
+    split: the small subscription side is broadcast by AQE from its measured
+    size, and the articles stream through in parallel whatever media they
+    belong to.
     """
     subs = user_media.select("user_id", "media_id", "lang")
     if all_langs:
