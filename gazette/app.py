@@ -9,7 +9,7 @@ keyed) or adds a new file, nothing is rewritten in place:
                                  article row overlaid with its latest fix-up
 * ``text``                       crawled article texts, media/Year/Month/Day/Hour layout
 * ``queue``                      job messages (event_id, ts, body)
-* ``artifacts``, ``retry``, ``rejects``   worker results
+* ``artifacts``, ``retry``, ``rejects``, ``acked``   worker results
 * ``ready``, ``article_translation``, ``user_article``   gate and delivery
 
 Stages: ``ingest`` (feeds), ``crawl`` (pages), ``work`` (model jobs, batch or
@@ -119,14 +119,19 @@ def work(spark: SparkSession, root: str, model_fn=enrich.echo_model, stream: boo
         worker.run_worker(spark, _p(root, "queue"), texts, root, _p(root, "_chk_worker"), model_fn)
         return
     queue = sinks.read_or_empty(spark, _p(root, "queue"), MESSAGE_SCHEMA)
-    done = sinks.read_or_empty(spark, paths["artifacts"], "event_id long")
-    todo = queue.join(done.select("event_id"), "event_id", "left_anti")
+    acked = sinks.read_or_empty(spark, _p(root, "acked"), "event_id long")
+    todo = queue.join(acked.select("event_id"), "event_id", "left_anti").checkpoint(eager=True)
     parsed, rejects = jobs_op.parse_job_messages(todo)
     good, failed = enrich.enrich_batch(parsed, texts, model_fn)
     sinks.append_new(good, paths["artifacts"], ["event_id"])
     sinks.append_new(failed.select("event_id", "article_id", "job_type").join(
         todo.select("event_id", "ts", "body"), "event_id"), paths["retry"], ["event_id"])
     sinks.append_new(rejects.select("event_id", "body"), paths["rejects"], ["event_id"])
+    # acknowledged (never taken again): answered text jobs, image jobs (an
+    # ineligible link is done with no output) and bodies that do not parse
+    images = parsed.where(F.col("job_type") == "get_image").select("event_id")
+    done = good.select("event_id").unionByName(images).unionByName(rejects.select("event_id"))
+    sinks.append_new(done, _p(root, "acked"), ["event_id"])
 
 
 def deliver(spark: SparkSession, root: str, all_langs: bool = False) -> None:

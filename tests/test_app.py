@@ -38,6 +38,10 @@ def test_pipeline_end_to_end(spark):
     app.work(spark, root)
     text_jobs = 3 * n_pages
     assert spark.read.parquet(f"{root}/artifacts").count() == text_jobs
+    queued = spark.read.parquet(f"{root}/queue").count()
+    assert spark.read.parquet(f"{root}/acked").count() == queued      # text + image jobs
+    app.work(spark, root)                                            # nothing left to take
+    assert spark.read.parquet(f"{root}/acked").count() == queued
     app.work(spark, root, stream=True)                               # stream finds nothing new
     assert spark.read.parquet(f"{root}/artifacts").count() == text_jobs
 
