@@ -132,3 +132,16 @@ def test_feed_stream_duplicates_across_feeds(spark):
             m.article().where("s3_prefix = ''").count()
         if mode is None:
             assert got.where("media_id >= 100").count() == 0     # lowest feed url kept
+
+
+def test_stream_accepts_streaming_dataframe(spark):
+    """A caller-built streaming source (e.g. a message bus) instead of a folder."""
+    m = Model(spark, SF001)
+    tmp = scratch_path(spark, "test-stream-df")
+    src = os.path.join(tmp, "messages")
+    m.job_message().repartition(2).write.parquet(src)
+    source = spark.readStream.schema(worker.MESSAGE).option("maxFilesPerTrigger", 1).parquet(src)
+    p = worker.run_parse(spark, source, os.path.join(tmp, "out"), os.path.join(tmp, "chk"))
+    n_jobs = worker.read_bucketed(spark, p["jobs"]).count()
+    n_rej = worker.read_bucketed(spark, p["rejects"]).count()
+    assert n_jobs + n_rej == m.job_message().count() and n_rej > 0
