@@ -48,6 +48,11 @@ def split_words(text):
         F.array().cast("array<string>"))
 
 
+def let(value, body):
+    """``body(value)`` with ``value`` evaluated once per row (a lambda variable)."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 # --- vectorised word scan -------------------------------------------------
 
 _BASE = 0x9E3779B97F4A7C15 | 1

@@ -18,7 +18,7 @@ import time
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import split_words
+from .common import let, split_words
 
 # Rows that rule costs are measured on (the result doesn't depend on them).
 SAMPLE_ROWS = 400
@@ -27,11 +27,15 @@ WINDOW = 8
 
 def window_hashes(words: Column) -> Column:
     """Hash of every 8-word window, built by doubling (1, 2, 4, 8 words)."""
+    def joined(step: int):
+        return lambda h: F.zip_with(
+            F.slice(h, 1, F.greatest(F.size(h) - step, F.lit(0))),
+            F.slice(h, step + 1, F.greatest(F.size(h) - step, F.lit(0))),
+            lambda a, b: F.xxhash64(a, b))
+
     h = F.transform(words, lambda w: F.xxhash64(w))
     for step in (1, 2, 4):
-        h = F.zip_with(F.slice(h, 1, F.greatest(F.size(h) - step, F.lit(0))),
-                       F.slice(h, step + 1, F.greatest(F.size(h) - step, F.lit(0))),
-                       lambda a, b: F.xxhash64(a, b))
+        h = let(h, joined(step))
     return h
 
 
@@ -53,11 +57,10 @@ def repeated_words(words: Column) -> Column:
                     (i + WINDOW).alias("end")),
                 lambda acc: acc["n"])
 
-        return F.get(F.transform(F.array(pairs), of_sorted), F.lit(0))
+        return let(pairs, of_sorted)
 
-    one = F.transform(F.array(h), lambda h: F.when(
-        F.size(F.array_distinct(h)) == F.size(h), F.lit(0)).otherwise(covered(h)))
-    return F.when(F.size(words) < WINDOW + 1, F.lit(0)).otherwise(F.get(one, F.lit(0)))
+    return F.when(F.size(words) < WINDOW + 1, F.lit(0)).otherwise(let(h, lambda h: F.when(
+        F.size(F.array_distinct(h)) == F.size(h), F.lit(0)).otherwise(covered(h))))
 
 
 def with_words(df: DataFrame, key: list[str]) -> DataFrame:
@@ -72,7 +75,7 @@ def _n_symbols(text: Column) -> Column:
 
 def _dup_lines(text: Column) -> Column:
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike("[^ \\t-\\r]"))
-    return F.get(F.transform(F.array(lines), lambda x: F.size(x) - F.size(F.array_distinct(x))), F.lit(0))
+    return let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x)))
 
 
 def metrics() -> dict[str, Column]:

@@ -39,7 +39,7 @@ def op1(spark, sf_dir):
 QUALITY_SQL = r"""
 with d as (select doc_id, coalesce(text, '') as t from documents),
 w as (select doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') as w,
-             list_filter(string_split(t, chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) as ls from d),
+             list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as ls from d),
 g as (select doc_id, i, w[i:i+7] as gram from (select doc_id, w, unnest(range(1, len(w) - 6)) as i from w where len(w) >= 8)),
 r as (select doc_id, i from (select *, count(*) over (partition by doc_id, gram) as c from g) where c > 1),
 c as (select doc_id, count(distinct p) as n from (select doc_id, unnest(range(i, i + 8)) as p from r) group by doc_id),
@@ -63,15 +63,15 @@ def op5(spark, sf_dir):
 
 BOILERPLATE_SQL = r"""
 with d as (select doc_id, text, source, string_split(text, chr(10)) as ls from documents),
-l as (select doc_id, text, source, list_filter(list_transform(ls, x -> trim(x, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))), x -> length(x) > 0) as ls,
+l as (select doc_id, text, source, list_filter(list_transform(ls, lambda x: trim(x, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))), lambda x: length(x) > 0) as ls,
              ls as raw from d),
 b as (select x from (select unnest(ls) as x, coalesce(source, chr(0)) as s from l) group by x having count(distinct s) >= 6),
 bl as (select coalesce(list(x), []) as bad from b),
-c as (select doc_id, text, len(ls) as n_lines, raw, list_sum(list_transform(ls, x -> length(x))) as total,
-             list_filter(ls, x -> list_contains(bad, x)) as gone, bad from l, bl),
-k as (select *, len(gone) > 0 and 100 * list_sum(list_transform(gone, x -> length(x))) <= 50 * total as cuts from c)
+c as (select doc_id, text, len(ls) as n_lines, raw, list_sum(list_transform(ls, lambda x: length(x))) as total,
+             list_filter(ls, lambda x: list_contains(bad, x)) as gone, bad from l, bl),
+k as (select *, len(gone) > 0 and 100 * list_sum(list_transform(gone, lambda x: length(x))) <= 50 * total as cuts from c)
 select doc_id, coalesce(n_lines, 0)::bigint as n_lines, (case when cuts then len(gone) else 0 end)::bigint as n_cut,
-       sha256(case when cuts then array_to_string(list_filter(raw, y -> not list_contains(bad, trim(y, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)))), chr(10)) else text end) as text_sha256
+       sha256(case when cuts then array_to_string(list_filter(raw, lambda y: not list_contains(bad, trim(y, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)))), chr(10)) else text end) as text_sha256
 from k"""
 
 
