@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import lines, packing, quality
+from . import lines, packing, quality, tokens, urlrules
 from .common import prepare, table
 from .encoders import tokenizer_path
 
@@ -36,6 +36,29 @@ def op1(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
+URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"),
+             ("com", "/fr/", "allow"), ("com", "/de/", "block")]
+
+URL_SQL = r"""
+with u as (select page_id, coalesce(instr(url, '://'), 0) > 0 as ok, url from pages),
+p as (select page_id,
+             case when ok then translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') else '' end as host,
+             case when ok then regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1) else '' end as path from u),
+r(rh, rp, v) as (values ('org', '/', 'allow'), ('example.org', '/es/', 'block'), ('example.org', '/en/1', 'block'),
+                        ('com', '/fr/', 'allow'), ('com', '/de/', 'block')),
+m as (select p.*, rh || rp as rule, v from p left join r
+        on (host = rh or ends_with(host, '.' || rh)) and starts_with(path, rp)
+      qualify row_number() over (partition by page_id order by length(rh || rp) desc) = 1)
+select page_id, host, path, rule, coalesce(v, 'allow') as verdict from m"""
+
+
+@query("op4_url_filter", URL_SQL)
+def op4(spark, sf_dir):
+    """Host, path, winning rule and verdict of every page."""
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    return urlrules.judge(table(spark, sf_dir, "pages"), rules)
+
+
 QUALITY_SQL = r"""
 with d as (select doc_id, coalesce(text, '') as t from documents),
 w as (select doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') as w,
@@ -81,3 +104,9 @@ def op6(spark, sf_dir):
     out = lines.cut_boilerplate(table(spark, sf_dir, "documents"))
     return out.select(F.col("row.doc_id").alias("doc_id"), "n_lines", "n_cut",
                       F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
+
+
+@query("op10_token_count")
+def op10(spark, sf_dir):
+    """Bytes and tokens of every document."""
+    return tokens.count_tokens(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
