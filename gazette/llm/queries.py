@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import lines, packing, quality, tokens, urlrules
+from . import lines, nearup, packing, quality, tokens, urlrules
 from .common import prepare, table
 from .encoders import tokenizer_path
 
@@ -110,3 +110,9 @@ def op6(spark, sf_dir):
 def op10(spark, sf_dir):
     """Bytes and tokens of every document."""
     return tokens.count_tokens(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+
+
+@query("op9_minhash_near_dedup")
+def op9(spark, sf_dir):
+    """Component of near duplicates of every document (2-word shingles)."""
+    return nearup.link(table(spark, sf_dir, "documents"), width=2)
