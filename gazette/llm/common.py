@@ -100,9 +100,10 @@ class Words:
         return len(self.first) - 1
 
 
-def scan_words(texts: pa.Array, fold_case: bool = False) -> Iterator[Words]:
+def scan_words(texts: pa.Array, fold_case: bool = False, letters: bool = False) -> Iterator[Words]:
     """64-bit word hashes of an Arrow string column (null: no words), in runs
-    of about ``STEP_BYTES``; a document is never split."""
+    of about ``STEP_BYTES``; a document is never split.  ``letters``: ASCII
+    punctuation parts words too."""
     if pa.types.is_large_string(texts.type) or pa.types.is_string_view(texts.type):
         texts = texts.cast(pa.string())
     n = len(texts)
@@ -120,7 +121,10 @@ def scan_words(texts: pa.Array, fold_case: bool = False) -> Iterator[Words]:
         cut = off[i:j + 1] - off[i]
         if fold_case:
             b = b + ((b >= 65) & (b <= 90)).astype(np.uint8) * np.uint8(32)
-        word = (b != 32) & ((b < 9) | (b > 13))
+        if letters:
+            word = ((b >= 48) & (b <= 57)) | ((b >= 65) & (b <= 90)) | ((b >= 97) & (b <= 122)) | (b >= 128)
+        else:
+            word = (b != 32) & ((b < 9) | (b > 13))
         if empty is not None:
             for k in np.flatnonzero(empty[i:j]):
                 word[cut[k]:cut[k + 1]] = False

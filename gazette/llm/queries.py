@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import lines, nearup, packing, quality, tokens, urlrules
+from . import decontam, lines, nearup, packing, passages, quality, tokens, urlrules
 from .common import prepare, table
 from .encoders import tokenizer_path
 
@@ -116,3 +116,15 @@ def op10(spark, sf_dir):
 def op9(spark, sf_dir):
     """Component of near duplicates of every document (2-word shingles)."""
     return nearup.link(table(spark, sf_dir, "documents"), width=2)
+
+
+@query("op7_substring_dedup")
+def op7(spark, sf_dir):
+    """Words of every document and how many of them lie in repeated passages."""
+    return passages.cut_repeats(table(spark, sf_dir, "documents"))
+
+
+@query("op8_decontaminate")
+def op8(spark, sf_dir):
+    """Benchmark items that each document holds, one row per document and item."""
+    return decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
