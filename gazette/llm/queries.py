@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, lines, nearup, packing, passages, quality, tokens, urlrules
+from . import decontam, licenses, lines, nearup, packing, passages, pii, quality, tokens, urlrules
 from .common import prepare, table
 from .encoders import tokenizer_path
 
@@ -36,6 +36,23 @@ def op1(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
+@query("op2_license_scan")
+def op2(spark, sf_dir):
+    """Known licences found in every document."""
+    return licenses.scan(table(spark, sf_dir, "documents"), licenses.known_digests(spark))
+
+
+# The queries' key; a corpus of one's own takes a secret one.
+PSEUDONYM_KEY = "example key"
+
+
+@query("op3_pii_pseudonyms")
+def op3(spark, sf_dir):
+    """Every document with personal data replaced by pseudonyms."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.pseudonymise(docs, PSEUDONYM_KEY, count="n_replaced")
+
+
 URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"),
              ("com", "/fr/", "allow"), ("com", "/de/", "block")]
 
