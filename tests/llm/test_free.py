@@ -1,0 +1,194 @@
+"""Packing, URL rules, token counts and decontamination."""
+
+import random
+import zlib
+
+import numpy as np
+import pytest
+
+from gazette.llm import decontam, packing, tokens, urlrules
+from gazette.llm.encoders import byte_pair_encoder, sentence_pieces, tokenizer_path
+
+BPE = tokenizer_path("byte_bpe_50k.json")
+SP = tokenizer_path("piece_bpe_32k.model")
+ODD = ["", " ", "  ", "\n\n a", "a\xa0b", "naïve  café", "x" * 3000, "<|endoftext|>", "a<|endoftext|> b", "日本語 テスト", "👍🏽 ok",
+       "▁a▁ b", " lead", "trail ", "\t\x0b\x0c", "don't we'LL 12345 3.14", "é" * 50, "\u3000w", "a\u2028b", "０１２", "\x00z"]
+
+
+def test_fast_encoder_equals_the_library(docs):
+    from tokenizers import Tokenizer
+
+    own, fast = Tokenizer.from_file(BPE), byte_pair_encoder(BPE)
+    rng = random.Random(3)
+    chars = [chr(rng.choice([rng.randrange(32, 0x250), rng.randrange(0x250, 0xD800), rng.randrange(0xE000, 0x1FFFF)])) for _ in range(4000)]
+    texts = ODD + ["".join(rng.choices(chars + [" ", "\n"] * 500, k=60)) for _ in range(200)] + [r.text for r in docs.collect()]
+    for t in texts:
+        assert fast(t) == own.encode(t, add_special_tokens=False).ids, t[:80]
+
+
+def test_pre_token_counts_equal_the_library(docs):
+    sp = sentence_pieces(SP)
+    assert tokens.safe_model(SP)
+    for t in ODD + [r.text for r in docs.collect()]:
+        assert sum(tokens.count_pieces(SP, tokens.pre_tokens(t) if t else [])) == len(sp.encode(t)), t[:80]
+
+
+@pytest.mark.parametrize("head", [None, {}])
+def test_token_counts(spark, docs, head):
+    sp = sentence_pieces(SP)
+    extra = [(10 ** 6 + i, t) for i, t in enumerate(ODD)] + [(5, None), (5, "twice"), (5, "twice"), (None, "no id")]
+    df = docs.select("doc_id", "text").union(spark.createDataFrame(extra, "doc_id long, text string")).selectExpr("*", "1 as n", "2 as rid")
+    want = sorted(((r.doc_id, len((r.text or "").encode()), len(sp.encode(r.text or ""))) for r in df.collect()), key=str)
+    got = tokens.count_tokens(df, SP, limit=100, head=head).collect()
+    assert sorted((tuple(r)[:3] for r in got), key=str) == want
+    assert all(r.over_limit == (r.n_tokens > 100) for r in got)
+
+
+def test_token_counts_empty(empty_docs):
+    assert tokens.count_tokens(empty_docs, SP).collect() == []
+
+
+def check_packing(rows, texts, capacity):
+    """Every document whole, pieces cut right, sequences gapless."""
+    from tokenizers import Tokenizer
+
+    own = Tokenizer.from_file(BPE)
+    seqs, docs = {}, {}
+    for r in rows:
+        seqs.setdefault(r.sequence_id, []).append((r.offset, r.length))
+        docs.setdefault(r.doc_id, []).append(r)
+    for parts in seqs.values():
+        at = 0
+        for offset, length in sorted(parts):
+            assert offset == at
+            at += length
+        assert at <= capacity
+    for doc, text in texts.items():
+        ids = np.array(own.encode(text or "", add_special_tokens=False).ids + [0], dtype="<u4")
+        got = sorted(docs[doc], key=lambda r: r.piece)
+        assert [r.piece for r in got] == list(range(len(got))) and sum(r.length for r in got) == len(ids)
+        assert all(r.length == capacity for r in got[1:]) and (len(ids) > capacity or len(got) == 1)
+        for r in got:
+            assert r.ids_crc32 == zlib.crc32(ids[r.start:r.start + r.length].tobytes())
+    return len(seqs)
+
+
+def test_packing(spark, docs):
+    texts = {r.doc_id: r.text for r in docs.collect()} | {10 ** 6: None, 10 ** 6 + 1: "", 10 ** 6 + 2: "word " * 30000}
+    df = spark.createDataFrame([(k, t, 0) for k, t in texts.items()], "doc_id long, text string, length int")
+    rows = packing.pack(df, BPE, capacity=512).collect()
+    n = check_packing(rows, texts, 512)
+    assert n <= -(-sum(r.length for r in rows) // 512) + 3
+    with_ids = packing.pack(df, BPE, capacity=512, with_ids=True)
+    assert sum(len(r.ids) for r in packing.sequences(with_ids).collect()) == sum(r.length for r in rows)
+
+
+def test_packing_empty_and_repeated(spark, empty_docs):
+    assert packing.pack(empty_docs, BPE).collect() == []
+    df = spark.createDataFrame([(1, "same text")] * 500, "doc_id long, text string")
+    rows = packing.pack(df, BPE, capacity=16).collect()
+    assert len(rows) == 500 and len({(r.sequence_id, r.offset) for r in rows}) == 500
+
+
+def test_fullest_bin_is_the_best_subset():
+    rng = random.Random(5)
+    for _ in range(60):
+        counts = {rng.randrange(1, 40): rng.randrange(1, 4) for _ in range(6)}
+        top = max(counts)
+        reach = {top}
+        for n, c in counts.items():
+            for _ in range(c - (n == top)):
+                reach |= {x + n for x in reach if x + n <= 60}
+        bins = packing.fullest(counts, 60)
+        assert sum(n * m for n, m in bins) == max(reach) and all(m <= counts[n] for n, m in bins)
+
+
+def test_plan_uses_every_piece_once():
+    runs = packing.plan({5: 7, 3: 11, 16: 2, 1: 40, 9: 1}, 16)
+    sizes = {}
+    for n, parts in runs.items():
+        total = {5: 7, 3: 11, 16: 2, 1: 40, 9: 1}[n]
+        for (first, seq, m, _), end in zip(parts, [p[0] for p in parts[1:]] + [total]):
+            for r in range(first, end):
+                sizes[seq + (r - first) // m] = sizes.get(seq + (r - first) // m, 0) + n
+    assert sum(sizes.values()) == 35 + 33 + 32 + 40 + 9 and max(sizes.values()) <= 16
+
+
+def brute_rule(url, rules, default="allow"):
+    host = path = ""
+    if url is not None and "://" in url:
+        rest = url.split("://", 1)[1]
+        cut = min([rest.find(c) for c in "/?#" if c in rest] or [len(rest)])
+        host = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in rest[:cut])
+        rest = rest[cut:]
+        path = rest[:min([rest.find(c) for c in "?#" if c in rest] or [len(rest)])]
+    fit = [r for r in rules if (host == r[0] or host.endswith("." + r[0])) and path.startswith(r[1])]
+    best = max(fit, key=lambda r: (len(r[0] + r[1]), len(r[0]), r[2] == "block"), default=None)
+    return host, path, best and best[0] + best[1], best[2] if best else default
+
+
+def test_url_rules(spark):
+    rng = random.Random(9)
+    rules = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"),
+             ("com", "/de/", "block"), ("a.b.com", "/d", "allow"), ("b.com", "", "block"), ("com", "/same", "allow"), ("com", "/same", "block")]
+    hosts = ["org", "example.org", "x.example.org", "notexample.org", "a.b.com", "z.a.b.com", "b.com", "xb.com", "com", "net", "", "EXAMPLE.ORG", "a..org", "org.", "user@h.com:80"]
+    paths = ["", "/", "/es/", "/es/1", "/en/12", "/en/2", "/fr/x", "/de/?q=://y", "/d", "/same/x", "?a/b", "#f", "/es/#x", "/a\nb"]
+    urls = [f"{rng.choice(['http', 'https', 'x:'])}://{rng.choice(hosts)}{rng.choice(paths)}" for _ in range(400)]
+    urls += [None, "", "no scheme", "://", "a://b://org/"] + ["http://example.org/es/1"] * 700
+    pages = spark.createDataFrame([(i, u, "x") for i, u in enumerate(urls)], "page_id long, url string, path string").repartition(5)
+    got = {r[0]: tuple(r)[1:] for r in urlrules.judge(pages, spark.createDataFrame(rules, "host string, path string, verdict string")).collect()}
+    assert got == {i: brute_rule(u, rules) for i, u in enumerate(urls)}
+
+
+def test_url_rules_empty(spark):
+    none = spark.createDataFrame([], "host string, path string, verdict string")
+    pages = spark.createDataFrame([(1, "http://a.org/")], "page_id long, url string")
+    assert [tuple(r) for r in urlrules.judge(pages, none).collect()] == [(1, "a.org", "/", None, "allow")]
+    assert urlrules.judge(pages.limit(0), none).collect() == []
+
+
+def test_lcs():
+    assert decontam.lcs([1, 2, 3, 4], [9, 1, 3, 9, 4]) == 3
+    assert decontam.lcs([], [1]) == 0 and decontam.lcs([1, 1], [1]) == 1
+
+
+def test_leaks(spark, docs):
+    rng = random.Random(2)
+    vocabulary = [f"{a}{b}{i}" for a in ("ka", "lo", "mi") for b in ("ra", "tu") for i in range(60)]
+    items = [(i, " ".join(rng.choices(vocabulary, k=30)) + ". " + " ".join(rng.choices(vocabulary, k=8)) + ".") for i in range(25)]
+    items += [(90, None), (91, ""), (92, "...")]
+    filler = " ".join(rng.choices([f"f{i}" for i in range(500)], k=900))
+
+    def paraphrase(t):  # some words dropped, some put in
+        w = [x for i, x in enumerate(t.split()) if i % 7 != 3]
+        return " ".join(w[:10] + ["really"] + w[10:]).upper()
+
+    rows = [(1000 + i, filler + "\n" + items[i][1] + " " + filler) for i in range(12)]
+    rows += [(2000 + i, filler + " " + paraphrase(items[i][1])) for i in range(12)]
+    rows += [(3000, filler), (3001, None), (3002, ""), (3003, " ".join(rng.choices(vocabulary, k=400))),
+             (3004, filler * 20 + items[20][1] + filler * 20), (3004, filler)]
+    df = docs.select("doc_id", "text").union(spark.createDataFrame(rows, "doc_id long, text string")).selectExpr("*", "0 as item_id")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontam.leaks(df, bench).collect()}
+    assert got == {(1000 + i, i) for i in range(12)} | {(2000 + i, i) for i in range(12)} | {(3004, 20)}
+    left = decontam.drop_leaks(df, bench)
+    assert left.columns == df.columns and left.count() == df.count() - 24 - 2
+
+
+def test_leaks_empty(spark, docs, empty_docs):
+    bench = spark.createDataFrame([(1, "some words of an item")], "item_id long, text string")
+    assert decontam.leaks(empty_docs, bench).collect() == []
+    assert decontam.leaks(docs, bench.limit(0)).collect() == []
+    assert decontam.drop_leaks(docs, bench.limit(0)).count() == docs.count()
+
+
+def test_every_exact_benchmark_passage_is_found(spark):
+    sf = "/root/testdata/sf0.01"
+    docs, bench = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/benchmark.parquet")
+
+    def plain(t):
+        return " ".join("".join(c if c.isalnum() else " " for c in t.lower()).split())
+
+    items = [(r.item_id, plain(r.text)) for r in bench.collect()]
+    held = {(d.doc_id, i) for d in docs.collect() for i, t in items if t in plain(d.text or "")}
+    assert held <= {(r.doc_id, r.item_id) for r in decontam.leaks(docs, bench).collect()}
