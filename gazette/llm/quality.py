@@ -108,9 +108,13 @@ def rules(m: dict[str, Column] | None = None, min_words: int = 20, max_repeat_pc
 
 def cascade_order(df: DataFrame, conditions: dict[str, Column], sample_rows: int = SAMPLE_ROWS) -> list[str]:
     """Rule names by measured rejections per second on a sample of ``df``
-    (from :func:`with_words`): the rows of the least text hashes."""
+    (from :func:`with_words`): the texts with the least hashes."""
     text = F.col("_text")
-    sample = [r[0] for r in df.select(text).orderBy(F.xxhash64(text)).limit(sample_rows).collect()]
+    # the hashes are chosen first, so that only the sampled texts move
+    h = F.xxhash64(text).alias("h")
+    least = [r[0] for r in df.select(h).groupBy("h").count().orderBy("h").limit(sample_rows).select("h").collect()]
+    sample = [] if not least else [r[1] for r in df.select(h, text).where(F.col("h") <= least[-1])
+                                   .groupBy("h").agg(F.first("_text")).collect()]
     if not sample:
         return list(conditions)
     spark = df.sparkSession
