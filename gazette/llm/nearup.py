@@ -40,9 +40,13 @@ RECALL = 0.9995
 CHANCE = 0.01
 # Tokens that one numpy step of the branching looks at.
 BLOCK = 8192
-# Minimum hashes that must agree before sets are compared.  At similarity 0.8
-# and 17 trees a linked pair falls short with probability below 1e-6.
-AGREE = 5
+# Share of the minimum hashes' bits that may differ before sets are compared:
+# half of them do for unrelated sets, a tenth at similarity 0.8, where a linked
+# pair goes beyond this with probability of about 1e-6 (17 trees).
+DIFFERENT = 0.41
+# Trees whose minimum hash gives a byte of the 24-byte sketch.
+SKETCHED = 24
+SKETCH = ["l0", "l1", "l2"]
 
 
 def shape(classes: int, similarity: float = SIMILARITY, recall: float = RECALL) -> tuple[int, int]:
@@ -70,10 +74,8 @@ def shingle_sets(texts: pa.Array, width: int) -> Iterator[np.ndarray]:
 
 
 def _under(tokens: np.ndarray, seeds: np.ndarray) -> np.ndarray:
-    x = (tokens[None, :] ^ seeds[:, None]) * np.uint64(0xFF51AFD7ED558CCD)
-    x ^= x >> np.uint64(32)
-    x *= np.uint64(0xC4CEB9FE1A85EC53)
-    return x
+    """Hash of every token under every seed (multiply-shift; tokens are mixed)."""
+    return tokens[None, :] * (seeds | np.uint64(1))[:, None]
 
 
 def paths(tokens: np.ndarray, depth: int, trees: int, similarity: float) -> tuple[np.ndarray, np.ndarray]:
@@ -89,16 +91,17 @@ def paths(tokens: np.ndarray, depth: int, trees: int, similarity: float) -> tupl
             x = _under(part, seeds)
             if level == 0:
                 np.minimum(low, x.min(axis=1), out=low)
-            i, j = np.nonzero(x <= limit)
+            i, j = np.divmod(np.flatnonzero(x.ravel() <= limit), len(part))
             found.append(mix(seeds[i] * np.uint64(0x2545F4914F6CDD1D) + part[j]))
         seeds = np.unique(np.concatenate(found))
         if not len(seeds):
             break
-    return seeds, (low >> np.uint64(24)).astype(np.uint8)
+    return seeds, mix(low).astype(np.uint8)
 
 
 def described(docs: DataFrame, width: int, similarity: float, depth: int, trees: int) -> DataFrame:
-    """doc_id, set size, 128-bit set hash, node ids and minimum-hash bytes."""
+    """doc_id, set size, 128-bit set hash, node ids and the sketch (a byte of
+    each tree's minimum hash, as three longs)."""
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             n, ha, hb, nodes, low = [], [], [], [], []
@@ -108,13 +111,13 @@ def described(docs: DataFrame, width: int, similarity: float, depth: int, trees:
                 hb.append(int(mix(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64).view(np.int64)))
                 p, q = paths(s, depth, trees, similarity) if len(s) else (s, np.empty(0, np.uint8))
                 nodes.append(as_long(p))
-                low.append(q.tobytes())
+                low.append(np.frombuffer(q[:SKETCHED].tobytes().ljust(SKETCHED, b"\0"), dtype="<i8"))
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array(n, pa.int64()), pa.array(ha, pa.int64()), pa.array(hb, pa.int64()),
-                 pa.array(nodes, pa.list_(pa.int64())), pa.array(low, pa.binary())],
-                ["doc_id", "n", "ha", "hb", "nodes", "low"])
+                 pa.array(nodes, pa.list_(pa.int64())), *[pa.array([x[k] for x in low], pa.int64()) for k in range(3)]],
+                ["doc_id", "n", "ha", "hb", "nodes", *SKETCH])
 
-    return docs.mapInArrow(describe, "doc_id long, n long, ha long, hb long, nodes array<long>, low binary")
+    return docs.mapInArrow(describe, "doc_id long, n long, ha long, hb long, nodes array<long>, l0 long, l1 long, l2 long")
 
 
 def full_sets(docs: DataFrame, width: int) -> DataFrame:
@@ -126,12 +129,10 @@ def full_sets(docs: DataFrame, width: int) -> DataFrame:
     return docs.mapInArrow(build, "doc_id long, items array<long>")
 
 
-def _agreeing(a, b):
-    """Bytes that two equally long binary columns have in common, by hex pairs."""
-    def pairs(c):
-        return F.regexp_extract_all(F.hex(c), F.lit("(..)"), F.lit(1))
-
-    return F.size(F.filter(F.zip_with(pairs(a), pairs(b), lambda x, y: x == y), lambda x: x))
+def _different(a: str, b: str):
+    """Bits in which two sketches differ (column prefixes)."""
+    return sum((F.bit_count(F.col(a + c).bitwiseXOR(F.col(b + c))) for c in SKETCH[1:]),
+               F.bit_count(F.col(a + SKETCH[0]).bitwiseXOR(F.col(b + SKETCH[0]))))
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -177,41 +178,46 @@ def link(df: DataFrame, width: int = WIDTH, percent: int = 80, recall: float = R
     rows = stored(described(docs, width, similarity, depth, trees), "near-sets")
     named = rows.where(F.col("doc_id").isNotNull() & (F.col("n") > 0))
     classes = stored(named.groupBy("n", "ha", "hb").agg(
-        F.min("doc_id").alias("rep"), F.first("nodes").alias("nodes"), F.first("low").alias("low")), "near-classes")
+        F.min("doc_id").alias("rep"), F.first("nodes").alias("nodes"), *[F.first(c).alias(c) for c in SKETCH]), "near-classes")
+    known = classes.select("rep", "n", *SKETCH)
+
+    def of(prefix: str) -> DataFrame:
+        return known.select(*[F.col(c).alias(prefix + c) for c in known.columns])
 
-    member = classes.select("rep", "n", "low", F.explode("nodes").alias("node"))
-    pivots = member.groupBy("node").agg(F.min(F.struct("rep", "n", "low")).alias("p"), F.count(F.lit(1)).alias("c"))
-    shared = stored(member.join(pivots.where("c > 1"), "node"), "near-nodes")
+    member = classes.select("rep", F.explode("nodes").alias("node"))
+    pivots = member.groupBy("node").agg(F.min("rep").alias("pivot"), F.count(F.lit(1)).alias("c"))
+    shared = stored(member.join(pivots.where("c > 1"), "node").select("node", "rep", "pivot"), "near-nodes")
     # texts of all classes that share a node, as sets
     wanted = shared.select(F.col("rep").alias("doc_id")).distinct()
     sets = stored(full_sets(docs.join(wanted, "doc_id"), width).groupBy("doc_id").agg(F.first("items").alias("items")), "near-full")
+    limit = int(DIFFERENT * 8 * min(trees, SKETCHED))
 
-    def sized(a, b):
-        return F.least(a, b) * 100 >= F.greatest(a, b) * percent
+    def alike(a: str, b: str):
+        x, y = F.col(a + "n"), F.col(b + "n")
+        return (F.least(x, y) * 100 >= F.greatest(x, y) * percent) & (_different(a, b) <= limit)
 
-    star = (shared.where((F.col("rep") != F.col("p.rep")) & sized(F.col("n"), F.col("p.n")))
-            .select("rep", F.col("p.rep").alias("q"), _agreeing(F.col("low"), F.col("p.low")).alias("agree"))
-            .where(F.col("agree") >= AGREE)
-            .groupBy("rep").agg(F.min(F.struct(-F.col("agree"), F.col("q").alias("q"))).alias("best"))
-            .select(F.col("rep").alias("a"), F.col("best.q").alias("b")))
+    star = (shared.where("rep != pivot").select(F.col("rep").alias("a_rep"), F.col("pivot").alias("b_rep")).distinct()
+            .join(of("a_"), "a_rep").join(of("b_"), "b_rep").where(alike("a_", "b_"))
+            .groupBy("a_rep").agg(F.min(F.struct(_different("a_", "b_").alias("d"), F.col("b_rep").alias("b"))).alias("best"))
+            .select(F.col("a_rep").alias("a"), F.col("best.b").alias("b")))
     first = stored(_confirmed(star, sets, percent), "near-links")
     label = components(first)
 
     # nodes whose classes aren't connected yet: every pair across components,
     # written as (a class outside the node's largest component, any other)
-    labelled = (shared.select("node", "rep", "n", "low").join(label, F.col("rep") == F.col("id"), "left")
-                .select("node", "rep", "n", "low", F.coalesce("label", "rep").alias("label")))
+    labelled = (shared.select("node", "rep").join(label, F.col("rep") == F.col("id"), "left")
+                .select("node", "rep", F.coalesce("label", "rep").alias("label")))
     by_label = labelled.groupBy("node", "label").agg(F.count(F.lit(1)).alias("c"))
     mixed = (by_label.groupBy("node").agg(F.max(F.struct("c", "label")).alias("most"), F.count(F.lit(1)).alias("labels"))
              .where("labels > 1").select("node", F.col("most.label").alias("major")))
-    open_rows = stored(labelled.join(mixed, "node"), "near-open")
+    open_rows = stored(labelled.join(mixed, "node").join(known, "rep"), "near-open")
     strays = open_rows.where(F.col("label") != F.col("major")).select(
-        "node", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("low").alias("la"), F.col("label").alias("lab"))
-    across = (strays.join(open_rows, "node")
-              .where((F.col("label") != F.col("lab")) & sized(F.col("n"), F.col("na"))
-                     & ((F.col("label") == F.col("major")) | (F.col("a") < F.col("rep")))
-                     & (_agreeing(F.col("low"), F.col("la")) >= AGREE))
-              .select("a", F.col("rep").alias("b")).distinct())
+        "node", *[F.col(c).alias("a_" + c) for c in known.columns], F.col("label").alias("a_label"))
+    others = open_rows.select("node", "major", "label", *[F.col(c).alias("b_" + c) for c in known.columns])
+    across = (strays.join(others, "node")
+              .where((F.col("label") != F.col("a_label")) & alike("a_", "b_")
+                     & ((F.col("label") == F.col("major")) | (F.col("a_rep") < F.col("b_rep"))))
+              .select(F.col("a_rep").alias("a"), F.col("b_rep").alias("b")).distinct())
     second = _confirmed(across, sets, percent)
     label = stored(components(first.unionByName(second)), "near-labels")
 
