@@ -15,7 +15,7 @@ from ..session import ensure_checkpoint_dir, scratch_path, ship_package
 # A word is [^\x20\x09-\x0D]+ everywhere in this package.
 WORD_GAP = "[ \\t-\\r]+"
 # Bytes of text that one vectorised step works on (a longer document is one step).
-STEP_BYTES = 2 << 20
+STEP_BYTES = 128 << 10
 
 
 def prepare(spark: SparkSession) -> None:
@@ -84,7 +84,7 @@ def range_hashes(x: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarra
     """Mixed polynomial hash of ``x[start:end]`` for each range."""
     s = np.empty(len(x) + 1, dtype=np.uint64)
     s[0] = 0
-    np.cumsum(x.astype(np.uint64) * _powers(_BASE, len(x)), out=s[1:])
+    np.cumsum(x.astype(np.uint64, copy=False) * _powers(_BASE, len(x)), out=s[1:])
     h = (s[end] - s[start]) * _powers(_INV, len(x) + 1)[start]
     return mix(h + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
