@@ -7,6 +7,8 @@ import functools
 import os
 from collections.abc import Callable
 
+import numpy as np
+
 
 def tokenizer_path(name: str) -> str:
     import public_tokenizers
@@ -15,7 +17,7 @@ def tokenizer_path(name: str) -> str:
 
 
 @functools.cache
-def byte_pair_encoder(path: str) -> Callable[[str], list[int]]:
+def byte_pair_encoder(path: str) -> Callable[[str], np.ndarray]:
     """Token ids as ``tokenizers`` gives them for the byte-level BPE at
     ``path`` (a .json).  The merges run in tiktoken, on the ranks beside the
     file, where those exist: equal ids (see the tests) at several times the
@@ -25,7 +27,7 @@ def byte_pair_encoder(path: str) -> Callable[[str], list[int]]:
     own = Tokenizer.from_file(path)
     ranks_file = os.path.splitext(path)[0] + ".tiktoken"
     if not os.path.exists(ranks_file):
-        return lambda text: own.encode(text, add_special_tokens=False).ids
+        return lambda text: np.array(own.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
     import public_tokenizers
     import tiktoken
 
@@ -34,10 +36,10 @@ def byte_pair_encoder(path: str) -> Callable[[str], list[int]]:
     special = {t.content: i for i, t in own.get_added_tokens_decoder().items()}
     fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
-    def encode(text: str) -> list[int]:
+    def encode(text: str) -> np.ndarray:
         if any(s in text for s in special):
-            return own.encode(text, add_special_tokens=False).ids
-        return fast.encode_ordinary(text)
+            return np.array(own.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
+        return fast.encode_to_numpy(text, disallowed_special=())
 
     return encode
 

@@ -48,9 +48,7 @@ def pieces(df: DataFrame, tokenizer: str, capacity: int = CAPACITY, separator: i
         for batch in batches:
             rows: list[list] = [[] for _ in range(6)]
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = encode(text.as_py() or "")
-                ids.append(separator)
-                a = np.array(ids, dtype="<u4")
+                a = np.append(encode(text.as_py() or ""), np.uint32(separator)).astype("<u4", copy=False)
                 for k, (s, n) in enumerate(cut_points(len(a), capacity)):
                     part = a[s:s + n]
                     for col, v in zip(rows, (doc, k, s, n, zlib.crc32(part.tobytes()), part)):
