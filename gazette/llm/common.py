@@ -16,11 +16,16 @@ from ..session import ensure_checkpoint_dir, scratch_path, ship_package
 WORD_GAP = "[ \\t-\\r]+"
 # Bytes of text that one vectorised step works on (a longer document is one step).
 STEP_BYTES = 128 << 10
+# Rows of an Arrow batch: setting, its default, value here.
+ARROW_ROWS = ("spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "1000")
 
 
 def prepare(spark: SparkSession) -> None:
-    """Name the shared checkpoint folder and ship the package to the executors."""
+    """Name the shared checkpoint folder, ship the package to the executors and
+    keep Arrow batches of texts small (a setting of one's own stays)."""
     ensure_checkpoint_dir(spark)
+    if spark.conf.get(ARROW_ROWS[0], ARROW_ROWS[1]) == ARROW_ROWS[1]:
+        spark.conf.set(ARROW_ROWS[0], ARROW_ROWS[2])
     ship_package(spark)
 
 

@@ -34,8 +34,8 @@ from .common import as_long, range_hashes, scan_words, shuffle_partitions, store
 
 WINDOW = 35
 ANCHOR = 12
-# Words of the passages that one automaton shard is compiled from.
-SHARD_WORDS = 400_000
+# Words of the documents in one automaton shard (one longer document is a shard).
+SHARD_WORDS = 300_000
 
 
 def _windows_ok(first: np.ndarray, total: int, window: int) -> np.ndarray:
@@ -176,7 +176,7 @@ def cut_repeats(df: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, key:
             def flush():
                 for (k, words, _), mask in zip(shard, covered([x[1] for x in shard], [x[2] for x in shard])):
                     kept = b" ".join(w for w, m in zip(words, mask.tolist()) if not m)
-                    for col, v in zip(out, (k, len(words), int(mask.sum()), hashlib.sha256(kept).hexdigest(), kept)):
+                    for col, v in zip(out, (k, len(words), int(mask.sum()), hashlib.sha256(kept).hexdigest(), kept if with_text else b"")):
                         col.append(v)
                 shard.clear()
 
@@ -184,7 +184,7 @@ def cut_repeats(df: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, key:
                 words = (text.as_py() or "").encode().split()
                 parts = spans_of(starts or [], window)
                 shard.append((k, words, parts))
-                size += sum(e - a for a, e in parts) + len(words) // 4
+                size += len(words)
                 if size >= SHARD_WORDS:
                     flush()
                     size = 0
