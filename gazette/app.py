@@ -83,8 +83,9 @@ def crawl(spark: SparkSession, root: str, fetched: DataFrame, run_ts: _dt.dateti
     texts and job messages; returns the number of articles crawled."""
     current = articles(spark, root)
     pending = current.where(F.col("s3_prefix") == "")
-    pages = pending.select(F.col("id").alias("article_id"), F.col("link_url").alias("url")).join(
-        fetched.select("url", "html"), "url")
+    # one page per url, whichever way the fetch repeated it
+    once = fetched.groupBy("url").agg(F.min("html").alias("html"))
+    pages = pending.select(F.col("id").alias("article_id"), F.col("link_url").alias("url")).join(once, "url")
     m = media(spark, root)
     fixed = crawl_op.crawl_pending(pending.drop("updated_at"), pages, m, run_ts,
                                    media_by_host=media_by_host)
@@ -92,13 +93,20 @@ def crawl(spark: SparkSession, root: str, fetched: DataFrame, run_ts: _dt.dateti
     stamp = F.lit(run_ts).cast("timestamp_ntz")
     fix = done.select("id", "author", "image_link", "publish_date", "s3_prefix",
                       stamp.alias("updated_at"))
-    fix.write.mode("append").parquet(_p(root, "article_fixup"))
-    sinks.write_article_texts(done, spark, _p(root, "text"), mode="append")
+    # the fix-up marks an article as crawled, so it is written last; a run
+    # that failed before it is repeated, and what it had written is left out
+    texts = sinks.read_or_empty(spark, _p(root, "text"), sinks.TEXT_LAYOUT)
+    sinks.write_article_texts(done.join(texts.select("id"), "id", "left_anti"), spark, _p(root, "text"), mode="append")
     msgs = jobs_op.job_queue_rows(jobs_op.job_fanout(done, target_lang))
     queue = sinks.read_or_empty(spark, _p(root, "queue"), MESSAGE_SCHEMA)
+    queued = queue.select(F.get_json_object("body", "$.article_id").cast("long").alias("article_id"),
+                          F.get_json_object("body", "$.job_type").alias("job_type")).distinct()
+    msgs = (msgs.withColumn("job_type", F.get_json_object("body", "$.job_type"))
+            .join(queued, ["article_id", "job_type"], "left_anti").drop("job_type"))
     msgs = checks.surrogate_ids(msgs.withColumn("ts", stamp), queue.select("event_id"),
                                 ["article_id", "seq"], id_col="event_id")
     msgs.select("event_id", "ts", "body").write.mode("append").parquet(_p(root, "queue"))
+    fix.write.mode("append").parquet(_p(root, "article_fixup"))
     return done.count()
 
 
@@ -125,8 +133,11 @@ def work(spark: SparkSession, root: str, model_fn=enrich.echo_model, stream: boo
     good, failed = enrich.enrich_batch(parsed, texts, model_fn)
     sinks.append_new(good, paths["artifacts"], ["event_id"])
     sinks.append_new(failed.select("event_id", "article_id", "job_type").join(
-        todo.select("event_id", "ts", "body"), "event_id"), paths["retry"], ["event_id"])
-    sinks.append_new(rejects.select("event_id", "body"), paths["rejects"], ["event_id"])
+        todo.select("event_id", "ts", "body"), "event_id").withColumn("epoch", F.lit(-1).cast("long")),
+        paths["retry"], ["event_id", "epoch"])
+    odd = enrich.unknown_jobs(parsed).select("event_id").join(todo.select("event_id", "body"), "event_id")
+    rejects = rejects.select("event_id", "body").unionByName(odd)
+    sinks.append_new(rejects, paths["rejects"], ["event_id"])
     # acknowledged (never taken again): answered text jobs, image jobs (an
     # ineligible link is done with no output) and bodies that do not parse
     images = parsed.where(F.col("job_type") == "get_image").select("event_id")

@@ -19,7 +19,7 @@ DISPLAY_FORMAT = "yyyy-MM-dd HH:mm"
 FEED_OFFSET_RE = (r"(?:Z|[+-](?:[01]\d|2[0-3])"
                   r"(?::[0-5]\d(?::[0-5]\d(?:\.\d{1,6})?)?|[0-5]\d(?:[0-5]\d(?:\.\d{1,6})?)?))")
 FEED_DATE_RE = (r"^(?i:mon|tue|wed|thu|fri|sat|sun),\s+(\d{1,2})\s+([A-Za-z]{3})\s+(\d{4})\s+"
-                r"(\d{1,2}:\d{1,2}:\d{1,2})\s+" + FEED_OFFSET_RE + r"$")
+                r"(\d{1,2}:\d{1,2}:\d{1,2})\s+" + FEED_OFFSET_RE + r"\z")
 FEED_DATE_FORMAT = "d MMM yyyy H:m:s"
 
 

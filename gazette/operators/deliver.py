@@ -74,10 +74,7 @@ def subscription_fanout(ready: DataFrame, article: DataFrame, user_media: DataFr
         # broadcasts them, so the articles stream through without a hot task
         out = subs.join(items, keys)
     else:
-        # the item side is itself a join (gate output x article); written once
-        # to the checkpoint folder so the hot-key pre-pass and the fan-out read
-        # it instead of recomputing it, and lineage is cut
-        items = items.checkpoint(eager=True)
+        # the join multiplies: a busy media has many subscribers and articles
         out = skew_safe_join(subs, items, keys, left_ids=["user_id"], right_ids=["article_id"],
                              rows_per_slice=rows_per_slice)
     out = out.select("user_id", "article_id")

@@ -19,7 +19,6 @@ from pyspark.sql import types as T
 
 from ..functions import image_link_eligible, lang_display, text_trim, title_clean
 from .fence import where_computed
-from .skew import skew_safe_join
 
 # Prompt wording (our own), slots {lang} and {text}; the
 # assistant turn is always last.
@@ -102,10 +101,10 @@ def requests(dispatched: DataFrame, texts: DataFrame, use_large: bool = False) -
     article has no stored text get no request (they fail and are retried).
     """
     tj = dispatched.where(F.col("job_type").isin(*TEXT_JOBS))
-    # many jobs of one article (retries, languages) split over tasks; the
-    # article's text is replicated to the slices of a hot article only
-    j = skew_safe_join(tj, texts.select("article_id", "text"), ["article_id"], ["event_id"],
-                       how="left")
+    # many jobs of one article (retries, languages): AQE splits the left side;
+    # only texts that a job of the batch names enter the join
+    wanted = texts.select("article_id", "text").join(tj.select("article_id").distinct(), "article_id", "left_semi")
+    j = tj.join(wanted, "article_id", "left")
     src = F.when(F.col("input_source") == "title", F.col("title")).otherwise(F.col("text"))
     req = None
     for k in TEXT_JOBS:
@@ -179,7 +178,7 @@ def enrich_batch(jobs: DataFrame, texts: DataFrame, model_fn: ModelFn = echo_mod
     text jobs fail when the input is missing or the answer is empty.  The model
     is called once per request (answers are checkpointed).
     """
-    dispatched, _rejects = job_dispatch(jobs)
+    dispatched, _unknown = job_dispatch(jobs)
     reqs = requests(dispatched, texts, use_large)
     # Answers are written once to the checkpoint folder: both outputs (and
     # every later action on them) read them back instead of calling the model
@@ -192,6 +191,11 @@ def enrich_batch(jobs: DataFrame, texts: DataFrame, model_fn: ModelFn = echo_mod
     return good, failed
 
 
+def unknown_jobs(jobs: DataFrame) -> DataFrame:
+    """Jobs of a type that nothing handles (``enrich_batch`` leaves them out)."""
+    return job_dispatch(jobs)[1]
+
+
 def failed_jobs(jobs: DataFrame, succeeded: DataFrame) -> DataFrame:
     """Text jobs without a non-empty result stay queued for retry."""
     text_jobs = jobs.where(F.col("job_type").isin(*TEXT_JOBS))

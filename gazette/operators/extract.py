@@ -2,8 +2,8 @@
 
 Rules are rows ``(host, <field>_1, <field>_2)``: for every field a tier-1 and
 a tier-2 regular expression (group 1 is the value).  A field takes the first
-non-empty tier; hosts without a row use ``DEFAULT_RULES``.  The rule table is
-per site (small) and is broadcast after a size check; every field of every tier
+non-empty tier; hosts without a row use ``DEFAULT_RULES``.  The planner picks
+the join with the rule table from measured sizes; every field of every tier
 is computed in a single projection over the page, JVM-side, so the HTML is
 scanned once per pattern and never leaves the executor.
 
@@ -19,14 +19,13 @@ from pyspark.sql import functions as F
 from ..functions import field_priority, parse_feed_date, url_host
 from ..functions.dates import sentinel
 from .fence import where_computed
-from .skew import sized_broadcast
 
 FIELDS = ("title", "content", "author", "image_link", "publish_date")
 
 # Regex rules matching the fixture page markup (tier 1, tier 2).
 DEFAULT_RULES = {
     "title": (r"<h1>(.*?)</h1>", r"<title>(.*?)</title>"),
-    "content": (r"(?s)<article>(.*?)</article>", r"<p>([^<]*)</p>"),
+    "content": (r"(?s)<article>(.*?)</article>", r"(?s)<p(?:\s[^>]*)?>(.*?)</p>"),
     "author": (r'class="author">(.*?)<', r"<footer>&copy; (.*?) &middot;"),
     "image_link": (r'<img[^>]* src="([^"]+)"', r'<a href="([^"]+)"'),
     "publish_date": (r"<time[^>]*>(.*?)</time>", ""),
@@ -44,9 +43,11 @@ def _first(html: Column, pattern: Column) -> Column:
         F.call_function("regexp_extract", html, pattern, F.lit(1)))
 
 
-def _all_joined(html: Column, pattern: Column) -> Column:
+def _all_joined(html: Column, pattern: Column, drop: str) -> Column:
+    """Group 1 of every match without what ``drop`` matches, joined."""
+    found = F.call_function("regexp_extract_all", html, pattern, F.lit(1))
     return F.when(pattern == "", F.lit("")).otherwise(
-        F.array_join(F.call_function("regexp_extract_all", html, pattern, F.lit(1)), ""))
+        F.array_join(F.transform(found, lambda x: F.regexp_replace(x, drop, "")), ""))
 
 
 def with_rules(pages: DataFrame, rules: DataFrame | None = None) -> DataFrame:
@@ -54,7 +55,7 @@ def with_rules(pages: DataFrame, rules: DataFrame | None = None) -> DataFrame:
     p = pages.withColumn("host", url_host(F.col("url")))
     if rules is not None:
         r = rules.select("host", *[F.col(c).alias(f"_r_{c}") for c in rule_columns()])
-        p = p.join(sized_broadcast(r), "host", "left")
+        p = p.join(r, "host", "left")
     for f in FIELDS:
         for t in (1, 2):
             default = F.lit(DEFAULT_RULES[f][t - 1])
@@ -72,7 +73,7 @@ def tier_values(pages: DataFrame, rules: DataFrame | None = None) -> DataFrame:
         p1, p2 = F.col(f"_p_{f}_1"), F.col(f"_p_{f}_2")
         if f == "content":
             v1 = F.regexp_replace(_first(html, p1), TAG_RE, "")
-            v2 = _all_joined(html, p2)
+            v2 = _all_joined(html, p2, TAG_RE)
         else:
             v1, v2 = _first(html, p1), _first(html, p2)
         out += [F.coalesce(v1, F.lit("")).alias(f"{f}_1"), F.coalesce(v2, F.lit("")).alias(f"{f}_2")]

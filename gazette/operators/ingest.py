@@ -11,27 +11,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .skew import skew_safe_join
-
-
-def _link_ids(items: DataFrame) -> list[str]:
-    return [c for c in ("feed_url", "title", "pub_date") if c in items.columns] or ["link"]
-
 
 def known_links(items: DataFrame, article: DataFrame) -> DataFrame:
     """Items whose link is already stored (case-sensitive compare).
 
     A link repeated across a large share of the items (copies of one story)
-    is split over several tasks; the stored side is reduced to distinct links.
+    makes an oversized partition of the left side, which AQE splits.
     """
     a = article.select(F.col("link_url").alias("link"))
-    return skew_safe_join(items, a, ["link"], _link_ids(items), how="left_semi")
+    return items.join(a, ["link"], "left_semi")
 
 
 def new_links(items: DataFrame, article: DataFrame) -> DataFrame:
     """Items whose link is not stored yet; duplicates within the batch are kept."""
     a = article.select(F.col("link_url").alias("link"))
-    return skew_safe_join(items, a, ["link"], _link_ids(items), how="left_anti")
+    return items.join(a, ["link"], "left_anti")
 
 
 def feed_to_media(items: DataFrame, media: DataFrame) -> tuple[DataFrame, DataFrame]:

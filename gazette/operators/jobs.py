@@ -15,6 +15,7 @@ KNOWN_JOB_TYPES = ("summarize_article", "translate_title", "translate_article",
                    "summarize_title", "get_image")
 DEFAULT_JOB_TYPE = "summarize_article"
 DEFAULT_TARGET_LANG = "zh-CN"
+REQUIRED_FIELDS = ("media_id", "article_id", "title", "s3_prefix")
 # Message field order as serialized.
 MESSAGE_FIELDS = ("media_id", "article_id", "title", "s3_prefix", "job_type",
                   "target_lang", "image_link")
@@ -45,11 +46,13 @@ def parse_job_messages(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(jobs, rejects) from message bodies.
 
     Missing fields take the message defaults; a body that is not a JSON object
-    with the required ids is rejected (and would stay in the queue) without
+    with every required field is rejected (and would stay in the queue) without
     stopping the other messages.
     """
     parsed = messages.withColumn("_j", F.from_json("body", JOB_MESSAGE, {"mode": "PERMISSIVE"}))
-    ok = F.col("_j").isNotNull() & F.col("_j.article_id").isNotNull() & F.col("_j.s3_prefix").isNotNull()
+    ok = F.col("_j").isNotNull()
+    for required in REQUIRED_FIELDS:
+        ok = ok & F.col(f"_j.{required}").isNotNull()
     keep = [c for c in messages.columns if c != "body"]
     jobs = parsed.where(ok).select(
         *keep,

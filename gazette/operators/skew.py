@@ -1,19 +1,10 @@
-"""Join helpers for scale: size-checked broadcast and hot-key splitting.
+"""Equi-join for keys that are hot on both sides.
 
-* ``sized_broadcast`` hints a broadcast only after a bounded row count proved
-  the side small; otherwise the frame is returned unchanged and the planner
-  (AQE with measured shuffle sizes) picks a shuffle join.
-* ``skew_safe_join`` is an equi-join whose hot keys are split.  Per-key row
-  counts (a partial aggregate, combined map-side) find the keys holding more
-  than ``rows_per_slice`` rows on a side; only those keys are listed, so the
-  list is bounded by ``total rows / rows_per_slice`` (and fetched with a row cap).  A hot key's rows on the
-  split side go to one of its slices by a hash of their own id columns, and
-  the other side's rows of that key are replicated to every slice.  For inner
-  joins both sides can be split (a grid of slices, for keys hot on both
-  sides); for left/semi/anti joins only the left side is split and the right
-  side is reduced to what the join needs first (distinct keys for semi/anti).
-  Cold keys get one slice and join as usual.  Results are identical to the
-  plain join; a key holding a third of all rows is spread over many tasks.
+One oversized side is the runtime optimiser's business (AQE splits skewed
+partitions).  What it can't see is a join that multiplies: a key with many rows
+on both sides gives a huge output from partitions of ordinary size.
+``skew_safe_join`` splits such keys by their counts, without any ceiling on
+the number of hot keys or slices and without running a job of its own.
 """
 
 from __future__ import annotations
@@ -23,76 +14,41 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-DEFAULT_BROADCAST_ROWS = 100_000
 # Target rows of one side of one key inside a single join task.
 DEFAULT_ROWS_PER_SLICE = 50_000
-DEFAULT_MAX_SLICES = 256
-DEFAULT_MAX_HOT_KEYS = 100_000
 
 
-def bounded_count(df: DataFrame, limit: int) -> int:
-    """Number of rows, counting no further than ``limit + 1`` (only a
-    constant column of at most ``limit + 1`` rows reaches the driver)."""
-    return len(df.select(F.lit(1).alias("_one")).limit(limit + 1).collect())
-
-
-def sized_broadcast(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
-    """Broadcast-hint ``df`` only if it has at most ``max_rows`` rows."""
-    if bounded_count(df, max_rows) <= max_rows:
-        return F.broadcast(df)
-    return df
-
-
-def _slices(n, rows_per_slice: int, max_slices: int):
-    return F.least(F.greatest(F.ceil(n / F.lit(rows_per_slice)), F.lit(1)),
-                   F.lit(max_slices)).cast("int")
-
-
-def _hot_stats(left: DataFrame, right: DataFrame | None, keys: list[str], rows_per_slice: int,
-               max_slices: int, max_hot_keys: int) -> DataFrame | None:
-    """Broadcastable ``(keys, _sl, _sr)`` for hot keys, or None when there are
-    none or too many to ship (then the hash partitioning already spreads the
-    work and AQE's skew-join split handles what is left)."""
-    lc = left.groupBy(*keys).agg(F.count(F.lit(1)).alias("_nl"))
-    if right is not None:
-        rc = right.groupBy(*keys).agg(F.count(F.lit(1)).alias("_nr"))
-        counts = lc.join(rc, keys)
-    else:
-        counts = lc.withColumn("_nr", F.lit(0))
-    hot = counts.where((F.col("_nl") > rows_per_slice) | (F.col("_nr") > rows_per_slice)).select(
-        *keys, _slices(F.col("_nl"), rows_per_slice, max_slices).alias("_sl"),
-        _slices(F.col("_nr"), rows_per_slice, max_slices).alias("_sr"))
-    # One bounded action: at most ``max_hot_keys + 1`` rows of a few integers
-    # (the same bytes a broadcast ships through the driver anyway).  Usually
-    # there is no hot key and the plain join follows; the list, once fetched,
-    # needs no recomputation after an executor loss.
-    rows = hot.limit(max_hot_keys + 1).collect()
-    if not rows or len(rows) > max_hot_keys:
-        return None
-    return F.broadcast(left.sparkSession.createDataFrame(rows, hot.schema))
+def _slices(n, rows_per_slice: int, max_slices: int | None):
+    s = F.greatest(F.ceil(n / F.lit(rows_per_slice)), F.lit(1))
+    return (s if max_slices is None else F.least(s, F.lit(max_slices))).cast("int")
 
 
 def skew_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str],
                    left_ids: Sequence[str], right_ids: Sequence[str] | None = None,
                    how: str = "inner",
                    rows_per_slice: int = DEFAULT_ROWS_PER_SLICE,
-                   max_slices: int = DEFAULT_MAX_SLICES,
-                   max_hot_keys: int = DEFAULT_MAX_HOT_KEYS) -> DataFrame:
+                   max_slices: int | None = None) -> DataFrame:
     """Equi-join on ``keys`` with hot keys split over several tasks.
 
     ``how`` is ``inner``, ``left``, ``left_semi`` or ``left_anti``.
     ``left_ids``/``right_ids`` spread a side's rows within a key (a row id);
     they only choose the slice and never change the result.  For an inner
-    join with ``right_ids`` both sides may be split.
+    join with ``right_ids`` both sides may be split.  Keys with more than
+    ``rows_per_slice`` rows on a side are found by a partial aggregate; their
+    table joins back as the planner sees fit.
     """
     keys = list(keys)
     if how in ("left_semi", "left_anti"):
         right = right.select(*keys).distinct()
     grid = how == "inner" and right_ids is not None
-    stats = _hot_stats(left, right if grid else None, keys, rows_per_slice, max_slices,
-                       max_hot_keys)
-    if stats is None:
-        return left.join(right, keys, how)
+    counts = left.groupBy(*keys).agg(F.count(F.lit(1)).alias("_nl"))
+    if grid:
+        counts = counts.join(right.groupBy(*keys).agg(F.count(F.lit(1)).alias("_nr")), keys)
+    else:
+        counts = counts.withColumn("_nr", F.lit(0))
+    stats = counts.where((F.col("_nl") > rows_per_slice) | (F.col("_nr") > rows_per_slice)).select(
+        *keys, _slices(F.col("_nl"), rows_per_slice, max_slices).alias("_sl"),
+        _slices(F.col("_nr"), rows_per_slice, max_slices).alias("_sr"))
     one = F.lit(1)
     sl = F.coalesce(F.col("_sl"), one)
     sr = F.coalesce(F.col("_sr"), one) if grid else one

@@ -17,7 +17,8 @@ select page_id, url, {HOST_SQL} as host,
   regexp_extract(html, '<h1>(.*?)</h1>', 1) as title_1,
   regexp_extract(html, '<title>(.*?)</title>', 1) as title_2,
   regexp_replace(regexp_extract(html, '(?s)<article>(.*?)</article>', 1), '<[^>]+>', '', 'g') as content_1,
-  array_to_string(regexp_extract_all(html, '<p>([^<]*)</p>', 1), '') as content_2,
+  array_to_string(list_transform(regexp_extract_all(html, '(?s)<p(?:\s[^>]*)?>(.*?)</p>', 1),
+    lambda x: regexp_replace(x, '<[^>]+>', '', 'g')), '') as content_2,
   regexp_extract(html, 'class="author">(.*?)<', 1) as author_1,
   regexp_extract(html, '<footer>&copy; (.*?) &middot;', 1) as author_2,
   regexp_extract(html, '<img[^>]* src="([^"]+)"', 1) as image_link_1,

@@ -117,7 +117,8 @@ BUCKETS = 64
 
 
 def append_new(df: DataFrame, path: str, key: list[str], buckets: int = BUCKETS) -> None:
-    """Append rows whose key the target does not hold yet (idempotent append).
+    """Append rows whose key the target does not hold yet (idempotent append);
+    of rows that share a key in the batch, one is kept.
 
     Targets are partitioned by ``_bucket`` = hash of the key's first column,
     so the anti-join reads only the buckets this batch touches (a partition
@@ -127,6 +128,7 @@ def append_new(df: DataFrame, path: str, key: list[str], buckets: int = BUCKETS)
     from pyspark import StorageLevel
 
     spark = df.sparkSession
+    df = df.dropDuplicates(key)
     df = df.withColumn("_bucket", F.pmod(F.xxhash64(F.col(key[0])), F.lit(buckets)).cast("int"))
     if not _exists(spark, path):
         _write_buckets(df, path, key)

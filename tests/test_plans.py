@@ -85,19 +85,3 @@ def test_idempotent_append_reads_touched_buckets_only(spark):
     import re
     filters = re.search(r"PartitionFilters: \[([^\]]*)\]", plan_of(scan)).group(1)
     assert "_bucket" in filters and ("INSET" in filters or " IN (" in filters), filters
-
-
-def test_sized_broadcast_respects_bound(spark):
-    from gazette.operators.skew import sized_broadcast
-
-    small = spark.range(10).withColumnRenamed("id", "k")
-    big = spark.range(1000).withColumnRenamed("id", "k")
-    probe = spark.range(100000).withColumnRenamed("id", "k")
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")      # hints only
-    try:
-        hinted = plan_of(probe.join(sized_broadcast(small, max_rows=100), "k"))
-        plain = plan_of(probe.join(sized_broadcast(big, max_rows=100), "k"))
-    finally:
-        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", str(16 * 1024 * 1024))
-    assert "BroadcastHashJoin" in hinted
-    assert "BroadcastHashJoin" not in plain

@@ -148,7 +148,7 @@ def test_job_fanout_and_messages(spark):
                    (2, 2, "translate_article")]
     msgs = jobs.job_queue_rows(js).select(F.monotonically_increasing_id().alias("event_id"), "body")
     parsed, rej = jobs.parse_job_messages(msgs.unionByName(
-        spark.createDataFrame([(99, "{"), (98, '{"article_id": 4, "s3_prefix": "p"}')],
+        spark.createDataFrame([(99, "{"), (98, '{"media_id": 5, "article_id": 4, "title": "t", "s3_prefix": "p"}')],
                               "event_id long, body string")))
     assert rej.count() == 1 and parsed.count() == 8
     d = parsed.where(F.col("event_id") == 98).first()
