@@ -5,9 +5,9 @@ the benchmark, TF-IDF counts of all passages and the benchmark's own passages
 form a matrix whose leading right singular vectors come from one randomised
 pass: each task multiplies its rows with a fixed random matrix, Spark adds the
 products per term, and the Nystroem formula turns the sum into singular
-vectors.  All overlapping passages are then projected, those with a high cosine
-to a benchmark passage (and enough of its weight) are candidates, and a
-candidate is a leak if a longest common subsequence covers enough of the item's
+vectors.  All overlapping
+passages are then projected, those with enough of a benchmark passage's weight
+are candidates, and a candidate is a leak if a longest common subsequence covers enough of the item's
 words; in the band of paraphrases the item's answer (its last sentence) must be
 there as well.
 
@@ -33,9 +33,11 @@ from .common import scan_words
 PASSAGE = 48
 STRIDE = 16
 RANK = 64
-# Terms in more than this share of passages weigh nothing.
-COMMON = 0.02
-COSINE = 0.5
+# Least weight of a term, as a share of the largest.
+FLOOR = 0.7
+# Least share of an item passage's weight in a candidate.  With terms between
+# FLOOR and 1, a share p of the words is p / (p + (1 - p) / FLOOR ** 2) of the
+# weight at least: 0.37 for LCS_PARAPHRASE.
 WEIGHT = 0.3
 # Share of the item's words in order: a leak, or a paraphrase to be confirmed
 # by this share of the answer.
@@ -59,11 +61,18 @@ def _hashes(text: str) -> np.ndarray:
     return np.concatenate([r.hashes for r in scan_words(pa.array([text.lower()]), True, True)])
 
 
-def lcs(pattern: list[int], text: list[int]) -> int:
-    """Longest common subsequence, bit-parallel over the pattern."""
+def _places(pattern: list[int]) -> dict[int, int]:
+    """Bit set of the places of each word."""
     at: dict[int, int] = {}
     for i, w in enumerate(pattern):
         at[w] = at.get(w, 0) | 1 << i
+    return at
+
+
+def lcs(pattern: list[int], text: list[int], at: dict[int, int] | None = None) -> int:
+    """Longest common subsequence, bit-parallel over the pattern (whose
+    ``_places`` may be given)."""
+    at = _places(pattern) if at is None else at
     full = (1 << len(pattern)) - 1
     v = full
     for w in text:
@@ -168,27 +177,37 @@ def gram_sketch(docs: DataFrame, vocabulary: np.ndarray, omega: np.ndarray) -> t
     return y, sq
 
 
+def _parts(items: list[Item]) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Item index and words of each passage of each item.  A stretch of
+    ``PASSAGE - STRIDE`` words lies whole in some passage of its document."""
+    owner, parts = [], []
+    for i, x in enumerate(items):
+        cut = np.array_split(x.words, -(-len(x.words) // (PASSAGE - STRIDE)))
+        owner += [i] * len(cut)
+        parts += cut
+    return np.array(owner), parts
+
+
+def term_weights(df: np.ndarray, passages: int) -> np.ndarray:
+    """Inverse document frequency of each term, never under ``FLOOR`` of the
+    largest possible one: copies of an item can't switch its words off."""
+    most = np.log(passages + 2)
+    return np.maximum(np.log((passages + 2) / (df + 1)), FLOOR * most)
+
+
 def latent_space(docs: DataFrame, items: list[Item], rank: int = RANK):
     """(vocabulary, term vectors) of the leading singular directions."""
     vocabulary = np.unique(np.concatenate([x.words for x in items]))
     df, passages = passage_frequencies(docs, vocabulary)
-    rare = df <= max(COMMON * passages, 50)
-    # an item of common words only would lose all of them
-    for x in items:
-        t = np.searchsorted(vocabulary, x.words)
-        if len(t) and not rare[t].any():
-            rare[t] = True
-    vocabulary, df = vocabulary[rare], df[rare]
-    idf = np.log((passages + 2) / (df + 1))
+    idf = term_weights(df, passages)
     width = min(rank + 8, len(vocabulary))
     omega = np.random.default_rng(7).standard_normal((len(vocabulary), width))
     y, sq = gram_sketch(docs, vocabulary, omega * idf[:, None])
     y *= idf[:, None]
-    own = np.zeros((len(items), len(vocabulary)))
-    for i, x in enumerate(items):
-        t = np.searchsorted(vocabulary, x.words)
-        t[t == len(vocabulary)] = 0
-        np.add.at(own[i], t[vocabulary[t] == x.words], 1)
+    _, parts = _parts(items)
+    own = np.zeros((len(parts), len(vocabulary)))
+    for i, words in enumerate(parts):
+        np.add.at(own[i], np.searchsorted(vocabulary, words), 1)
     own *= idf
     # the benchmark's rows weigh as much as all of the corpus
     weight = 1 + (sq * idf ** 2).sum() / max((own ** 2).sum(), 1e-9)
@@ -203,16 +222,8 @@ def latent_space(docs: DataFrame, items: list[Item], rank: int = RANK):
 
 def _queries(items: list[Item], vocabulary: np.ndarray, vectors: np.ndarray):
     """Item index and vector of each passage of each item."""
-    owner, rows = [], []
-    for i, x in enumerate(items):
-        n = len(x.words)
-        for a in range(0, max(n - PASSAGE // 2, 1), PASSAGE):
-            part = x.words[a:a + PASSAGE] if n - a > PASSAGE * 3 // 2 else x.words[a:]
-            t = np.searchsorted(vocabulary, part)
-            t[t == len(vocabulary)] = 0
-            owner.append(i)
-            rows.append(vectors[t[vocabulary[t] == part]].sum(axis=0))
-    return np.array(owner), np.array(rows, dtype=np.float32)
+    owner, parts = _parts(items)
+    return owner, np.array([vectors[np.searchsorted(vocabulary, p)].sum(axis=0) for p in parts], dtype=np.float32)
 
 
 def _search(docs: DataFrame, items: list[Item], key: str) -> DataFrame:
@@ -226,9 +237,11 @@ def _search(docs: DataFrame, items: list[Item], key: str) -> DataFrame:
         size = np.linalg.norm(wanted, axis=1)
         ok = size > 0
         owner, wanted, size = owner[ok], wanted[ok], size[ok]
-        least = WEIGHT * size.min() if len(size) else np.inf
+        scores = vectors @ wanted.T  # what a word adds to each product
         words = [x.words.tolist() for x in items]
         answers = [x.answer.tolist() for x in items]
+        places = [_places(w) for w in words]
+        sets = [frozenset(w) for w in words]
         for b in batches:
             best: dict[tuple[int, int], tuple] = {}
             for run in scan_words(b.column(1), True, True):
@@ -236,29 +249,36 @@ def _search(docs: DataFrame, items: list[Item], key: str) -> DataFrame:
                 if not len(pos):
                     continue
                 starts, doc = _blocks(run, STRIDE)
-                part = _summed(vectors[term], np.searchsorted(starts, pos, side="right") - 1, len(starts))
-                sums = part.copy()
+                part = _summed(scores[term], np.searchsorted(starts, pos, side="right") - 1, len(starts))
+                dot = part.copy()
                 for k in range(1, reach):  # passages of `reach` blocks of one document
                     same = doc[k:] == doc[:-k]
-                    sums[:-k][same] += part[k:][same]
-                norm = np.linalg.norm(sums, axis=1)
-                near = np.flatnonzero(norm >= least)
-                dot = sums[near] @ wanted.T
-                hit, q = np.nonzero((dot >= COSINE * norm[near, None] * size) & (dot >= WEIGHT * size ** 2))
-                for h, j in zip(hit.tolist(), q.tolist()):
-                    p, i = int(near[h]), int(owner[j])
-                    d = int(doc[p])
+                    dot[:-k][same] += part[k:][same]
+                last, seen = -1, {}
+                for p, j in zip(*(x.tolist() for x in np.nonzero(dot >= WEIGHT * size ** 2))):
+                    i, d = int(owner[j]), int(doc[p])
                     n = len(words[i])
                     lo, hi = int(run.first[d]), int(run.first[d + 1])
-                    a, z = max(lo, int(starts[p]) - n), min(hi, int(starts[p]) + PASSAGE + n)
-                    text = run.hashes[a:z].tolist()
-                    share = lcs(words[i], text) / n
+                    if p != last:
+                        last, seen = p, {}
+                    if n not in seen:
+                        text = run.hashes[max(lo, int(starts[p]) - n):min(hi, int(starts[p]) + PASSAGE + n)].tolist()
+                        seen[n] = text, frozenset(text)
+                    text, held_words = seen[n]
+                    bits = 0
+                    for w in sets[i] & held_words:
+                        bits |= places[i][w]
+                    if bits.bit_count() < LCS_PARAPHRASE * n:  # no subsequence is longer
+                        continue
+                    share = lcs(words[i], text, places[i]) / n
                     if share < LCS_PARAPHRASE:
                         continue
                     answer = lcs(answers[i], text) / len(answers[i])
                     if share < LCS and answer < ANSWER:
                         continue
-                    got = (share, answer, float(dot[h, j] / (norm[p] * size[j])), int(starts[p]) - lo)
+                    inside = slice(*np.searchsorted(pos, [starts[p], min(hi, starts[p] + PASSAGE)]))
+                    norm = float(np.linalg.norm(vectors[term[inside]].sum(axis=0)))
+                    got = (share, answer, float(dot[p, j]) / (norm * float(size[j])), int(starts[p]) - lo)
                     k = (run.row + d, i)
                     if k not in best or got[:3] > best[k][:3]:
                         best[k] = got

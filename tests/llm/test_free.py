@@ -192,3 +192,17 @@ def test_every_exact_benchmark_passage_is_found(spark):
     items = [(r.item_id, plain(r.text)) for r in bench.collect()]
     held = {(d.doc_id, i) for d in docs.collect() for i, t in items if t in plain(d.text or "")}
     assert held <= {(r.doc_id, r.item_id) for r in decontam.leaks(docs, bench).collect()}
+
+
+def test_copies_do_not_hide_a_leak(spark, docs):
+    bench = spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet")
+    items = [(r.item_id, r.text) for r in bench.collect()]
+    rows = [(r.doc_id, r.text) for r in docs.collect() if r.text and len(r.text) < 800]
+    own = [t.split() for _, t in rows if len(t.split()) > 60]
+    planted = set()
+    for g, (i, t) in enumerate(items[3:24:7]):  # every 8th word changed, copied into a third of the rows
+        edited = ["zq" + w if k % 8 == 7 else w for k, w in enumerate(t.split())]
+        planted |= {(10 ** 6 + g * 1000 + k, i) for k in range(60)}
+        rows += [(10 ** 6 + g * 1000 + k, " ".join(own[g][:30 + g] + edited + own[g][30:60])) for k in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert planted <= {(r.doc_id, r.item_id) for r in decontam.leaks(df, bench).collect()}
