@@ -5,14 +5,14 @@ the benchmark, TF-IDF counts of all passages and the benchmark's own passages
 form a matrix whose leading right singular vectors come from one randomised
 pass: each task multiplies its rows with a fixed random matrix, Spark adds the
 products per term, and the Nystroem formula turns the sum into singular
-vectors.  All overlapping
+vectors, to which the benchmark's own passages are added.  All overlapping
 passages are then projected, those with enough of a benchmark passage's weight
 are candidates, and a candidate is a leak if a longest common subsequence covers enough of the item's
 words; in the band of paraphrases the item's answer (its last sentence) must be
 there as well.
 
 Document statistics cover every passage of every document; only the benchmark,
-in blocks of at most ``BLOCK_CHARS`` characters, and its vocabulary's
+in blocks of ``BLOCK_PASSAGES`` passages (or one item), and its vocabulary's
 vectors are held whole.  Null and blank texts have no passages; items without
 words leak nowhere; repeated rows are judged one by one; empty tables give
 empty results; extra columns are never read.  Very long texts are scanned whole.
@@ -44,7 +44,8 @@ WEIGHT = 0.3
 LCS = 0.75
 LCS_PARAPHRASE = 0.55
 ANSWER = 0.6
-BLOCK_CHARS = 4 << 20
+# Item passages of a block, whose space has as many dimensions and RANK more.
+BLOCK_PASSAGES = 512
 
 
 class Item:
@@ -196,7 +197,8 @@ def term_weights(df: np.ndarray, passages: int) -> np.ndarray:
 
 
 def latent_space(docs: DataFrame, items: list[Item], rank: int = RANK):
-    """(vocabulary, term vectors) of the leading singular directions."""
+    """(vocabulary, term vectors) of the leading singular directions and of the
+    benchmark's own passages."""
     vocabulary = np.unique(np.concatenate([x.words for x in items]))
     df, passages = passage_frequencies(docs, vocabulary)
     idf = term_weights(df, passages)
@@ -217,7 +219,10 @@ def latent_space(docs: DataFrame, items: list[Item], rank: int = RANK):
     core = omega.T @ y
     core = np.linalg.cholesky((core + core.T) / 2 + np.eye(width) * 1e-9 * np.trace(core) / width)
     u, _, _ = np.linalg.svd(np.linalg.solve(core, y.T).T, full_matrices=False)
-    return vocabulary, (u[:, :rank] * idf[:, None]).astype(np.float32)
+    # the benchmark's own passages are kept whole, so that its size costs none
+    # of them its length in the space
+    basis, _ = np.linalg.qr(np.hstack([u[:, :rank], own.T]))
+    return vocabulary, (basis * idf[:, None]).astype(np.float32)
 
 
 def _queries(items: list[Item], vocabulary: np.ndarray, vectors: np.ndarray):
@@ -293,17 +298,18 @@ def _search(docs: DataFrame, items: list[Item], key: str) -> DataFrame:
 
 
 def item_blocks(benchmark: DataFrame) -> Iterator[list[Item]]:
-    """Items in blocks of bounded size, by ``item_id``."""
+    """Items in blocks of ``BLOCK_PASSAGES`` passages or one item, by ``item_id``."""
     block, size = [], 0
     for r in benchmark.where("text is not null").select("item_id", "text").orderBy("item_id").toLocalIterator():
         item = Item(r[0], r[1])
         if not len(item.words):
             continue
-        block.append(item)
-        size += len(r[1])
-        if size >= BLOCK_CHARS:
+        n = len(_parts([item])[1])
+        if block and size + n > BLOCK_PASSAGES:
             yield block
             block, size = [], 0
+        block.append(item)
+        size += n
     if block:
         yield block
 

@@ -206,3 +206,17 @@ def test_copies_do_not_hide_a_leak(spark, docs):
         rows += [(10 ** 6 + g * 1000 + k, " ".join(own[g][:30 + g] + edited + own[g][30:60])) for k in range(60)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert planted <= {(r.doc_id, r.item_id) for r in decontam.leaks(df, bench).collect()}
+
+
+def test_a_large_benchmark_hides_no_item(spark):
+    pick = random.Random(4)
+    words = ["".join(pick.choices("abcdefghij", k=pick.randrange(2, 5))) for _ in range(3000)]
+    items = [(i, " ".join(pick.choices(words, k=pick.randrange(12, 60)))) for i in range(3000)]
+    rows, planted = [], set()
+    for k, (i, t) in enumerate(pick.sample(items, 300)):
+        w = [pick.choice(words) if k % 2 and n % 6 == 5 else x for n, x in enumerate(t.split())]
+        rows.append((k, " ".join(pick.choices(words, k=50) + w + pick.choices(words, k=40))))
+        planted.add((k, i))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    assert planted <= {(r.doc_id, r.item_id) for r in decontam.leaks(df, bench).collect()}
