@@ -54,9 +54,10 @@ def spread(df: DataFrame, site: str = "source", min_sites: int = MIN_SITES) -> D
 
 
 def cut_boilerplate(df: DataFrame, site: str = "source", min_sites: int = MIN_SITES,
-                    max_share: int = MAX_SHARE) -> DataFrame:
+                    max_share: int | None = MAX_SHARE) -> DataFrame:
     """All columns of ``df`` as struct ``row``, the new ``text`` and
-    ``n_lines``/``n_cut`` (word-bearing lines, lines cut)."""
+    ``n_lines``/``n_cut`` (word-bearing lines, lines cut).  Without ``max_share``
+    only documents that would have no line left stay whole."""
     base = df.select(F.monotonically_increasing_id().alias("rid"),
                      F.struct(*[df[c] for c in df.columns]).alias("row"))
     keys = F.explode(F.array_distinct(F.transform(_lines(F.col("row.text")), _key)))
@@ -74,7 +75,9 @@ def cut_boilerplate(df: DataFrame, site: str = "source", min_sites: int = MIN_SI
     kept = F.filter("parts", lambda p: (p["n"] == 0) | ~p["cut"])
     n_lines = F.size(_lines(F.coalesce(F.col("row.text"), F.lit("")))).cast("long")
     out = joined.select("row", "bad", F.when(plain, F.lit(None)).otherwise(parts).alias("parts"))
-    out = out.select("row", "parts", (F.col("parts").isNotNull() & (cut * 100 <= total * max_share)).alias("cuts"))
+    spared = (F.exists("parts", lambda p: (p["n"] > 0) & ~p["cut"]) if max_share is None
+              else cut * 100 <= total * max_share)
+    out = out.select("row", "parts", (F.col("parts").isNotNull() & spared).alias("cuts"))
     return out.select(
         "row", F.when(F.col("cuts"), F.array_join(F.transform(kept, lambda p: p["x"]), "\n"))
         .otherwise(F.col("row.text")).alias("text"), n_lines.alias("n_lines"),

@@ -41,3 +41,12 @@ def test_run_and_empty(spark, empty_docs):
 @pytest.mark.parametrize("name", sorted(n for n in E.oracle_sql() if n.startswith("op") and n[2].isdigit()))
 def test_queries_match_their_sql(spark, name):
     assert compare(E.queries()[name](spark, SF), duck_connect(SF), E.oracle_sql()[name])["ok"]
+
+
+def test_line_dedup_cuts_wherever_own_lines_are_left(spark, docs):
+    note = "a long notice that is found on every site"
+    texts = [f"own {i}\n{note}" for i in range(8)] + [note]
+    rows = [(i, t, "en", f"s{i}", len(t)) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    out = {r.doc_id: (r.text, r.n_chars) for r in corpus_pipeline.line_dedup(spark, df, SF).collect()}
+    assert out == {i: (f"own {i}", 5) for i in range(8)} | {8: (note, len(note))}
