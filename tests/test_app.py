@@ -5,7 +5,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from conftest import SF001
+from data_paths import SF001
 from gazette import app
 from gazette.session import scratch_path
 from gazette.sources import feeds, seed

@@ -2,7 +2,7 @@
 
 import pytest
 
-from conftest import SF001, SF01
+from data_paths import SF001, SF01
 from gazette.sources.model import Model
 
 # Row counts of the fixture views (FIXTURES.md).

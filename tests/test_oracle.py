@@ -3,7 +3,7 @@
 import pytest
 
 import __spark_entry__ as E
-from conftest import SF01
+from data_paths import SF01
 from gazette.plans.registry import ORACLE, QUERIES, load_all
 from oracle_compare import compare, duck_connect
 

@@ -3,7 +3,7 @@ top-k paging, filters pushed into scans, anti-joins on inserts."""
 
 import pytest
 
-from conftest import SF001
+from data_paths import SF001
 
 PYTHON_NODES = ("BatchEvalPython", "ArrowEvalPython", "MapInPandas", "PythonMapInArrow",
                 "FlatMapGroupsInPandas")

@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import functions as F
 
-from conftest import SF001
+from data_paths import SF001
 from gazette.functions import image_link_eligible, parse_feed_date, url_host, url_path_lower
 from gazette.operators import checks, enrich, extract, jobs
 from gazette.plans.enrichment import stored_texts

@@ -215,7 +215,7 @@ def test_skew_safe_join_all_forms(spark):
 def test_fanout_split_on_model_tables(spark):
     """Tiny slices make every (media, lang) key hot on both sides: the grid
     path must give exactly the plain deliveries."""
-    from conftest import SF001
+    from data_paths import SF001
     from gazette.sources.model import Model
 
     m = Model(spark, SF001)

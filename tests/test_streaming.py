@@ -3,7 +3,7 @@ into the same sink (lost checkpoint) adds nothing either."""
 
 import os
 
-from conftest import SF001
+from data_paths import SF001
 from gazette.session import scratch_path
 from gazette.sources.model import Model
 from gazette.streaming import worker
