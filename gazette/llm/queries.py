@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, licenses, lines, nearup, packing, passages, pii, quality, tokens, urlrules
+from . import decontam, licenses, lines, nearup, packing, passages, pii, quality, spelling, tokens, urlrules
 from .common import prepare, table
 from .encoders import tokenizer_path
 
@@ -145,3 +145,9 @@ def op7(spark, sf_dir):
 def op8(spark, sf_dir):
     """Benchmark items that each document holds, one row per document and item."""
     return decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op11_spelling_variants")
+def op11(spark, sf_dir):
+    """Every frequent word with its near words, form and root."""
+    return spelling.group_variants(table(spark, sf_dir, "documents"))
