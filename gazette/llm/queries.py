@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, licenses, lines, nearup, packing, passages, pii, quality, spelling, tokens, urlrules
+from . import decontam, licenses, lines, nearup, packing, passages, pii, quality, simhash, spelling, tokens, urlrules
 from .common import prepare, table
 from .encoders import tokenizer_path
 
@@ -151,3 +151,9 @@ def op8(spark, sf_dir):
 def op11(spark, sf_dir):
     """Every frequent word with its near words, form and root."""
     return spelling.group_variants(table(spark, sf_dir, "documents"))
+
+
+@query("op13_simhash_near_dedup")
+def op13(spark, sf_dir):
+    """Fingerprint and component of every document."""
+    return simhash.link(table(spark, sf_dir, "documents"))

@@ -92,9 +92,13 @@ def test_query_on_table(spark):
 
 def test_forms_and_chains(spark):
     """Each form is ten times as frequent; ties take the smaller word."""
-    words = (["kolorado"] * 600 + ["koloradu"] * 45 + ["kolxradu"] * 3 + ["abcdefgh"] * 50 + ["abcdefgi"] * 50
-             + ["abcdefgj"] * 2 + ["étéèàçûî"] * 50 + ["étéèàçûi"] * 2)
-    rows = [(i, w) for i, w in enumerate(words)]
+    def plain(word, n, start):
+        ids = (i for i in range(start, start + 10 * n) if zlib.crc32(f"{i}:{word}".encode()) % 31)
+        return [(next(ids), word) for _ in range(n)]
+
+    counts = {"kolorado": 600, "koloradu": 45, "kolxradu": 3, "abcdefgh": 50, "abcdefgi": 50, "abcdefgj": 2,
+              "étéèàçûî": 50, "étéèàçûi": 2}
+    rows = [row for k, (word, n) in enumerate(counts.items()) for row in plain(word, n, 10_000 * k)]
     got = result(spark, rows)
     assert set(got) == brute(rows)
     by = {r[0]: r for r in got}
