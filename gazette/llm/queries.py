@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, licenses, lines, nearup, packing, passages, pii, quality, simhash, spelling, tokens, urlrules
+from . import decontam, licenses, lines, nearup, packing, passages, pii, quality, simhash, spelling, tokens, turntrie, urlrules
 from .common import prepare, table
 from .encoders import tokenizer_path
 
@@ -157,3 +157,9 @@ def op11(spark, sf_dir):
 def op13(spark, sf_dir):
     """Fingerprint and component of every document."""
     return simhash.link(table(spark, sf_dir, "documents"))
+
+
+@query("op12_prefix_trie")
+def op12(spark, sf_dir):
+    """Every node of the trie of the conversations' turns."""
+    return turntrie.prefix_nodes(table(spark, sf_dir, "conversations"))
