@@ -7,6 +7,7 @@ keyed) or adds a new file, nothing is rewritten in place:
 * ``article``                    ingested articles (ids dense, append-only)
 * ``article_fixup``              crawl results; the current article is the
                                  article row overlaid with its latest fix-up
+* ``rule_rejects``               extraction rules left out, with the reason
 * ``text``                       crawled article texts, media/Year/Month/Day/Hour layout
 * ``queue``                      job messages (event_id, ts, body)
 * ``artifacts``, ``retry``, ``rejects``, ``acked``   worker results
@@ -26,10 +27,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators import checks, crawl as crawl_op, deliver as deliver_op, enrich, ingest as ingest_op
-from .operators import jobs as jobs_op
+from .operators import jobs as jobs_op, rules as rules_op
 from .operators import serve
 from .operators.fence import where_computed
-from .sources import feeds, sinks
+from .sources import feeds, seed as seed_csv, sinks
 from .streaming import worker
 
 ARTICLE_SCHEMA = ("id long, media_id long, title string, author string, link_url string, "
@@ -77,17 +78,27 @@ def ingest(spark: SparkSession, root: str, feed_docs: DataFrame) -> int:
     return rows.count()
 
 
+def site_rules(spark: SparkSession, root: str) -> DataFrame | None:
+    """The sites' extraction rules, compiled by host; None if the media table has
+    no rule columns (then the default rules hold).  Rules that are left out are
+    kept in ``rule_rejects`` with the reason."""
+    m = media(spark, root)
+    if "xpath_title" not in m.columns:
+        return None
+    compiled, rejects = rules_op.compile_rules(rules_op.rule_rows(seed_csv.rules_from_media(m)))
+    sinks.append_new(rejects, _p(root, "rule_rejects"), ["host", "field", "tier", "pattern"])
+    return compiled
+
+
 def crawl(spark: SparkSession, root: str, fetched: DataFrame, run_ts: _dt.datetime,
           target_lang: str = jobs_op.DEFAULT_TARGET_LANG, media_by_host: bool = False) -> int:
     """Pending articles + fetched pages ``(url, html)`` -> fix-ups, stored
     texts and job messages; returns the number of articles crawled."""
     current = articles(spark, root)
     pending = current.where(F.col("s3_prefix") == "")
-    # one page per url, whichever way the fetch repeated it
-    once = fetched.groupBy("url").agg(F.min("html").alias("html"))
-    pages = pending.select(F.col("id").alias("article_id"), F.col("link_url").alias("url")).join(once, "url")
+    pages = crawl_op.usable_page(fetched, pending.select(F.col("id").alias("article_id"), F.col("link_url").alias("url")))
     m = media(spark, root)
-    fixed = crawl_op.crawl_pending(pending.drop("updated_at"), pages, m, run_ts,
+    fixed = crawl_op.crawl_pending(pending.drop("updated_at"), pages, m, run_ts, rules=site_rules(spark, root),
                                    media_by_host=media_by_host)
     done = where_computed(fixed, F.length("content") > 0).checkpoint(eager=True)
     stamp = F.lit(run_ts).cast("timestamp_ntz")

@@ -31,7 +31,8 @@ def crawl_pending(article: DataFrame, pages: DataFrame, media: DataFrame,
                   media_by_host: bool = False) -> DataFrame:
     """Fixed-up rows of pending articles that have a fetched page.
 
-    ``pages``: ``(article_id, url, html)``.  Output keeps the article columns
+    ``pages``: ``(article_id, url, html)``; ``rules``: compiled rules by host
+    (``rules.compile_rules``; default rules where it has none).  Output keeps the article columns
     plus ``content`` (the text to store) and ``changed`` (row differs).
 
     ``media_by_host=True`` attributes the article to the first media of its
@@ -39,18 +40,17 @@ def crawl_pending(article: DataFrame, pages: DataFrame, media: DataFrame,
     job messages) instead of the media of the feed it came from; articles
     whose host has no media are left pending.
     """
-    pending = article.where(F.col("s3_prefix") == "")
-    p = pages.select(F.col("article_id").alias("page_id"), "url", "html")
-    ex = extract_articles(p, rules, keep_empty=True).select(
-        F.col("page_id").alias("id"), F.col("content"), F.col("author").alias("x_author"),
-        F.col("image_link").alias("x_image"), F.col("publish_date").alias("x_date"))
+    # only the pages of pending articles reach the patterns
+    pending = article.where(F.col("s3_prefix") == "").select("id", F.struct(*article.columns).alias("_a"))
+    p = pages.select(F.col("article_id").alias("id"), "url", "html").join(pending, "id")
+    x = extract_articles(p, rules, keep_empty=True)
+    j = x.select(*[F.col(f"_a.{c}").alias(c) for c in article.columns], "content", F.col("author").alias("x_author"),
+                 F.col("image_link").alias("x_image"), F.col("publish_date").alias("x_date"))
     if media_by_host:
         hm = media_of_host(media)          # per-site; broadcast by AQE
-        j = (pending.join(ex, "id").withColumn("host", url_host(F.col("link_url")))
-             .drop("media_id").join(hm, "host").drop("host"))
+        j = j.withColumn("host", url_host(F.col("link_url"))).drop("media_id").join(hm, "host").drop("host")
     else:
-        m = media.select(F.col("id").alias("media_id"), F.col("name").alias("media_name"))
-        j = pending.join(ex, "id").join(m, "media_id")
+        j = j.join(media.select(F.col("id").alias("media_id"), F.col("name").alias("media_name")), "media_id")
     date = resolve_publish_date(F.col("publish_date"), F.col("x_date"), run_ts)
     author = F.when(F.col("author") == "", F.col("x_author")).otherwise(F.col("author"))
     image = F.when(F.col("image_link") == "", F.col("x_image")).otherwise(F.col("image_link"))
@@ -67,6 +67,19 @@ def crawl_pending(article: DataFrame, pages: DataFrame, media: DataFrame,
     return fixed.withColumn("changed", changed).drop("_a0", "_i0", "_d0")
 
 
+def usable_page(fetched: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``(article_id, url, html)``: one fetched page for each wanted ``(article_id,
+    url)``.  Failed fetches (null or empty html) never stand for a page; of several
+    good ones the latest fetched counts (``fetched_at``, if the table has it; ties
+    and tables without it: the greatest html).  Pages nobody waits for are left
+    out before anything is shuffled by text."""
+    stamp = F.col("fetched_at") if "fetched_at" in fetched.columns else F.lit(0)
+    good = fetched.where(F.length("html") > 0).select("url", "html", stamp.alias("_at"))
+    good = good.join(wanted.select("url"), "url", "left_semi")
+    best = good.groupBy("url").agg(F.max_by("html", F.struct("_at", "html")).alias("html"))
+    return wanted.select("article_id", "url").join(best, "url")
+
+
 def audit_columns(rows: DataFrame, run_ts: _dt.datetime, inserted: bool = False) -> DataFrame:
     """created_at/updated_at the way the table defaults set them.
 

@@ -1,11 +1,12 @@
 """Rule-driven field extraction from fetched pages.
 
 Rules are rows ``(host, <field>_1, <field>_2)``: for every field a tier-1 and
-a tier-2 regular expression (group 1 is the value).  A field takes the first
-non-empty tier; hosts without a row use ``DEFAULT_RULES``.  The planner picks
-the join with the rule table from measured sizes; every field of every tier
-is computed in a single projection over the page, JVM-side, so the HTML is
-scanned once per pattern and never leaves the executor.
+a tier-2 regular expression (group 1 is the value), as ``rules.compile_rules``
+makes them from single rules.  A field takes the first non-empty tier; hosts
+without a row use ``DEFAULT_RULES``.  The planner picks the join with the rule
+table from measured sizes; fields are computed JVM-side, so the HTML never leaves
+the executor, and the second tier's patterns run only on pages where the first
+tier found nothing.
 
 Content differs by tier: tier 1 is the whole text of the first match (tags
 dropped), tier 2 the text of every match joined with nothing, in page order.
@@ -64,32 +65,35 @@ def with_rules(pages: DataFrame, rules: DataFrame | None = None) -> DataFrame:
     return p
 
 
+def _tier(f: str, tier: int) -> Column:
+    """The value of one field by one tier's pattern ('' when there is none)."""
+    html, pattern = F.col("html"), F.col(f"_p_{f}_{tier}")
+    if f != "content":
+        v = _first(html, pattern)
+    elif tier == 1:
+        v = F.regexp_replace(_first(html, pattern), TAG_RE, "")
+    else:
+        v = _all_joined(html, pattern, TAG_RE)
+    return F.coalesce(v, F.lit(""))
+
+
 def tier_values(pages: DataFrame, rules: DataFrame | None = None) -> DataFrame:
     """Per page and field, the tier-1 and tier-2 values (before merging)."""
     p = with_rules(pages, rules)
-    html = F.col("html")
     out = [F.col(c) for c in pages.columns if c != "html"] + [F.col("host")]
-    for f in FIELDS:
-        p1, p2 = F.col(f"_p_{f}_1"), F.col(f"_p_{f}_2")
-        if f == "content":
-            v1 = F.regexp_replace(_first(html, p1), TAG_RE, "")
-            v2 = _all_joined(html, p2, TAG_RE)
-        else:
-            v1, v2 = _first(html, p1), _first(html, p2)
-        out += [F.coalesce(v1, F.lit("")).alias(f"{f}_1"), F.coalesce(v2, F.lit("")).alias(f"{f}_2")]
-    return p.select(*out)
-
-
-def merge_tiers(tiers: DataFrame) -> DataFrame:
-    """First non-empty tier for each field; the date is parsed (sentinel if none)."""
-    keep = [c for c in tiers.columns if not any(c == f"{f}_{t}" for f in FIELDS for t in (1, 2))]
-    cols = [F.col(c) for c in keep]
-    for f in FIELDS:
-        v = field_priority(F.col(f"{f}_1"), F.col(f"{f}_2"))
-        if f == "publish_date":
-            v = F.when(v == "", sentinel()).otherwise(parse_feed_date(v))
-        cols.append(v.alias(f))
-    return tiers.select(*cols)
+    return p.select(*out, *[_tier(f, t).alias(f"{f}_{t}") for f in FIELDS for t in (1, 2)])
+
+
+def merged_values(pages: DataFrame, rules: DataFrame | None = None) -> DataFrame:
+    """First non-empty tier of each field; the date is parsed (sentinel if none)."""
+    p = with_rules(pages, rules)
+    keep = [c for c in pages.columns if c != "html"] + ["host"]
+    # the first tier as columns of their own, so that the second one's patterns
+    # stand in the branch not taken
+    one = p.select(*keep, "html", *[f"_p_{f}_2" for f in FIELDS], *[_tier(f, 1).alias(f"_v_{f}") for f in FIELDS])
+    both = one.select(*keep, *[F.when(F.col(f"_v_{f}") != "", F.col(f"_v_{f}")).otherwise(_tier(f, 2)).alias(f) for f in FIELDS])
+    date = F.when(F.col("publish_date") == "", sentinel()).otherwise(parse_feed_date(F.col("publish_date")))
+    return both.withColumn("publish_date", date)
 
 
 def incomplete(df: DataFrame) -> Column:
@@ -105,7 +109,7 @@ def extract_articles(pages: DataFrame, rules: DataFrame | None = None,
     Only pages with non-empty content proceed (``keep_empty`` keeps all);
     pages whose html is NULL (fetch failed) are left out and stay pending.
     """
-    out = merge_tiers(tier_values(pages.where(F.col("html").isNotNull()), rules))
+    out = merged_values(pages.where(F.col("html").isNotNull()), rules)
     out = out.withColumn("incomplete", incomplete(out))
     if keep_empty:
         return out
