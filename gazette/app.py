@@ -4,7 +4,8 @@
 keyed) or adds a new file, nothing is rewritten in place:
 
 * ``media``, ``user_media``      seed tables (written by ``seed``)
-* ``article``                    ingested articles (ids dense, append-only)
+* ``article``                    ingested articles (ids from blocks, append-only)
+* ``feed_rejects``               feed items and documents left out, with the reason
 * ``article_fixup``              crawl results; the current article is the
                                  article row overlaid with its latest fix-up
 * ``rule_rejects``               extraction rules left out, with the reason
@@ -22,6 +23,7 @@ from __future__ import annotations
 
 import datetime as _dt
 import os
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,6 +33,7 @@ from .operators import jobs as jobs_op, rules as rules_op
 from .operators import serve
 from .operators.fence import where_computed
 from .sources import feeds, seed as seed_csv, sinks
+from .sources.ids import IdBlocks, with_reserved_ids
 from .streaming import worker
 
 ARTICLE_SCHEMA = ("id long, media_id long, title string, author string, link_url string, "
@@ -66,16 +69,36 @@ def articles(spark: SparkSession, root: str) -> DataFrame:
     return sinks.merge_by_key(base, latest, ["id"], cols)
 
 
-def ingest(spark: SparkSession, root: str, feed_docs: DataFrame) -> int:
-    """Feed documents -> new article rows with dense ids (appended); returns
-    how many were added.  Known links and unknown feeds are skipped."""
-    items, _rejects = feeds.parse_feed_documents(feed_docs)
+def id_blocks(spark: SparkSession, root: str) -> IdBlocks:
+    """The id log of the article table; batch and stream take their ids from it."""
+    return IdBlocks(spark, _p(root, "_ids/article"))
+
+
+def ingest(spark: SparkSession, root: str, feed_docs: DataFrame, run_id: str | None = None) -> int:
+    """Feed documents -> new article rows with ids (appended); returns how many
+    were added.  Known links are skipped; what does not parse, lacks a link or
+    title or comes from an unknown feed is kept in ``feed_rejects``.  A run that
+    is repeated under its ``run_id`` numbers its rows alike."""
+    items, broken = feeds.parse_feed_documents(feed_docs)
+    current = articles(spark, root)
+    rows, bad = ingest_op.insert_new_articles(items, media(spark, root), current)
+    highest = current.agg(F.max("id")).first()[0] or 0
+    rows = with_reserved_ids(rows, id_blocks(spark, root), f"ingest/{run_id or uuid.uuid4().hex}",
+                             ["link_url", "media_id", "title", "publish_date"], above=highest)
+    added = sinks.append_new(rows.select(*[c.split()[0] for c in ARTICLE_SCHEMA.split(", ")]), _p(root, "article"), ["link_url", "media_id"])
+    sinks.append_new(feeds.reject_rows(broken, bad), _p(root, "feed_rejects"), ["digest"])
+    return added
+
+
+def ingest_stream(spark: SparkSession, root: str, source, trigger: dict | None = None,
+                  source_options: dict | None = None) -> None:
+    """Feed items ``(link, title, pub_date, feed_url)`` polled as files (or any
+    stream of them) -> new article rows, ids from the same log as the batch's."""
     current = articles(spark, root)
-    rows, _bad = ingest_op.insert_new_articles(items, media(spark, root), current)
-    rows = checks.surrogate_ids(rows, current.select("id"), ["link_url", "media_id"])
-    rows = rows.select(*[c.split()[0] for c in ARTICLE_SCHEMA.split(", ")]).checkpoint(eager=True)
-    sinks.append_new(rows, _p(root, "article"), ["link_url", "media_id"])
-    return rows.count()
+    highest = current.agg(F.max("id")).first()[0] or 0
+    worker.run_feed_ingest(spark, source, media(spark, root), current, root, _p(root, "_chk_feeds"),
+                           source_options=source_options, trigger=trigger, blocks=id_blocks(spark, root), above=highest,
+                           key=["link_url", "media_id"])
 
 
 def site_rules(spark: SparkSession, root: str) -> DataFrame | None:

@@ -118,3 +118,32 @@ def q_feed_files(m):
     path = scratch_path(m.spark, "feeds")
     manifest = feeds.write_feed_files(docs, path)
     return feeds.read_feed_files(m.spark, path, manifest).drop("pub_text")
+
+
+def broken_feed_documents(m, per_doc: int = 50):
+    """Feed documents of all articles in which some items are broken: a bare
+    ampersand in the title (id % 7 = 3) or no end (id % 7 = 5)."""
+    items = feeds.feed_items_from_articles(m.article(), m.media())
+    good = F.to_xml(F.struct("title", "link", "pubDate"), {"rowTag": "item"})
+    bad = F.concat(F.lit("<item><title>this & that</title><link>"), F.col("link"), F.lit("</link></item>"))
+    endless = F.concat(F.lit("<item><title>never closed<link>"), F.col("link"), F.lit("</link>"))
+    k = F.col("seq") % 7
+    rows = items.select("feed_url", "seq", F.when(k == 3, bad).when(k == 5, endless).otherwise(good).alias("item"))
+    docs = rows.groupBy("feed_url", F.floor(F.col("seq") / per_doc).alias("doc_no")).agg(
+        F.sort_array(F.collect_list(F.struct("seq", "item"))).alias("its"))
+    body = F.concat(F.lit("<rss><channel><title>x</title>"), F.array_join("its.item", "\n"), F.lit("</channel></rss>"))
+    return docs.select("feed_url", "doc_no", body.alias("body"))
+
+
+@query("feed_salvage", f"""
+select link, feed_url, case id % 7 when 3 then '{feeds.NOT_XML}' when 5 then '{feeds.NOT_CLOSED}' else 'item' end as status,
+  case when id % 7 not in (3, 5) then title end as title,
+  case when id % 7 not in (3, 5) then pub_date end as pub_date
+from ({_ITEMS_SQL})""")
+def q_feed_salvage(m):
+    """SRC-01, SET-03: every item of documents with broken items in between, as an
+    item or as a reject with its reason."""
+    items, rejects = feeds.parse_feed_documents(broken_feed_documents(m))
+    link = F.regexp_extract("fragment", "<link>([^<]*)</link>", 1)
+    return items.select("link", "feed_url", F.lit("item").alias("status"), "title", "pub_date").unionByName(
+        rejects.select(link.alias("link"), "feed_url", F.col("reason").alias("status")), allowMissingColumns=True)

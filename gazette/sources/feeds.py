@@ -1,24 +1,30 @@
 """Feed documents (RSS-style XML) as a DataFrame source.
 
-A feed document is one row ``(feed_url, body)``.  Parsing is one
-``from_xml`` per row plus an ``explode`` of the items, so documents are parsed
-in parallel and no document is ever larger than a feed page.  A body that does
-not parse yields a NULL channel and goes to the reject frame; the other
-documents are unaffected.
+A feed document is one row ``(feed_url, body)``.  It is cut into its items first
+and each item is parsed by itself with ``from_xml``, so an item that does not parse
+goes to the reject frame alone: the rest of its document and the other documents
+are unaffected.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import parse_feed_date
-from ..schemas import FEED_DOC
+from ..operators.fence import where_computed
+from ..schemas import FEED_ITEM
 
 # Feed date text as the fixture feeds carry it.
 FEED_DATE_OUT = "EEE, dd MMM yyyy HH:mm:ss"
 XML_OPTIONS = {"ignoreSurroundingSpaces": "false", "mode": "PERMISSIVE"}
 DEFAULT_ITEMS_PER_DOC = 50
+ITEM_OR_BAD = T.StructType([*FEED_ITEM.fields, T.StructField("_bad", T.StringType())])
+BAD_OPTION = {"rowTag": "item", "columnNameOfCorruptRecord": "_bad"}
+# Why something of a feed is left out.
+NO_ITEMS, NOT_CLOSED, NOT_XML = "no items", "item is not closed", "item does not parse"
+NO_LINK_OR_TITLE, UNKNOWN_FEED = "link or title missing", "unknown feed"
 
 
 def feed_date_text(ts, use_named_zone) -> F.Column:
@@ -43,20 +49,47 @@ def render_feed_documents(items: DataFrame, items_per_doc: int = DEFAULT_ITEMS_P
     return grouped.select("feed_url", "doc_no", body.alias("body"))
 
 
+def split_items(docs: DataFrame) -> DataFrame:
+    """``(feed_url, position, fragment)``: the text from each ``<item`` to the next
+    one, counted from 0; a document without items is one row of position null."""
+    parts = F.filter(F.split("body", r"(?=<item[\s>/])"), lambda x: x.rlike(r"^<item[\s>/]"))
+    each = docs.select("feed_url", "body", F.posexplode_outer(parts).alias("position", "fragment"))
+    return each.select("feed_url", "position", F.coalesce("fragment", "body").alias("fragment"))
+
+
 def parse_feed_documents(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(items, rejects): one row per item ``(link, title, pub_date, feed_url)``;
-    documents whose body does not parse are returned as rejects."""
-    parsed = docs.select("*", F.from_xml("body", FEED_DOC, XML_OPTIONS).alias("_d"))
-    ok = F.col("_d.channel.item").isNotNull()
-    items = (parsed.where(ok)
-             .select("feed_url", F.explode("_d.channel.item").alias("_i"))
-             .select(F.col("_i.link").alias("link"), F.col("_i.title").alias("title"),
-                     parse_feed_date(F.col("_i.pubDate")).alias("pub_date"),
-                     F.col("_i.pubDate").alias("pub_text"), "feed_url"))
-    rejects = parsed.where(~ok).drop("_d")
+    """(items, rejects) of documents ``(feed_url, body)``.
+
+    A document is cut into its items before anything is parsed, so what is wrong
+    with one item costs that item: the ones before and after it are kept, also in
+    a document that breaks off.  Items are ``(link, title, pub_date, pub_text,
+    feed_url)``, rejects ``(feed_url, position, fragment, reason)``: every item of
+    the input is a row of one of the two.
+    """
+    whole = F.regexp_extract("fragment", r"(?s)^(.*</item\s*>)", 1)
+    rows = split_items(docs).withColumn("_whole", F.when(F.col("position").isNotNull(), whole))
+    parsed = rows.withColumn("_i", F.when(F.col("_whole") != "", F.from_xml("_whole", ITEM_OR_BAD, {**XML_OPTIONS, **BAD_OPTION})))
+    reason = (F.when(F.col("position").isNull(), NO_ITEMS).when(F.col("_whole") == "", NOT_CLOSED)
+              .when(F.col("_i").isNull() | F.col("_i._bad").isNotNull(), NOT_XML))
+    judged = parsed.withColumn("reason", reason)
+    items = where_computed(judged.select("feed_url", "_i", "reason"), F.col("reason").isNull()).select(
+        F.col("_i.link").alias("link"), F.col("_i.title").alias("title"), parse_feed_date(F.col("_i.pubDate")).alias("pub_date"),
+        F.col("_i.pubDate").alias("pub_text"), "feed_url")
+    rejects = where_computed(judged.select("feed_url", "position", "fragment", "reason"), F.col("reason").isNotNull())
     return items, rejects
 
 
+def reject_rows(broken: DataFrame, bad: DataFrame) -> DataFrame:
+    """``(digest, feed_url, reason, content)`` of what an ingest leaves out: rejects
+    of ``parse_feed_documents`` and items that no article can be made of."""
+    missing = F.col("link").isNull() | F.col("title").isNull()
+    rows = broken.select("feed_url", "reason", F.col("fragment").alias("content")).unionByName(bad.select(
+        "feed_url", F.when(missing, NO_LINK_OR_TITLE).otherwise(UNKNOWN_FEED).alias("reason"),
+        F.to_json(F.struct("link", "title", "pub_date")).alias("content")))
+    named = F.to_json(F.struct("feed_url", "reason", "content"))
+    return rows.select(F.sha2(named, 256).alias("digest"), "feed_url", "reason", "content")
+
+
 def feed_items_from_articles(article: DataFrame, media: DataFrame) -> DataFrame:
     """Item rows as the feeds would carry the given articles (test source).
 
@@ -85,8 +118,6 @@ def read_feed_files(spark, path: str, manifest: DataFrame) -> DataFrame:
     file's folder, mapped to the feed url by the (per-document, small)
     manifest.  Items come out like ``parse_feed_documents``' items.
     """
-    from ..schemas import FEED_ITEM
-
     raw = (spark.read.format("xml").option("rowTag", "item").option("ignoreSurroundingSpaces", "false")
            .schema(FEED_ITEM).load(path)
            .select("*", F.regexp_extract(F.col("_metadata.file_path"), r"/doc=([^/]+)/", 1).alias("doc")))

@@ -6,7 +6,7 @@ the caller gives); partitioned layouts let later reads prune by media and date.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -116,9 +116,10 @@ def read_or_empty(spark: SparkSession, path: str, schema) -> DataFrame:
 BUCKETS = 64
 
 
-def append_new(df: DataFrame, path: str, key: list[str], buckets: int = BUCKETS) -> None:
+def append_new(df: DataFrame, path: str, key: list[str], buckets: int = BUCKETS) -> int:
     """Append rows whose key the target does not hold yet (idempotent append);
-    of rows that share a key in the batch, one is kept.
+    of rows that share a key in the batch the least one is kept, so a repeated
+    batch keeps the same.  Returns how many rows were written.
 
     Targets are partitioned by ``_bucket`` = hash of the key's first column,
     so the anti-join reads only the buckets this batch touches (a partition
@@ -128,20 +129,26 @@ def append_new(df: DataFrame, path: str, key: list[str], buckets: int = BUCKETS)
     from pyspark import StorageLevel
 
     spark = df.sparkSession
-    df = df.dropDuplicates(key)
+    columns = df.columns
+    others = [c for c in columns if c not in key]
+    if others:
+        df = df.groupBy(*key).agg(F.min(F.struct(*others)).alias("_r")).select(
+            *[F.col(c) if c in key else F.col(f"_r.{c}").alias(c) for c in columns])
+    else:
+        df = df.distinct()
     df = df.withColumn("_bucket", F.pmod(F.xxhash64(F.col(key[0])), F.lit(buckets)).cast("int"))
     if not _exists(spark, path):
-        _write_buckets(df, path, key)
-        return
+        return _write_buckets(df, path, key)
     # the batch is read twice (its buckets, then the write): kept for the
     # duration of the append; lost blocks are rebuilt from lineage
     df = df.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         touched = [r[0] for r in df.select("_bucket").distinct().collect()]
-        if touched:
-            existing = (spark.read.schema(df.schema).parquet(path)
-                        .where(F.col("_bucket").isin(touched)).select("_bucket", *key))
-            _write_buckets(df.join(existing, ["_bucket", *key], "left_anti"), path, key)
+        if not touched:
+            return 0
+        existing = (spark.read.schema(df.schema).parquet(path)
+                    .where(F.col("_bucket").isin(touched)).select("_bucket", *key))
+        return _write_buckets(df.join(existing, ["_bucket", *key], "left_anti"), path, key)
     finally:
         df.unpersist()
 
@@ -161,11 +168,13 @@ def without_existing(df: DataFrame, path: str, key: list[str], buckets: int = BU
     return b.join(existing, ["_bucket", *key], "left_anti").drop("_bucket")
 
 
-def _write_buckets(df: DataFrame, path: str, key: list[str]) -> None:
+def _write_buckets(df: DataFrame, path: str, key: list[str]) -> int:
     # range-partitioned on (bucket, key): a small batch writes about one file per
     # touched bucket, a large one splits its big buckets over several tasks
-    (df.repartitionByRange("_bucket", *key).write.mode("append")
-     .partitionBy("_bucket").parquet(path))
+    written = Observation()
+    (df.repartitionByRange("_bucket", *key).observe(written, F.count(F.lit(1)).alias("n"))
+     .write.mode("append").partitionBy("_bucket").parquet(path))
+    return written.get["n"]
 
 
 def read_bucketed(spark: SparkSession, path: str, schema=None) -> DataFrame:
