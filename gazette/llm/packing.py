@@ -150,13 +150,16 @@ def place(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
     # a partition's rows must be numbered by one task: one group per partition
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cut.schema) + ", sequence_id long, offset long"
-    return dealt.repartition(n, "_part").mapInArrow(assign, schema)
+    # in one order, so that a task that runs again gives the same ranks
+    order = ["_part", "length", "doc_id", "piece", "ids_crc32"]
+    return dealt.repartition(n, "_part").sortWithinPartitions(*order).mapInArrow(assign, schema)
 
 
 def pack(df: DataFrame, tokenizer: str, capacity: int = CAPACITY, separator: int = 0,
          key: str = "doc_id", with_ids: bool = False) -> DataFrame:
     """Pieces of all documents with their place in the packed sequences."""
-    cut = pieces(df, tokenizer, capacity, separator, key, with_ids)
+    # placing reads the pieces twice: texts are tokenised once
+    cut = stored(pieces(df, tokenizer, capacity, separator, key, with_ids), "packing-pieces")
     return place(cut, capacity)
 
 
