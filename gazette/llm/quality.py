@@ -18,6 +18,7 @@ import time
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.fence import where_computed
 from .common import let, split_words
 
 # Rows that rule costs are measured on (the result doesn't depend on them).
@@ -156,4 +157,5 @@ def keep_good(df: DataFrame) -> DataFrame:
     cond = rules()
     packed = df.select(F.struct(*[df[c] for c in df.columns]).alias("_row"), F.col("text"))
     order = cascade_order(with_words(df, []), cond)
-    return with_words(packed, ["_row"]).where(first_failure(cond, order).isNull()).select("_row.*")
+    # the words are computed once per row, not again below the filter
+    return where_computed(with_words(packed, ["_row"]), first_failure(cond, order).isNull()).select("_row.*")
