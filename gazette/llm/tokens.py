@@ -4,10 +4,12 @@ A SentencePiece BPE whose pieces never carry a space mark after their first
 letter can't merge across the start of a run of spaces, so a text's token
 count is the sum over its pre-tokens (a run of spaces and what follows it).
 Each distinct pre-token is encoded once.  Pre-tokens of a bounded sample form a
-head table of at most ``HEAD_TOKENS`` short entries, which every task holds;
-all other pre-tokens are counted once each by a distinct, and joined to the
-documents' frequencies.  The head only moves work: results are the same for
-any head, the empty one included.
+head table of at most ``HEAD_TOKENS`` entries and ``HEAD_BYTES`` bytes, which every
+task holds.  All others are dealt by pre-token with the documents' frequencies: the
+task that holds a pre-token's rows encodes it once and joins the count to them in
+sorted order, one pre-token at a time.  The head only moves work (a pre-token that
+many documents share is in it): results are the same for any head, the empty one
+included.
 
 Null text counts as empty.  Repeated rows are counted one by one (rows are
 joined on an internal row id); extra columns are never read.
@@ -18,18 +20,20 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
-from itertools import repeat
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .encoders import sentence_pieces
 
-# Bounds of the head table: documents sampled, entries, bytes of an entry.
+# Bounds of the head table: documents sampled, entries, bytes of all entries.
 HEAD_DOCUMENTS = 4000
 HEAD_TOKENS = 200_000
-HEAD_BYTES = 32
+HEAD_BYTES = 8 << 20
+# Longest entry of the head.
+HEAD_ENTRY = 4096
 
 _PRE = re.compile(" +[^ ]*|[^ ]+")
 
@@ -66,14 +70,17 @@ def head_table(rows: DataFrame, model: str) -> dict[str, int]:
             c = Counter()
             for t in b.column(0):
                 c.update(_text_pre_tokens(t.as_py() or ""))
-            c = {k: v for k, v in c.items() if len(k.encode()) <= HEAD_BYTES}
+            c = {k: v for k, v in c.items() if len(k) <= HEAD_ENTRY}
             yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.string()), pa.array(list(c.values()), pa.int64())], ["token", "n"])
 
     part = F.pmod(F.xxhash64("text"), F.lit(HEAD_DOCUMENTS))
     sample = rows.groupBy(part.alias("p")).agg(F.min_by("text", F.xxhash64("text")).alias("text")).select("text")
     top = (sample.mapInArrow(words, "token string, n long").groupBy("token").agg(F.sum("n").alias("n"))
-           .orderBy(F.desc("n"), "token").limit(HEAD_TOKENS).select("token"))
-    tokens = [r[0] for r in top.collect()]
+           .orderBy(F.desc("n"), "token").limit(HEAD_TOKENS))
+    # the commonest ones, as far as their bytes go
+    top = top.select("token", F.sum(F.octet_length("token")).over(
+        Window.orderBy(F.desc("n"), "token").rowsBetween(Window.unboundedPreceding, 0)).alias("bytes"))
+    tokens = [r[0] for r in top.where(F.col("bytes") <= HEAD_BYTES).select("token").collect()]
     return dict(zip(tokens, count_pieces(model, tokens))) if tokens else {}
 
 
@@ -88,40 +95,50 @@ def count_tokens(df: DataFrame, model: str, limit: int = 4096, key: str = "doc_i
     known = spark.sparkContext.broadcast(head_table(rows, model) if head is None else head)
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A row for each distinct pre-token of a document outside the head."""
+        """A row for each document with the pieces of the pre-tokens that the head
+        has, and one for each other distinct pre-token of it."""
         have = known.value
         for b in batches:
-            rid, token, n = [], [], []
-            for r, t in zip(b.column(0).to_pylist(), b.column(1)):
+            rid, token, n, covered = [], [], [], []
+            for r, t in zip(b.column(0).to_pylist(), b.column(2)):
+                pieces = 0
                 for k, c in Counter(_text_pre_tokens(t.as_py())).items():
-                    if k not in have:
+                    known_pieces = have.get(k)
+                    if known_pieces is None:
                         rid.append(r)
                         token.append(k)
                         n.append(c)
+                    else:
+                        pieces += c * known_pieces
+                covered.append(pieces)
+            m = len(rid)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(rid, pa.int64()), pa.array(token, pa.string()), pa.array(n, pa.int64())], ["rid", "token", "n"])
-
-    def covered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Pieces of each document's pre-tokens that the head has."""
-        get = known.value.get
+                [pa.concat_arrays([b.column(0), pa.array(rid, pa.int64())]),
+                 pa.concat_arrays([b.column(1), pa.nulls(m, b.column(1).type)]),
+                 pa.concat_arrays([b.column(3), pa.nulls(m, pa.int64())]),
+                 pa.array([None] * b.num_rows + token, pa.string()), pa.array(covered + n, pa.int64())],
+                ["rid", "key", "n_bytes", "token", "n"])
+
+    def priced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Frequencies times pieces; equal pre-tokens follow one another, so each
+        is encoded once."""
+        last, last_pieces = None, 0
         for b in batches:
-            n = [sum(map(get, _text_pre_tokens(t.as_py()), repeat(0))) for t in b.column(2)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(3), pa.array(n, pa.int64())],
+            d = b.column(3).dictionary_encode()
+            tokens = d.dictionary.to_pylist()
+            seen = bool(tokens) and tokens[0] == last
+            pieces = ([last_pieces] if seen else []) + count_pieces(model, tokens[seen:])
+            if tokens:
+                last, last_pieces = tokens[-1], pieces[-1]
+            each = pa.array([*pieces, 1], pa.int64()).take(d.indices.fill_null(len(pieces)))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pc.multiply(b.column(4), each)],
                                              ["rid", "key", "n_bytes", "n"])
 
-    def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            tokens = b.column(0).to_pylist()
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(count_pieces(model, tokens), pa.int32())], ["token", "pieces"])
-
-    rest = rows.select("rid", "text").mapInArrow(frequencies, "rid long, token string, n long")
-    pieces = rest.select("token").distinct().mapInArrow(encoded, "token string, pieces int")
-    head_counts = (rows.withColumn("n_bytes", F.octet_length("text").cast("long"))
-                   .mapInArrow(covered, f"rid long, key {dict(rows.dtypes)['key']}, n_bytes long, n long"))
-    no_key = F.lit(None).cast(head_counts.schema["key"].dataType)
-    counted = (rest.join(pieces, "token")
-               .select("rid", no_key.alias("key"), F.lit(None).cast("long").alias("n_bytes"),
-                       (F.col("n") * F.col("pieces")).alias("n"))
-               .unionByName(head_counts).groupBy("rid")
-               .agg(F.max("key").alias(key), F.max("n_bytes").alias("n_bytes"), F.sum("n").alias("n_tokens")))
+    kind = dict(rows.dtypes)["key"]
+    counts = rows.withColumn("n_bytes", F.octet_length("text").cast("long")).mapInArrow(
+        frequencies, f"rid long, key {kind}, n_bytes long, token string, n long")
+    # documents' own rows are spread by row id
+    dealt = counts.repartition(F.xxhash64("token", F.when(F.col("token").isNull(), F.col("rid")))).sortWithinPartitions("token")
+    counted = dealt.mapInArrow(priced, f"rid long, key {kind}, n_bytes long, n long").groupBy("rid").agg(
+        F.max("key").alias(key), F.max("n_bytes").alias("n_bytes"), F.sum("n").alias("n_tokens"))
     return counted.select(key, "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
