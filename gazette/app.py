@@ -13,6 +13,7 @@ keyed) or adds a new file, nothing is rewritten in place:
 * ``queue``                      job messages (event_id, ts, body)
 * ``artifacts``, ``retry``, ``rejects``, ``acked``   worker results
 * ``ready``, ``article_translation``, ``user_article``   gate and delivery
+* ``timeline``                   deliveries with their sort key, by user
 
 Stages: ``ingest`` (feeds), ``crawl`` (pages), ``work`` (model jobs, batch or
 stream), ``deliver`` (gate, translations, fan-out), and the read side
@@ -32,7 +33,7 @@ from .operators import checks, crawl as crawl_op, deliver as deliver_op, enrich,
 from .operators import jobs as jobs_op, rules as rules_op
 from .operators import serve
 from .operators.fence import where_computed
-from .sources import feeds, seed as seed_csv, sinks
+from .sources import feeds, seed as seed_csv, sinks, timelines
 from .sources.ids import IdBlocks, with_reserved_ids
 from .streaming import worker
 
@@ -191,7 +192,10 @@ def deliver(spark: SparkSession, root: str, all_langs: bool = False) -> None:
     um = spark.read.parquet(_p(root, "user_media"))
     # keys already delivered are dropped by the append's bucket-pruned anti-join
     dl = deliver_op.subscription_fanout(fresh, articles(spark, root), um, all_langs=all_langs)
+    dl = dl.checkpoint(eager=True)
     sinks.append_new(dl, _p(root, "user_article"), ["user_id", "article_id"])
+    timelines.append(timelines.rows_of(dl, articles(spark, root)), _p(root, "timeline"))
+    # last: a run that failed before is repeated whole, and adds what is missing
     sinks.append_new(fresh, _p(root, "ready"), ["article_id", "lang"])
 
 
@@ -202,10 +206,25 @@ def translations(spark: SparkSession, root: str) -> DataFrame:
 
 def timeline(spark: SparkSession, root: str, user_id: int, page: int = 0,
              lang: str | None = "en") -> DataFrame:
-    """One page of a user's timeline (``lang=None``: every translation)."""
-    ua = sinks.read_or_empty(spark, _p(root, "user_article"), "user_id long, article_id long")
-    return serve.timeline_page(articles(spark, root), ua, media(spark, root),
-                               translations(spark, root), user_id, page, lang)
+    """One page of a user's timeline by its number (``lang=None``: every
+    translation).  ``timeline_after`` reads on from a page without the ones before."""
+    cursor = None
+    for _ in range(page):
+        _cards, cursor = timeline_after(spark, root, user_id, cursor, lang)
+        if cursor is None:
+            return _cards.limit(0)
+    return timeline_after(spark, root, user_id, cursor, lang)[0]
+
+
+def timeline_after(spark: SparkSession, root: str, user_id: int, cursor: timelines.Cursor | None = None,
+                   lang: str | None = "en", page_size: int = serve.PAGE_LIMIT) -> tuple[DataFrame, timelines.Cursor | None]:
+    """(cards, next cursor): the page behind ``cursor`` (None: the first page; a
+    next cursor of None: there is no further page)."""
+    if not sinks.exists(spark, _p(root, "timeline")):
+        empty = spark.createDataFrame([], "id long, t_title string, publish_date timestamp_ntz, summary string, s3_prefix string, media_name string")
+        return serve.card_shape(empty), None
+    return timelines.page(spark, _p(root, "timeline"), _p(root, "article_translation"), media(spark, root), user_id,
+                          cursor, lang, page_size)
 
 
 def detail(spark: SparkSession, root: str, article_id: int, lang: str) -> DataFrame:

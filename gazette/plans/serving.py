@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from ..functions import format_publish_date
 from ..operators import serve
+from ..session import scratch_path
+from ..sources import sinks, timelines
 from .registry import query
 
 USER, PAGE, LANG, ARTICLE_ID = 8, 0, "en", 42
@@ -44,6 +46,37 @@ def timeline_paging(m):
                                user_id=USER, page=1, lang=LANG)
 
 
+def stored_timelines(m):
+    """(timeline, translations): the model's deliveries and translations written
+    the way the application stores them."""
+    path = scratch_path(m.spark, "timelines")
+    timelines.append(timelines.rows_of(m.user_article(), m.article()), path)
+    translations = scratch_path(m.spark, "translations")
+    sinks.append_new(m.article_translation().select("article_id", "lang", "title", "summary"), translations, ["article_id", "lang"])
+    return path, translations
+
+
+def _page_after(m, pages: int, lang):
+    path, translations = stored_timelines(m)
+    cursor = None
+    for _ in range(pages):
+        _cards, cursor = timelines.page(m.spark, path, translations, m.media(), USER, cursor, lang)
+    cards, _next = timelines.page(m.spark, path, translations, m.media(), USER, cursor, lang)
+    return cards
+
+
+@query("timeline_seek", _CARD_SQL.format(lang=f"and t.lang = '{LANG}'", user=USER, offset=20))
+def timeline_seek(m):
+    """LIM-01, JOIN-03: page 2 of the stored timeline, read from page 1's last key."""
+    return _page_after(m, 2, LANG)
+
+
+@query("timeline_seek_all_langs", _CARD_SQL.format(lang="", user=USER, offset=10))
+def timeline_seek_all_langs(m):
+    """LIM-01, JOIN-04: page 1 of every translation, read from page 0's last key."""
+    return _page_after(m, 1, None)
+
+
 @query("timeline_shape", f"""
 select a.id as "articleId", t.lang as lang, t.title as title,
   strftime(a.publish_date, '%Y-%m-%d %H:%M') as "publishDate", t.summary as summary,

@@ -6,7 +6,7 @@ the caller gives); partitioned layouts let later reads prune by media and date.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -105,6 +105,9 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
+exists = _exists
+
+
 def read_or_empty(spark: SparkSession, path: str, schema) -> DataFrame:
     if _exists(spark, path):
         return spark.read.schema(schema).parquet(path).drop("_bucket")
@@ -116,7 +119,7 @@ def read_or_empty(spark: SparkSession, path: str, schema) -> DataFrame:
 BUCKETS = 64
 
 
-def append_new(df: DataFrame, path: str, key: list[str], buckets: int = BUCKETS) -> int:
+def append_new(df: DataFrame, path: str, key: list[str], buckets: int = BUCKETS, sort: list | None = None) -> int:
     """Append rows whose key the target does not hold yet (idempotent append);
     of rows that share a key in the batch the least one is kept, so a repeated
     batch keeps the same.  Returns how many rows were written.
@@ -124,7 +127,8 @@ def append_new(df: DataFrame, path: str, key: list[str], buckets: int = BUCKETS)
     Targets are partitioned by ``_bucket`` = hash of the key's first column,
     so the anti-join reads only the buckets this batch touches (a partition
     filter on the target's scan) instead of the whole, ever-growing table.
-    The list of touched buckets has at most ``buckets`` small integers.
+    The list of touched buckets has at most ``buckets`` small integers.  Rows are
+    sorted by ``sort`` (default: the key) inside the files.
     """
     from pyspark import StorageLevel
 
@@ -138,7 +142,7 @@ def append_new(df: DataFrame, path: str, key: list[str], buckets: int = BUCKETS)
         df = df.distinct()
     df = df.withColumn("_bucket", F.pmod(F.xxhash64(F.col(key[0])), F.lit(buckets)).cast("int"))
     if not _exists(spark, path):
-        return _write_buckets(df, path, key)
+        return _write_buckets(df, path, key, sort)
     # the batch is read twice (its buckets, then the write): kept for the
     # duration of the append; lost blocks are rebuilt from lineage
     df = df.persist(StorageLevel.MEMORY_AND_DISK)
@@ -148,7 +152,7 @@ def append_new(df: DataFrame, path: str, key: list[str], buckets: int = BUCKETS)
             return 0
         existing = (spark.read.schema(df.schema).parquet(path)
                     .where(F.col("_bucket").isin(touched)).select("_bucket", *key))
-        return _write_buckets(df.join(existing, ["_bucket", *key], "left_anti"), path, key)
+        return _write_buckets(df.join(existing, ["_bucket", *key], "left_anti"), path, key, sort)
     finally:
         df.unpersist()
 
@@ -168,11 +172,20 @@ def without_existing(df: DataFrame, path: str, key: list[str], buckets: int = BU
     return b.join(existing, ["_bucket", *key], "left_anti").drop("_bucket")
 
 
-def _write_buckets(df: DataFrame, path: str, key: list[str]) -> int:
+def in_buckets(spark: SparkSession, values: list[int], buckets: int = BUCKETS) -> Column:
+    """Partition filter on the folders that hold rows of these (long) key values,
+    as a few literal numbers, so that other folders aren't even listed."""
+    rows = spark.createDataFrame([(v,) for v in values], "v long")
+    hit = rows.select(F.pmod(F.xxhash64("v"), F.lit(buckets)).cast("int").alias("b")).distinct().collect()
+    return F.col("_bucket").isin(sorted(r.b for r in hit))
+
+
+def _write_buckets(df: DataFrame, path: str, key: list[str], sort: list | None = None) -> int:
     # range-partitioned on (bucket, key): a small batch writes about one file per
     # touched bucket, a large one splits its big buckets over several tasks
     written = Observation()
-    (df.repartitionByRange("_bucket", *key).observe(written, F.count(F.lit(1)).alias("n"))
+    (df.repartitionByRange("_bucket", *key).sortWithinPartitions("_bucket", *(sort or key))
+     .observe(written, F.count(F.lit(1)).alias("n"))
      .write.mode("append").partitionBy("_bucket").parquet(path))
     return written.get["n"]
 
