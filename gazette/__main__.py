@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import argparse
 import datetime as dt
+import importlib
 import sys
 
 
@@ -40,6 +41,9 @@ def _parser() -> argparse.ArgumentParser:
     s.add_argument("--media-by-host", action="store_true")
     s = cmd("work")
     s.add_argument("--stream", action="store_true")
+    s.add_argument("--every", help="with --stream: go on running, a micro-batch each such interval, e.g. '20 seconds'")
+    s.add_argument("--model", help="the model function as module:name (default: an echo, for trying things out)")
+    s.add_argument("--large", action="store_true", help="ask the large model")
     s = cmd("deliver")
     s.add_argument("--all-langs", action="store_true")
     s = cmd("timeline")
@@ -52,6 +56,20 @@ def _parser() -> argparse.ArgumentParser:
     return p
 
 
+def _model(spark, name: str | None):
+    """The function that ``module:name`` names; a module of one file is shipped to
+    the executors (a package comes with ``--py-files``)."""
+    from .operators.enrich import echo_model
+
+    if name is None:
+        return echo_model
+    module, _, function = name.partition(":")
+    found = importlib.import_module(module)
+    if "." not in module and not hasattr(found, "__path__"):
+        spark.sparkContext.addPyFile(found.__file__)
+    return getattr(found, function)
+
+
 def main(argv: list[str] | None = None, spark=None):
     args = _parser().parse_args(argv)
     from . import app
@@ -67,7 +85,8 @@ def main(argv: list[str] | None = None, spark=None):
                       dt.datetime.fromisoformat(args.run_ts), args.target_lang, args.media_by_host)
         print(n, "articles crawled")
     elif args.cmd == "work":
-        app.work(spark, args.root, stream=args.stream)
+        trigger = {"processingTime": args.every} if args.every else None
+        app.work(spark, args.root, _model(spark, args.model), args.stream, args.large, trigger)
     elif args.cmd == "deliver":
         app.deliver(spark, args.root, all_langs=args.all_langs)
     elif args.cmd == "timeline":

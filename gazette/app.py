@@ -11,6 +11,7 @@ keyed) or adds a new file, nothing is rewritten in place:
 * ``rule_rejects``               extraction rules left out, with the reason
 * ``text``                       crawled article texts, media/Year/Month/Day/Hour layout
 * ``queue``                      job messages (event_id, ts, body)
+* ``answers``                    what the model said, by a digest of the request
 * ``artifacts``, ``retry``, ``rejects``, ``acked``   worker results
 * ``ready``, ``article_translation``, ``user_article``   gate and delivery
 * ``timeline``                   deliveries with their sort key, by user
@@ -34,6 +35,7 @@ from .operators import jobs as jobs_op, rules as rules_op
 from .operators import serve
 from .operators.fence import where_computed
 from .sources import feeds, seed as seed_csv, sinks, timelines
+from .sources.answers import AnswerStore
 from .sources.ids import IdBlocks, with_reserved_ids
 from .streaming import worker
 
@@ -146,26 +148,31 @@ def crawl(spark: SparkSession, root: str, fetched: DataFrame, run_ts: _dt.dateti
 
 
 def stored_texts(spark: SparkSession, root: str) -> DataFrame:
-    return sinks.read_article_texts(spark, _p(root, "text")).select(
-        F.col("id").alias("article_id"), F.col("body").alias("text"))
+    """``(article_id, text)`` with the folder columns of the stored layout."""
+    rows = sinks.read_or_empty(spark, _p(root, "text"), sinks.TEXT_LAYOUT)
+    return rows.select(F.col("id").alias("article_id"), F.col("body").alias("text"), *sinks.LAYOUT_PARTS)
 
 
-def work(spark: SparkSession, root: str, model_fn=enrich.echo_model, stream: bool = False) -> None:
+def work(spark: SparkSession, root: str, model_fn=enrich.echo_model, stream: bool = False,
+         use_large: bool = False, trigger: dict | None = None) -> None:
     """Answer queued jobs: artifacts for successes, the retry table for
     failures.  ``stream=True`` runs the Structured Streaming worker over the
-    queue folder (checkpointed under ``root``); otherwise one batch job over
-    the messages without an outcome yet."""
+    queue folder (checkpointed under ``root``; ``trigger`` as for a stream's
+    writer, e.g. ``{"processingTime": "20 seconds"}`` to go on running; default:
+    what is there); otherwise one batch job over the messages without an outcome
+    yet.  Both keep the model's answers in ``answers`` and ask nothing twice."""
     paths = {"artifacts": _p(root, "artifacts"), "retry": _p(root, "retry"),
              "rejects": _p(root, "rejects")}
     texts = stored_texts(spark, root)
     if stream:
-        worker.run_worker(spark, _p(root, "queue"), texts, root, _p(root, "_chk_worker"), model_fn)
+        worker.run_worker(spark, _p(root, "queue"), texts, root, _p(root, "_chk_worker"), model_fn, use_large,
+                          trigger=trigger, answers=_p(root, "answers"))
         return
     queue = sinks.read_or_empty(spark, _p(root, "queue"), MESSAGE_SCHEMA)
     acked = sinks.read_or_empty(spark, _p(root, "acked"), "event_id long")
     todo = queue.join(acked.select("event_id"), "event_id", "left_anti").checkpoint(eager=True)
     parsed, rejects = jobs_op.parse_job_messages(todo)
-    good, failed = enrich.enrich_batch(parsed, texts, model_fn)
+    good, failed = enrich.enrich_batch(parsed, texts, model_fn, use_large, AnswerStore(spark, _p(root, "answers")))
     sinks.append_new(good, paths["artifacts"], ["event_id"])
     sinks.append_new(failed.select("event_id", "article_id", "job_type").join(
         todo.select("event_id", "ts", "body"), "event_id").withColumn("epoch", F.lit(-1).cast("long")),

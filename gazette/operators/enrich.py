@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import image_link_eligible, lang_display, text_trim, title_clean
+from ..sources.answers import AnswerStore, digest
 from .fence import where_computed
 
 # Prompt wording (our own), slots {lang} and {text}; the
@@ -94,17 +95,47 @@ def job_dispatch(jobs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return out, jobs.where(~known)
 
 
+# Articles of a batch that are named to every task (about 100 bytes each).
+FEW_ARTICLES = 100_000
+FOLDERS = r"(?s)media=(.*)/Year=(\d{1,9})/Month=(\d{1,9})/Day=(\d{1,9})/Hour=(\d{1,9})/"
+
+
+def text_folder(prefix: Column) -> dict[str, Column]:
+    """Folder columns of the text layout from a storage prefix (null: no such
+    prefix); a media name may hold slashes."""
+    def part(group: int) -> Column:
+        return F.nullif(F.regexp_extract(prefix, FOLDERS, group), F.lit(""))
+
+    return {"media": part(1), **{c: part(i).cast("int") for i, c in enumerate(("Year", "Month", "Day", "Hour"), 2)}}
+
+
+def texts_of_jobs(jobs: DataFrame, texts: DataFrame) -> DataFrame:
+    """``(article_id, text)`` of the articles that the jobs name, no others.
+
+    With the stored layout's folder columns the jobs' prefixes say where a text is:
+    the folders of the batch's articles are read (dynamic partition pruning), not
+    the whole store.  The list of a batch's articles goes to every task only up
+    to ``FEW_ARTICLES``, counted first; larger batches join by shuffle.
+    """
+    if "Year" not in texts.columns:
+        return texts.select("article_id", "text").join(jobs.select("article_id").distinct(), "article_id", "left_semi")
+    folder = text_folder(F.col("s3_prefix"))
+    wanted = jobs.select("article_id", *[c.alias(n) for n, c in folder.items()]).where("Year is not null").distinct()
+    if wanted.count() <= FEW_ARTICLES:
+        wanted = F.broadcast(wanted)
+    return texts.join(wanted, [*folder, "article_id"]).select("article_id", "text")
+
+
 def requests(dispatched: DataFrame, texts: DataFrame, use_large: bool = False) -> DataFrame:
     """Request rows for text jobs whose input exists.
 
-    ``texts``: ``(article_id, text)`` — the stored article text.  Jobs whose
-    article has no stored text get no request (they fail and are retried).
+    ``texts``: ``(article_id, text)`` — the stored article text — or the stored
+    layout with its folder columns (``texts_of_jobs``).  Jobs whose article has no
+    stored text get no request (they fail and are retried).
     """
     tj = dispatched.where(F.col("job_type").isin(*TEXT_JOBS))
-    # many jobs of one article (retries, languages): AQE splits the left side;
-    # only texts that a job of the batch names enter the join
-    wanted = texts.select("article_id", "text").join(tj.select("article_id").distinct(), "article_id", "left_semi")
-    j = tj.join(wanted, "article_id", "left")
+    # many jobs of one article (retries, languages): AQE splits the left side
+    j = tj.join(texts_of_jobs(tj, texts), "article_id", "left")
     src = F.when(F.col("input_source") == "title", F.col("title")).otherwise(F.col("text"))
     req = None
     for k in TEXT_JOBS:
@@ -171,15 +202,23 @@ def results(answered: DataFrame) -> DataFrame:
 
 
 def enrich_batch(jobs: DataFrame, texts: DataFrame, model_fn: ModelFn = echo_model,
-                 use_large: bool = False) -> tuple[DataFrame, DataFrame]:
+                 use_large: bool = False, answers: AnswerStore | None = None) -> tuple[DataFrame, DataFrame]:
     """(artifacts to put, failed jobs) for one batch of parsed jobs.
 
     Image jobs succeed without text (an ineligible link is done with no output);
     text jobs fail when the input is missing or the answer is empty.  The model
-    is called once per request (answers are checkpointed).
+    is called once per request: with ``answers`` what it said is kept there, for
+    this batch, for a repetition of it and for equal requests of later ones;
+    without, it is checkpointed for this batch.
     """
     dispatched, _unknown = job_dispatch(jobs)
     reqs = requests(dispatched, texts, use_large)
+    if answers is not None:
+        reqs = reqs.withColumn("digest", digest(F.col("request")))
+        answers.ask(reqs, lambda todo: call_model(todo, model_fn), completion_parse(F.col("status"), F.col("body")) != "")
+        res = results(answers.answered(reqs))
+        good = where_computed(res, F.col("body") != "")
+        return good, failed_jobs(dispatched, good)
     # Answers are written once to the checkpoint folder: both outputs (and
     # every later action on them) read them back instead of calling the model
     # again, and a lost executor never triggers a second call for a stored

@@ -8,6 +8,8 @@ from ..functions.text import LANG_NAMES, WHITESPACE_CODES
 from ..operators import enrich, jobs
 from ..operators.fence import where_computed
 from .jobs import _MESSAGES_SQL
+from ..session import scratch_path
+from ..sources.answers import AnswerStore
 from .registry import query
 
 _WS_SQL = " || ".join(f"chr({c})" for c in WHITESPACE_CODES)
@@ -206,3 +208,20 @@ def q_failed_jobs(m):
     """AGG-06: text jobs that produced nothing (no stored text) stay queued."""
     _good, failed = enrich.enrich_batch(parsed_jobs(m), stored_texts(m))
     return failed.select("event_id", "article_id", "job_type")
+
+
+def silent_model(batch):
+    """A model that is out of order."""
+    import pandas as pd
+
+    return pd.DataFrame({"event_id": batch["event_id"], "status": 500, "body": None})
+
+
+@query("enrich_replayed", _RESULTS_SQL)
+def q_enrich_replayed(m):
+    """ENR-07, AGG-06: the batch enriched again from the kept answers alone, by a
+    model that answers nothing any more."""
+    store = AnswerStore(m.spark, scratch_path(m.spark, "answers"))
+    enrich.enrich_batch(parsed_jobs(m), stored_texts(m), answers=store)
+    good, _failed = enrich.enrich_batch(parsed_jobs(m), stored_texts(m), silent_model, answers=store)
+    return good

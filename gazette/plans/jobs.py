@@ -7,7 +7,8 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from ..functions import parse_feed_date
-from ..operators import crawl, jobs
+from ..operators import crawl, enrich, jobs
+from ..operators.fence import where_computed
 from ..sources import feeds, sinks
 from .extraction import _MERGED_SQL
 from ..session import scratch_path
@@ -150,3 +151,17 @@ def q_article_fixup_merge(m):
     path = scratch_path(m.spark, "article_snapshot")
     merged.write.mode("overwrite").parquet(path)
     return m.spark.read.parquet(path)
+
+
+@query("job_text_from_layout", f"""
+select j.article_id, j.job_type, f.content as text from ({_JOBS_SQL}) j join ({_FIXED_SQL}) f on f.id = j.article_id
+where j.job_type <> 'get_image'""")
+def q_job_text_from_layout(m):
+    """JOIN-13, SRC-06: the text of each text job read from the folder that the
+    job's prefix names in the stored layout."""
+    done = where_computed(crawled(m), F.length("content") > 0).checkpoint(eager=True)
+    path = sinks.write_article_texts(done, m.spark)
+    texts = sinks.read_article_texts(m.spark, path).select(F.col("id").alias("article_id"), F.col("body").alias("text"), *sinks.LAYOUT_PARTS)
+    js, _rejects = jobs.parse_job_messages(jobs.job_queue_rows(jobs.job_fanout(done)).select("body"))
+    text_jobs = js.where(F.col("job_type").isin(*enrich.TEXT_JOBS)).select("article_id", "job_type", "s3_prefix")
+    return text_jobs.join(enrich.texts_of_jobs(text_jobs, texts), "article_id").select("article_id", "job_type", "text")
