@@ -30,8 +30,14 @@ def _parser() -> argparse.ArgumentParser:
         return s
 
     s = cmd("seed")
-    s.add_argument("--media", required=True)
-    s.add_argument("--user-media", required=True)
+    s.add_argument("--media", help="parquet of media with rule columns")
+    s.add_argument("--user-media", help="parquet of subscriptions")
+    s.add_argument("--csv", help="instead: the CSV of media and rules; one user is subscribed to all of them")
+    s.add_argument("--email", default="reader@example.com")
+    s.add_argument("--lang", default="zh-CN")
+    cmd("check")
+    s = cmd("delete-media")
+    s.add_argument("--id", type=int, action="append", required=True)
     s = cmd("ingest")
     s.add_argument("--feeds", required=True, help="parquet of (feed_url, body)")
     s = cmd("crawl")
@@ -76,7 +82,16 @@ def main(argv: list[str] | None = None, spark=None):
     from .session import build_session, configure
 
     spark = configure(spark) if spark is not None else build_session()
-    if args.cmd == "seed":
+    if args.cmd == "seed" and args.csv:
+        print(app.seed_from_csv(spark, args.root, args.csv, args.email, args.lang), "media")
+    elif args.cmd == "check":
+        df = app.check(spark, args.root).where("n_rows > 0")
+        df.show(100, truncate=60)
+        return df
+    elif args.cmd == "delete-media":
+        for name, n in app.delete_media(spark, args.root, args.id).items():
+            print(n, "rows of", name)
+    elif args.cmd == "seed":
         app.seed(spark, args.root, spark.read.parquet(args.media), spark.read.parquet(args.user_media))
     elif args.cmd == "ingest":
         print(app.ingest(spark, args.root, spark.read.parquet(args.feeds)), "articles added")

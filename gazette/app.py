@@ -30,17 +30,18 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import checks, crawl as crawl_op, deliver as deliver_op, enrich, ingest as ingest_op
+from .operators import checks, constraints, crawl as crawl_op, deliver as deliver_op, enrich, ingest as ingest_op
 from .operators import jobs as jobs_op, rules as rules_op
 from .operators import serve
 from .operators.fence import where_computed
-from .sources import feeds, seed as seed_csv, sinks, timelines
+from .schemas import TABLES
+from .sources import deletes, feeds, seed as seed_csv, sinks, timelines
 from .sources.answers import AnswerStore
 from .sources.ids import IdBlocks, with_reserved_ids
 from .streaming import worker
 
 ARTICLE_SCHEMA = ("id long, media_id long, title string, author string, link_url string, "
-                  "s3_prefix string, image_link string, publish_date timestamp_ntz")
+                  "s3_prefix string, image_link string, publish_date timestamp_ntz, created_at timestamp_ntz")
 FIXUP_SCHEMA = ("id long, author string, image_link string, publish_date timestamp_ntz, "
                 "s3_prefix string, updated_at timestamp_ntz")
 MESSAGE_SCHEMA = "event_id long, ts timestamp_ntz, body string"
@@ -51,10 +52,53 @@ def _p(root: str, name: str) -> str:
     return os.path.join(root, name)
 
 
-def seed(spark: SparkSession, root: str, media: DataFrame, user_media: DataFrame) -> None:
-    """Write the media (with rule columns) and subscription tables."""
+def seed(spark: SparkSession, root: str, media: DataFrame, user_media: DataFrame,
+         users: DataFrame | None = None) -> None:
+    """Write the media (with rule columns), subscription and user tables."""
     media.write.mode("overwrite").parquet(_p(root, "media"))
     user_media.select("user_id", "media_id", "lang").write.mode("overwrite").parquet(_p(root, "user_media"))
+    if users is not None:
+        sinks.write_table(users, "user", _p(root, "user"))
+
+
+def seed_from_csv(spark: SparkSession, root: str, path: str, email: str, lang: str = jobs_op.DEFAULT_TARGET_LANG,
+                  run_ts: _dt.datetime | None = None) -> int:
+    """Seed the tables from the CSV of media and rules: ids in the file's order, one
+    user who subscribes to every media in their language.  Returns the media."""
+    stamp = F.lit(run_ts or _dt.datetime.now()).cast("timestamp_ntz")
+    rows = seed_csv.read_seed_csv(spark, path).withColumn("_at", F.monotonically_increasing_id())
+    start = spark.range(1).select(F.lit(0).cast("bigint").alias("_n"))
+    rows = checks.numbered(checks.ranged_by(rows, ["_at"]), start, "id").drop("_at")
+    media = sinks.conform(rows.withColumns({"created_at": stamp, "updated_at": stamp}), "media").checkpoint(eager=True)
+    user = spark.range(1).select(F.lit(1).cast("bigint").alias("id"), F.lit(lang).alias("lang"), F.lit(email).alias("email"),
+                                 stamp.alias("created_at"), stamp.alias("updated_at"))
+    seed(spark, root, media, deliver_op.seed_subscriptions(media, 1, lang), user)
+    return media.count()
+
+
+def check(spark: SparkSession, root: str) -> DataFrame:
+    """Every declared constraint of the stored tables with the keys and rows that
+    break it; tables that aren't there yet are empty."""
+    tables = {}
+    for name, schema in TABLES.items():
+        path = _p(root, name)
+        if name == "article":
+            tables[name] = articles(spark, root)
+        else:
+            tables[name] = sinks.read_or_empty(spark, path, schema)
+    return constraints.report(spark, tables)
+
+
+def delete_media(spark: SparkSession, root: str, ids: list[int]) -> dict[str, int]:
+    """Delete media and everything that hangs off them, in all stored tables;
+    returns the rows deleted by table."""
+    gone = spark.createDataFrame([(i,) for i in ids], "id long")
+    schemas = {
+        "article": ARTICLE_SCHEMA, "article_fixup": FIXUP_SCHEMA, "text": sinks.TEXT_LAYOUT, "media": media(spark, root).schema,
+        "user_media": "user_id long, media_id long, lang string", "user_article": "user_id long, article_id long",
+        "article_translation": "article_id long, lang string, title string, summary string", "ready": "article_id long, lang string",
+        "timeline": timelines.SCHEMA.removesuffix(", _bucket int")}
+    return deletes.delete_media(spark, root, gone, schemas)
 
 
 def media(spark: SparkSession, root: str) -> DataFrame:
@@ -68,7 +112,7 @@ def articles(spark: SparkSession, root: str) -> DataFrame:
     cols = ["author", "image_link", "publish_date", "s3_prefix", "updated_at"]
     latest = fix.groupBy("id").agg(F.max_by(F.struct(*cols), "updated_at").alias("_f"))
     latest = latest.select("id", *[F.col(f"_f.{c}").alias(c) for c in cols])
-    base = base.withColumn("updated_at", F.lit(None).cast("timestamp_ntz"))
+    base = base.withColumn("updated_at", F.col("created_at"))
     return sinks.merge_by_key(base, latest, ["id"], cols)
 
 
@@ -77,7 +121,8 @@ def id_blocks(spark: SparkSession, root: str) -> IdBlocks:
     return IdBlocks(spark, _p(root, "_ids/article"))
 
 
-def ingest(spark: SparkSession, root: str, feed_docs: DataFrame, run_id: str | None = None) -> int:
+def ingest(spark: SparkSession, root: str, feed_docs: DataFrame, run_id: str | None = None,
+           run_ts: _dt.datetime | None = None) -> int:
     """Feed documents -> new article rows with ids (appended); returns how many
     were added.  Known links are skipped; what does not parse, lacks a link or
     title or comes from an unknown feed is kept in ``feed_rejects``.  A run that
@@ -88,6 +133,7 @@ def ingest(spark: SparkSession, root: str, feed_docs: DataFrame, run_id: str | N
     highest = current.agg(F.max("id")).first()[0] or 0
     rows = with_reserved_ids(rows, id_blocks(spark, root), f"ingest/{run_id or uuid.uuid4().hex}",
                              ["link_url", "media_id", "title", "publish_date"], above=highest)
+    rows = crawl_op.audit_columns(rows, run_ts or _dt.datetime.now(), inserted=True)
     added = sinks.append_new(rows.select(*[c.split()[0] for c in ARTICLE_SCHEMA.split(", ")]), _p(root, "article"), ["link_url", "media_id"])
     sinks.append_new(feeds.reject_rows(broken, bad), _p(root, "feed_rejects"), ["digest"])
     return added
@@ -101,7 +147,7 @@ def ingest_stream(spark: SparkSession, root: str, source, trigger: dict | None =
     highest = current.agg(F.max("id")).first()[0] or 0
     worker.run_feed_ingest(spark, source, media(spark, root), current, root, _p(root, "_chk_feeds"),
                            source_options=source_options, trigger=trigger, blocks=id_blocks(spark, root), above=highest,
-                           key=["link_url", "media_id"])
+                           key=["link_url", "media_id"], stamped=True)
 
 
 def site_rules(spark: SparkSession, root: str) -> DataFrame | None:

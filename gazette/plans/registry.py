@@ -35,7 +35,8 @@ def query(name: str, sql: str | None = None):
     return deco
 
 
-MODULES = ["serving", "ingest", "delivery", "extraction", "site_rules", "jobs", "enrichment", "scalars", "checks", "sinks", "streams"]
+MODULES = ["serving", "ingest", "delivery", "extraction", "site_rules", "jobs", "enrichment", "scalars", "checks", "constraints", "sinks",
+           "streams"]
 
 
 def load_all() -> None:
