@@ -108,12 +108,16 @@ def _exists(spark: SparkSession, path: str) -> bool:
 exists = _exists
 
 
-def read_or_empty(spark: SparkSession, path: str, schema) -> DataFrame:
+def read_table_or_empty(spark: SparkSession, path: str, schema) -> DataFrame:
     if _exists(spark, path):
-        return spark.read.schema(schema).parquet(path).drop("_bucket")
+        return spark.read.schema(schema).parquet(path)
     return spark.createDataFrame([], schema)
 
 
+def read_or_empty(spark: SparkSession, path: str, schema) -> DataFrame:
+    return read_table_or_empty(spark, path, schema).drop("_bucket")
+
+
 # Bucket folders per stream target; size so one bucket stays within a few
 # hundred MB at the expected table size.
 BUCKETS = 64
@@ -172,6 +176,22 @@ def without_existing(df: DataFrame, path: str, key: list[str], buckets: int = BU
     return b.join(existing, ["_bucket", *key], "left_anti").drop("_bucket")
 
 
+def bucket_of(column: Column, buckets: int = BUCKETS) -> Column:
+    return F.pmod(F.xxhash64(column), F.lit(buckets)).cast("int")
+
+
+def replace_buckets(df: DataFrame, path: str, touched: list[int]) -> None:
+    """Put ``df`` (a stored frame with ``_bucket``) in place of what the folders
+    ``touched`` hold; folders that get no row are removed, others stay as they are."""
+    spark = df.sparkSession
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("_bucket").parquet(path)
+    full = {r[0] for r in df.select("_bucket").distinct().collect()}
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for b in set(touched) - full:
+        p = jvm.org.apache.hadoop.fs.Path(path, f"_bucket={b}")
+        p.getFileSystem(conf).delete(p, True)
+
+
 def in_buckets(spark: SparkSession, values: list[int], buckets: int = BUCKETS) -> Column:
     """Partition filter on the folders that hold rows of these (long) key values,
     as a few literal numbers, so that other folders aren't even listed."""
