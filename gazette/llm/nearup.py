@@ -99,6 +99,12 @@ def paths(tokens: np.ndarray, depth: int, trees: int, similarity: float) -> tupl
     return seeds, mix(low).astype(np.uint8)
 
 
+def _named(s: np.ndarray) -> tuple[int, int, int]:
+    """Size and 128-bit hash of a set."""
+    return (len(s), int(s.sum(dtype=np.uint64).view(np.int64)),
+            int(mix(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64).view(np.int64)))
+
+
 def described(docs: DataFrame, width: int, similarity: float, depth: int, trees: int) -> DataFrame:
     """doc_id, set size, 128-bit set hash, node ids and the sketch (a byte of
     each tree's minimum hash, as three longs)."""
@@ -106,9 +112,8 @@ def described(docs: DataFrame, width: int, similarity: float, depth: int, trees:
         for b in batches:
             n, ha, hb, nodes, low = [], [], [], [], []
             for s in shingle_sets(b.column(1), width):
-                n.append(len(s))
-                ha.append(int(s.sum(dtype=np.uint64).view(np.int64)))
-                hb.append(int(mix(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64).view(np.int64)))
+                for to, x in zip((n, ha, hb), _named(s)):
+                    to.append(x)
                 p, q = paths(s, depth, trees, similarity) if len(s) else (s, np.empty(0, np.uint8))
                 nodes.append(as_long(p))
                 low.append(np.frombuffer(q[:SKETCHED].tobytes().ljust(SKETCHED, b"\0"), dtype="<i8"))
@@ -121,12 +126,16 @@ def described(docs: DataFrame, width: int, similarity: float, depth: int, trees:
 
 
 def full_sets(docs: DataFrame, width: int) -> DataFrame:
+    """doc_id, size and hash of the set, and the set itself, of every row."""
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sets = [as_long(s) for s in shingle_sets(b.column(1), width)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int64()))], ["doc_id", "items"])
+            sets = list(shingle_sets(b.column(1), width))
+            n, ha, hb = zip(*map(_named, sets)) if sets else ((), (), ())
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), pa.array(n, pa.int64()), pa.array(ha, pa.int64()), pa.array(hb, pa.int64()),
+                 pa.array([as_long(s) for s in sets], pa.list_(pa.int64()))], ["doc_id", "n", "ha", "hb", "items"])
 
-    return docs.mapInArrow(build, "doc_id long, items array<long>")
+    return docs.mapInArrow(build, "doc_id long, n long, ha long, hb long, items array<long>")
 
 
 def _different(a: str, b: str):
@@ -137,8 +146,8 @@ def _different(a: str, b: str):
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Those of ``pairs`` (a, b) whose full sets are similar enough."""
-    sa = sets.select(F.col("doc_id").alias("a"), F.col("items").alias("sa"))
-    sb = sets.select(F.col("doc_id").alias("b"), F.col("items").alias("sb"))
+    sa = sets.select(F.col("cid").alias("a"), F.col("items").alias("sa"))
+    sb = sets.select(F.col("cid").alias("b"), F.col("items").alias("sb"))
     both = F.size(F.array_intersect("sa", "sb"))
     return (pairs.join(sa, "a").join(sb, "b")
             .where(both * 100 >= (F.size("sa") + F.size("sb") - both) * percent).select("a", "b"))
@@ -177,52 +186,60 @@ def link(df: DataFrame, width: int = WIDTH, percent: int = 80, recall: float = R
     depth, trees = shape(docs.count(), similarity, recall)
     rows = stored(described(docs, width, similarity, depth, trees), "near-sets")
     named = rows.where(F.col("doc_id").isNotNull() & (F.col("n") > 0))
+    # a class is a set; rows of one doc_id may hold different ones
     classes = stored(named.groupBy("n", "ha", "hb").agg(
-        F.min("doc_id").alias("rep"), F.first("nodes").alias("nodes"), *[F.first(c).alias(c) for c in SKETCH]), "near-classes")
-    known = classes.select("rep", "n", *SKETCH)
+        F.min("doc_id").alias("rep"), F.first("nodes").alias("nodes"), *[F.first(c).alias(c) for c in SKETCH])
+        .withColumn("cid", F.monotonically_increasing_id()), "near-classes")
+    known = classes.select("cid", "n", *SKETCH)
 
     def of(prefix: str) -> DataFrame:
         return known.select(*[F.col(c).alias(prefix + c) for c in known.columns])
 
-    member = classes.select("rep", F.explode("nodes").alias("node"))
-    pivots = member.groupBy("node").agg(F.min("rep").alias("pivot"), F.count(F.lit(1)).alias("c"))
-    shared = stored(member.join(pivots.where("c > 1"), "node").select("node", "rep", "pivot"), "near-nodes")
+    member = classes.select("cid", F.explode("nodes").alias("node"))
+    pivots = member.groupBy("node").agg(F.min("cid").alias("pivot"), F.count(F.lit(1)).alias("c"))
+    shared = stored(member.join(pivots.where("c > 1"), "node").select("node", "cid", "pivot"), "near-nodes")
     # texts of all classes that share a node, as sets
-    wanted = shared.select(F.col("rep").alias("doc_id")).distinct()
-    sets = stored(full_sets(docs.join(wanted, "doc_id"), width).groupBy("doc_id").agg(F.first("items").alias("items")), "near-full")
+    wanted = classes.select(F.col("rep").alias("doc_id"), "n", "ha", "hb", "cid").join(shared.select("cid").distinct(), "cid", "left_semi")
+    texts = docs.join(wanted.select("doc_id").distinct(), "doc_id", "left_semi")
+    sets = stored(full_sets(texts, width).join(wanted, ["doc_id", "n", "ha", "hb"]).groupBy("cid").agg(F.first("items").alias("items")), "near-full")
     limit = int(DIFFERENT * 8 * min(trees, SKETCHED))
 
     def alike(a: str, b: str):
         x, y = F.col(a + "n"), F.col(b + "n")
         return (F.least(x, y) * 100 >= F.greatest(x, y) * percent) & (_different(a, b) <= limit)
 
-    star = (shared.where("rep != pivot").select(F.col("rep").alias("a_rep"), F.col("pivot").alias("b_rep")).distinct()
-            .join(of("a_"), "a_rep").join(of("b_"), "b_rep").where(alike("a_", "b_"))
-            .groupBy("a_rep").agg(F.min(F.struct(_different("a_", "b_").alias("d"), F.col("b_rep").alias("b"))).alias("best"))
-            .select(F.col("a_rep").alias("a"), F.col("best.b").alias("b")))
+    star = (shared.where("cid != pivot").select(F.col("cid").alias("a_cid"), F.col("pivot").alias("b_cid")).distinct()
+            .join(of("a_"), "a_cid").join(of("b_"), "b_cid").where(alike("a_", "b_"))
+            .groupBy("a_cid").agg(F.min(F.struct(_different("a_", "b_").alias("d"), F.col("b_cid").alias("b"))).alias("best"))
+            .select(F.col("a_cid").alias("a"), F.col("best.b").alias("b")))
     first = stored(_confirmed(star, sets, percent), "near-links")
     label = components(first)
 
     # nodes whose classes aren't connected yet: every pair across components,
     # written as (a class outside the node's largest component, any other)
-    labelled = (shared.select("node", "rep").join(label, F.col("rep") == F.col("id"), "left")
-                .select("node", "rep", F.coalesce("label", "rep").alias("label")))
+    labelled = (shared.select("node", "cid").join(label, F.col("cid") == F.col("id"), "left")
+                .select("node", "cid", F.coalesce("label", "cid").alias("label")))
     by_label = labelled.groupBy("node", "label").agg(F.count(F.lit(1)).alias("c"))
     mixed = (by_label.groupBy("node").agg(F.max(F.struct("c", "label")).alias("most"), F.count(F.lit(1)).alias("labels"))
              .where("labels > 1").select("node", F.col("most.label").alias("major")))
-    open_rows = stored(labelled.join(mixed, "node").join(known, "rep"), "near-open")
+    open_rows = stored(labelled.join(mixed, "node").join(known, "cid"), "near-open")
     strays = open_rows.where(F.col("label") != F.col("major")).select(
         "node", *[F.col(c).alias("a_" + c) for c in known.columns], F.col("label").alias("a_label"))
     others = open_rows.select("node", "major", "label", *[F.col(c).alias("b_" + c) for c in known.columns])
     across = (strays.join(others, "node")
               .where((F.col("label") != F.col("a_label")) & alike("a_", "b_")
-                     & ((F.col("label") == F.col("major")) | (F.col("a_rep") < F.col("b_rep"))))
-              .select(F.col("a_rep").alias("a"), F.col("b_rep").alias("b")).distinct())
+                     & ((F.col("label") == F.col("major")) | (F.col("a_cid") < F.col("b_cid"))))
+              .select(F.col("a_cid").alias("a"), F.col("b_cid").alias("b")).distinct())
     second = _confirmed(across, sets, percent)
-    label = stored(components(first.unionByName(second)), "near-labels")
-
-    of_class = (classes.select("n", "ha", "hb", "rep").join(label, F.col("rep") == F.col("id"), "left")
-                .select("n", "ha", "hb", F.coalesce("label", "rep").alias("component")))
+    # rows that share a doc_id are one document
+    of_row = named.join(classes.select("n", "ha", "hb", "cid"), ["n", "ha", "hb"]).select("doc_id", "cid")
+    several = of_row.groupBy("doc_id").agg(F.min("cid").alias("a"), F.max("cid").alias("most")).where("a != most")
+    same = of_row.join(several, "doc_id").where("cid != a").select("a", F.col("cid").alias("b")).distinct()
+    label = components(first.unionByName(second).unionByName(same))
+    labelled = stored(classes.select("n", "ha", "hb", "rep", "cid").join(label, F.col("cid") == F.col("id"), "left")
+                      .select("n", "ha", "hb", "rep", F.coalesce("label", "cid").alias("label")), "near-labels")
+    least = labelled.groupBy("label").agg(F.min("rep").alias("component"))
+    of_class = labelled.join(least, "label").select("n", "ha", "hb", "component")
     # rows without a set or an id are joined with nothing
     linked = rows.select("doc_id", "n", "ha", "hb").join(of_class, ["n", "ha", "hb"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))

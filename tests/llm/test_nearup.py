@@ -79,3 +79,16 @@ def test_recall_of_trees_at_the_threshold():
 def test_shingles_are_words_not_bytes():
     sets = list(nearup.shingle_sets(pa.array(["a b", "A\tB", "ab", None, "a"]), 2))
     assert (sets[0] == sets[1]).all() and len(sets[3]) == 0 and sets[2] != sets[4]
+
+
+@pytest.mark.parametrize("swap", [False, True])
+def test_rows_of_one_id_with_different_texts(spark, swap):
+    """Documents 7 and 8 copy the two texts of document 5: all are one group,
+    whichever row of 5 comes first; 6 copies a text that only 9 holds too."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    rows = [(5, a), (5, b), (7, a + " more"), (8, b + " more"), (9, c), (6, c + " more"), (4, "nothing like it")]
+    if swap:
+        rows[0], rows[1] = rows[1], rows[0]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r[0]: r[2] for r in nearup.link(df, width=2).collect()}
+    assert got == {5: 5, 7: 5, 8: 5, 9: 6, 6: 6, 4: 4}
