@@ -1,9 +1,9 @@
 """Feed documents (RSS-style XML) as a DataFrame source.
 
-A feed document is one row ``(feed_url, body)``.  It is cut into its items first
-and each item is parsed by itself with ``from_xml``, so an item that does not parse
-goes to the reject frame alone: the rest of its document and the other documents
-are unaffected.
+A feed document is one row ``(feed_url, body)``, parsed with ``from_xml``.  One that
+does not parse is cut into its items and each is parsed by itself, so an item that
+does not parse goes to the reject frame alone: the rest of its document and the
+other documents are unaffected.
 """
 
 from __future__ import annotations
@@ -14,14 +14,15 @@ from pyspark.sql import types as T
 
 from ..functions import parse_feed_date
 from ..operators.fence import where_computed
-from ..schemas import FEED_ITEM
+from ..schemas import FEED_DOC, FEED_ITEM
 
 # Feed date text as the fixture feeds carry it.
 FEED_DATE_OUT = "EEE, dd MMM yyyy HH:mm:ss"
 XML_OPTIONS = {"ignoreSurroundingSpaces": "false", "mode": "PERMISSIVE"}
 DEFAULT_ITEMS_PER_DOC = 50
 ITEM_OR_BAD = T.StructType([*FEED_ITEM.fields, T.StructField("_bad", T.StringType())])
-BAD_OPTION = {"rowTag": "item", "columnNameOfCorruptRecord": "_bad"}
+DOC_OR_BAD = T.StructType([*FEED_DOC.fields, T.StructField("_bad", T.StringType())])
+BAD_OPTION = {"columnNameOfCorruptRecord": "_bad"}
 # Why something of a feed is left out.
 NO_ITEMS, NOT_CLOSED, NOT_XML = "no items", "item is not closed", "item does not parse"
 NO_LINK_OR_TITLE, UNKNOWN_FEED = "link or title missing", "unknown feed"
@@ -50,25 +51,34 @@ def render_feed_documents(items: DataFrame, items_per_doc: int = DEFAULT_ITEMS_P
 
 
 def split_items(docs: DataFrame) -> DataFrame:
-    """``(feed_url, position, fragment)``: the text from each ``<item`` to the next
-    one, counted from 0; a document without items is one row of position null."""
+    """``(feed_url, position, item, fragment)``: the items of documents that parse
+    as a whole; of the others the text from each ``<item`` to the next one.
+    Positions count from 0; a document without items is one row of position null."""
+    parsed = docs.select("feed_url", "body", F.from_xml("body", DOC_OR_BAD, {**XML_OPTIONS, **BAD_OPTION, "rowTag": "rss"}).alias("_d"))
+    sound = F.col("_d._bad").isNull() & (F.size("_d.channel.item") > 0)
+    items = F.transform("_d.channel.item", lambda x: F.struct(
+        F.struct(x["title"].alias("title"), x["link"].alias("link"), x["pubDate"].alias("pubDate"),
+                 F.lit(None).cast("string").alias("_bad")).alias("item"), F.lit(None).cast("string").alias("fragment")))
     parts = F.filter(F.split("body", r"(?=<item[\s>/])"), lambda x: x.rlike(r"^<item[\s>/]"))
-    each = docs.select("feed_url", "body", F.posexplode_outer(parts).alias("position", "fragment"))
-    return each.select("feed_url", "position", F.coalesce("fragment", "body").alias("fragment"))
+    parts = F.transform(parts, lambda x: F.struct(F.lit(None).cast(ITEM_OR_BAD).alias("item"), x.alias("fragment")))
+    each = parsed.select("feed_url", "body", F.posexplode_outer(F.when(sound, items).otherwise(parts)).alias("position", "_e"))
+    return each.select("feed_url", "position", F.col("_e.item").alias("item"),
+                       F.when(F.col("position").isNull(), F.col("body")).otherwise(F.col("_e.fragment")).alias("fragment"))
 
 
 def parse_feed_documents(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(items, rejects) of documents ``(feed_url, body)``.
 
-    A document is cut into its items before anything is parsed, so what is wrong
-    with one item costs that item: the ones before and after it are kept, also in
-    a document that breaks off.  Items are ``(link, title, pub_date, pub_text,
-    feed_url)``, rejects ``(feed_url, position, fragment, reason)``: every item of
-    the input is a row of one of the two.
+    A document that doesn't parse as a whole is cut into its items, which are
+    parsed one by one: what is wrong with one item costs that item, and the ones
+    before and after it are kept, also in a document that breaks off.  Items are
+    ``(link, title, pub_date, pub_text, feed_url)``, rejects ``(feed_url, position,
+    fragment, reason)``: every item of the input is a row of one of the two.
     """
     whole = F.regexp_extract("fragment", r"(?s)^(.*</item\s*>)", 1)
-    rows = split_items(docs).withColumn("_whole", F.when(F.col("position").isNotNull(), whole))
-    parsed = rows.withColumn("_i", F.when(F.col("_whole") != "", F.from_xml("_whole", ITEM_OR_BAD, {**XML_OPTIONS, **BAD_OPTION})))
+    rows = split_items(docs).withColumn("_whole", F.when(F.col("item").isNull() & F.col("position").isNotNull(), whole))
+    alone = F.when(F.col("_whole") != "", F.from_xml("_whole", ITEM_OR_BAD, {**XML_OPTIONS, **BAD_OPTION, "rowTag": "item"}))
+    parsed = rows.withColumn("_i", F.coalesce("item", alone))
     reason = (F.when(F.col("position").isNull(), NO_ITEMS).when(F.col("_whole") == "", NOT_CLOSED)
               .when(F.col("_i").isNull() | F.col("_i._bad").isNotNull(), NOT_XML))
     judged = parsed.withColumn("reason", reason)
