@@ -52,6 +52,7 @@ def _parser() -> argparse.ArgumentParser:
     s.add_argument("--large", action="store_true", help="ask the large model")
     s = cmd("deliver")
     s.add_argument("--all-langs", action="store_true")
+    s.add_argument("--by-message-media", action="store_true", help="the media that an article's jobs name, not its feed's")
     s = cmd("timeline")
     s.add_argument("--user", type=int, required=True)
     s.add_argument("--page", type=int, default=0)
@@ -103,7 +104,7 @@ def main(argv: list[str] | None = None, spark=None):
         trigger = {"processingTime": args.every} if args.every else None
         app.work(spark, args.root, _model(spark, args.model), args.stream, args.large, trigger)
     elif args.cmd == "deliver":
-        app.deliver(spark, args.root, all_langs=args.all_langs)
+        app.deliver(spark, args.root, args.all_langs, args.by_message_media)
     elif args.cmd == "timeline":
         lang = None if args.lang == "all" else args.lang
         df = app.timeline(spark, args.root, args.user, args.page, lang)

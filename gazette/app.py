@@ -233,9 +233,19 @@ def work(spark: SparkSession, root: str, model_fn=enrich.echo_model, stream: boo
     sinks.append_new(done, _p(root, "acked"), ["event_id"])
 
 
-def deliver(spark: SparkSession, root: str, all_langs: bool = False) -> None:
+def message_media(spark: SparkSession, root: str) -> DataFrame:
+    """``(article_id, media_id)``: the media that an article's first job names."""
+    queue = sinks.read_or_empty(spark, _p(root, "queue"), MESSAGE_SCHEMA)
+    js, _rejects = jobs_op.parse_job_messages(queue)
+    return js.groupBy("article_id").agg(F.min_by("media_id", "event_id").alias("media_id"))
+
+
+def deliver(spark: SparkSession, root: str, all_langs: bool = False, by_message_media: bool = False) -> None:
     """Gate over all artifacts; newly complete pairs get their translation row
-    and their deliveries (each appended once per key)."""
+    and their deliveries (each appended once per key).  ``by_message_media``
+    delivers to the subscribers of the media that the article's jobs name (with
+    ``crawl(media_by_host=True)`` the first media of the link's host) instead of
+    the media of its feed."""
     arts = sinks.read_or_empty(spark, _p(root, "artifacts"), ARTIFACT_SCHEMA)
     ready = deliver_op.completeness_gate(arts)
     fresh = sinks.without_existing(ready, _p(root, "ready"), ["article_id", "lang"]).checkpoint(eager=True)
@@ -244,7 +254,8 @@ def deliver(spark: SparkSession, root: str, all_langs: bool = False) -> None:
     sinks.append_new(tr, _p(root, "article_translation"), ["article_id", "lang"])
     um = spark.read.parquet(_p(root, "user_media"))
     # keys already delivered are dropped by the append's bucket-pruned anti-join
-    dl = deliver_op.subscription_fanout(fresh, articles(spark, root), um, all_langs=all_langs)
+    dl = deliver_op.subscription_fanout(fresh, articles(spark, root), um, all_langs=all_langs,
+                                        by_media=message_media(spark, root) if by_message_media else None)
     dl = dl.checkpoint(eager=True)
     sinks.append_new(dl, _p(root, "user_article"), ["user_id", "article_id"])
     timelines.append(timelines.rows_of(dl, articles(spark, root)), _p(root, "timeline"))
