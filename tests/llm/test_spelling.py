@@ -76,18 +76,13 @@ def test_crc():
     assert spelling.crc_of_ranges(seeds, b, start, end).tolist() == want
 
 
-def test_whole_table(spark, docs):
-    rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
-    got = result(spark, rows)
-    assert len(got) == len(set(got)) and set(got) == brute(rows) and len(got) > 1000
-
-
 def test_query_on_table(spark):
     from gazette.llm.queries import QUERIES
 
     sf = "/root/testdata/sf0.001"
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
-    assert {tuple(r) for r in QUERIES["op11_spelling_variants"](spark, sf).collect()} == brute(rows)
+    got = [tuple(r) for r in QUERIES["op11_spelling_variants"](spark, sf).collect()]
+    assert len(got) == len(set(got)) and set(got) == brute(rows) and len(got) > 1000
 
 
 def test_forms_and_chains(spark):
