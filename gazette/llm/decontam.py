@@ -1,15 +1,18 @@
 """Benchmark decontamination by latent semantic retrieval.
 
 Documents are cut into passages of ``PASSAGE`` words.  Over the vocabulary of
-the benchmark, TF-IDF counts of all passages and the benchmark's own passages
-form a matrix whose leading right singular vectors come from one randomised
-pass: each task multiplies its rows with a fixed random matrix, Spark adds the
-products per term, and the Nystroem formula turns the sum into singular
-vectors, to which the benchmark's own passages are added.  All overlapping
-passages are then projected, those with enough of a benchmark passage's weight
-are candidates, and a candidate is a leak if a longest common subsequence covers enough of the item's
-words; in the band of paraphrases the item's answer (its last sentence) must be
-there as well.
+the benchmark, the TF-IDF rows of all passages (a term counts once in a
+passage) and of the benchmark's own passages form a matrix whose leading right
+singular vectors come from one randomised pass: each task multiplies its rows
+with a fixed random matrix, Spark adds the products per term, and the Nystroem
+formula turns the sum into singular vectors, to which the benchmark's own
+passages are added.  Products of term vectors with the benchmark's passages are
+nonzero for few terms each; these make the postings by which all overlapping
+passages are searched.  Candidates hold the weight of ``RETRIEVE`` of a
+benchmark passage's words, and a candidate is a leak if a longest common
+subsequence covers enough of the item's words; in the band of paraphrases the
+item's answer (its last sentence) must be there as well.  Paraphrases whose
+words lie scattered over much more than a passage may be missed.
 
 Document statistics cover every passage of every document; only the benchmark,
 in blocks of ``BLOCK_PASSAGES`` passages (or one item), and its vocabulary's
@@ -20,6 +23,7 @@ empty results; extra columns are never read.  Very long texts are scanned whole.
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
@@ -35,10 +39,9 @@ STRIDE = 16
 RANK = 64
 # Least weight of a term, as a share of the largest.
 FLOOR = 0.7
-# Least share of an item passage's weight in a candidate.  With terms between
-# FLOOR and 1, a share p of the words is p / (p + (1 - p) / FLOOR ** 2) of the
-# weight at least: 0.37 for LCS_PARAPHRASE.
-WEIGHT = 0.3
+# Least share of an item passage's words in a candidate, under LCS_PARAPHRASE so
+# that a match may reach over the ends of a passage.
+RETRIEVE = 0.5
 # Share of the item's words in order: a leak, or a paraphrase to be confirmed
 # by this share of the answer.
 LCS = 0.75
@@ -46,6 +49,8 @@ LCS_PARAPHRASE = 0.55
 ANSWER = 0.6
 # Item passages of a block, whose space has as many dimensions and RANK more.
 BLOCK_PASSAGES = 512
+# Products (passage, item passage) that one numpy step adds up.
+ACCUMULATED = 1 << 17
 
 
 class Item:
@@ -104,78 +109,48 @@ def _blocks(run, size: int):
     return np.concatenate(starts), np.concatenate(owner)
 
 
-def _summed(rows: np.ndarray, group: np.ndarray, n: int) -> np.ndarray:
-    """Sum of ``rows`` by ``group`` (ascending)."""
-    out = np.zeros((n, rows.shape[1]), dtype=rows.dtype)
-    if len(group):
-        edge = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
-        out[group[edge]] = np.add.reduceat(rows, edge, axis=0)
-    return out
-
-
-def passage_frequencies(docs: DataFrame, vocabulary: np.ndarray) -> tuple[np.ndarray, int]:
-    """In how many passages each term is, and the number of passages."""
-    known = docs.sparkSession.sparkContext.broadcast(vocabulary)
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = known.value
-        n, total = np.zeros(len(v), dtype=np.int64), 0
-        for b in batches:
-            for run in scan_words(b.column(0), True, True):
-                starts, _ = _blocks(run, PASSAGE)
-                total += len(starts)
-                pos, term = _terms(run, v)
-                block = np.searchsorted(starts, pos, side="right") - 1
-                n += np.bincount(np.unique(block * len(v) + term) % max(len(v), 1), minlength=len(v))
-        some = np.flatnonzero(n)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.append(some, -1), pa.int64()), pa.array(np.append(n[some], total), pa.int64())], ["term", "n"])
-
-    df, passages = np.zeros(len(vocabulary), dtype=np.int64), 0
-    for term, n in docs.select("text").mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n")).collect():
-        if term < 0:
-            passages = n
-        else:
-            df[term] = n
-    return df, passages
-
-
-def gram_sketch(docs: DataFrame, vocabulary: np.ndarray, omega: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(N'N omega, sum of squared counts per term) for the passage-term counts N."""
-    spark = docs.sparkSession
-    known = spark.sparkContext.broadcast((vocabulary, omega))
+def statistics(docs: DataFrame, vocabulary: np.ndarray, omega: np.ndarray) -> tuple[np.ndarray, int, np.ndarray]:
+    """In how many passages each term is, the number of passages, and N'N omega
+    for the matrix N that says which passage has which term."""
+    known = docs.sparkSession.sparkContext.broadcast((vocabulary, omega))
     width = omega.shape[1]
 
     def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v, om = known.value
-        out, sq = np.zeros(om.shape), np.zeros(len(v))
+        out, n, total = np.zeros(om.shape), np.zeros(len(v), dtype=np.int64), 0
         for b in batches:
             for run in scan_words(b.column(0), True, True):
                 starts, _ = _blocks(run, PASSAGE)
+                total += len(starts)
                 pos, term = _terms(run, v)
                 if not len(pos):
                     continue
-                cell, c = np.unique((np.searchsorted(starts, pos, side="right") - 1) * len(v) + term, return_counts=True)
-                block, term = cell // len(v), cell % len(v)
+                cell = np.unique((np.searchsorted(starts, pos, side="right") - 1) * len(v) + term)
+                block, term = np.divmod(cell, len(v))
                 edge = np.append(True, block[1:] != block[:-1])
-                z = np.add.reduceat(om[term] * c[:, None], np.flatnonzero(edge), axis=0)
+                z = np.add.reduceat(om[term], np.flatnonzero(edge), axis=0)
                 order = np.argsort(term, kind="stable")
                 t = term[order]
                 first = np.flatnonzero(np.append(True, t[1:] != t[:-1]))
-                row = (np.cumsum(edge) - 1)[order]
-                out[t[first]] += np.add.reduceat(z[row] * c[order, None], first, axis=0)
-                sq += np.bincount(term, weights=c.astype(float) ** 2, minlength=len(v))
-        some = np.flatnonzero(sq)
-        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(sq[some])] + [
-            pa.array(np.ascontiguousarray(out[some, j])) for j in range(width)], ["term", "sq"] + [f"y{j}" for j in range(width)])
-
-    schema = "term long, sq double, " + ", ".join(f"y{j} double" for j in range(width))
-    y, sq = np.zeros(omega.shape), np.zeros(len(vocabulary))
+                out[t[first]] += np.add.reduceat(z[(np.cumsum(edge) - 1)[order]], first, axis=0)
+                n[t[first]] += np.diff(np.append(first, len(t)))
+        some = np.flatnonzero(n)
+        rows = np.vstack([out[some], np.zeros((1, width))])  # the last row is the number of passages
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.append(some, -1), pa.int64()), pa.array(np.append(n[some], total), pa.int64())] + [
+                pa.array(np.ascontiguousarray(rows[:, j])) for j in range(width)],
+            ["term", "n"] + [f"y{j}" for j in range(width)])
+
+    schema = "term long, n long, " + ", ".join(f"y{j} double" for j in range(width))
+    df, passages, y = np.zeros(len(vocabulary), dtype=np.int64), 0, np.zeros(omega.shape)
     sums = docs.select("text").mapInArrow(multiply, schema).groupBy("term").agg(
-        *[F.sum(c).alias(c) for c in ["sq"] + [f"y{j}" for j in range(width)]])
+        *[F.sum(c).alias(c) for c in ["n"] + [f"y{j}" for j in range(width)]])
     for r in sums.collect():
-        sq[r[0]], y[r[0]] = r[1], r[2:]
-    return y, sq
+        if r[0] < 0:
+            passages = r[1]
+        else:
+            df[r[0]], y[r[0]] = r[1], r[2:]
+    return df, passages, y
 
 
 def _parts(items: list[Item]) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -197,22 +172,23 @@ def term_weights(df: np.ndarray, passages: int) -> np.ndarray:
 
 
 def latent_space(docs: DataFrame, items: list[Item], rank: int = RANK):
-    """(vocabulary, term vectors) of the leading singular directions and of the
-    benchmark's own passages."""
+    """(vocabulary, passages of each term, term vectors) of the leading singular
+    directions and of the benchmark's own passages."""
     vocabulary = np.unique(np.concatenate([x.words for x in items]))
-    df, passages = passage_frequencies(docs, vocabulary)
-    idf = term_weights(df, passages)
     width = min(rank + 8, len(vocabulary))
     omega = np.random.default_rng(7).standard_normal((len(vocabulary), width))
-    y, sq = gram_sketch(docs, vocabulary, omega * idf[:, None])
+    df, passages, y = statistics(docs, vocabulary, omega)
+    idf = term_weights(df, passages)
+    # with A = N diag(idf): A'A (omega / idf) = idf * N'N omega
     y *= idf[:, None]
+    omega /= idf[:, None]
     _, parts = _parts(items)
     own = np.zeros((len(parts), len(vocabulary)))
     for i, words in enumerate(parts):
         np.add.at(own[i], np.searchsorted(vocabulary, words), 1)
     own *= idf
     # the benchmark's rows weigh as much as all of the corpus
-    weight = 1 + (sq * idf ** 2).sum() / max((own ** 2).sum(), 1e-9)
+    weight = 1 + (df * idf ** 2).sum() / max((own ** 2).sum(), 1e-9)
     y += weight * (own.T @ (own @ omega))
     shift = np.sqrt(len(vocabulary)) * 2.0 ** -40 * max(np.linalg.norm(y), 1e-9)
     y += shift * omega
@@ -222,27 +198,96 @@ def latent_space(docs: DataFrame, items: list[Item], rank: int = RANK):
     # the benchmark's own passages are kept whole, so that its size costs none
     # of them its length in the space
     basis, _ = np.linalg.qr(np.hstack([u[:, :rank], own.T]))
-    return vocabulary, (basis * idf[:, None]).astype(np.float32)
-
-
-def _queries(items: list[Item], vocabulary: np.ndarray, vectors: np.ndarray):
-    """Item index and vector of each passage of each item."""
-    owner, parts = _parts(items)
-    return owner, np.array([vectors[np.searchsorted(vocabulary, p)].sum(axis=0) for p in parts], dtype=np.float32)
+    return vocabulary, df, (basis * idf[:, None]).astype(np.float32)
+
+
+class Postings:
+    """The benchmark's passages as queries: per term, the passages that get part
+    of their product with a document's passage from it.
+
+    ``need`` is what the least heavy ``RETRIEVE`` of a query's words add up to:
+    a passage with that share of the words has no less.  The terms that most
+    documents have, up to half of ``need``, are left out of the postings; the
+    other terms then hold at least the other half in every passage sought."""
+
+    def __init__(self, items: list[Item], vocabulary: np.ndarray, df: np.ndarray, vectors: np.ndarray):
+        self.owner, parts = _parts(items)
+        at = [np.searchsorted(vocabulary, p) for p in parts]
+        self.query = np.array([vectors[x].sum(axis=0) for x in at], dtype=np.float32)
+        self.need = np.empty(len(parts))
+        self.terms, self.adds = [], []  # of each query: its terms, and what each adds to the product
+        term, query, add = [], [], []
+        for j, x in enumerate(at):
+            u, place, c = np.unique(x, return_inverse=True, return_counts=True)
+            w = np.maximum(vectors[u].astype(np.float64) @ self.query[j], 1e-9)
+            self.need[j] = np.sort((w / c)[place])[:math.ceil(RETRIEVE * len(x) - 1e-9)].sum() * (1 - 1e-4)
+            self.terms.append(u)
+            self.adds.append(w)
+            order = np.lexsort((u, -df[u]))
+            kept = order[np.cumsum(w[order]) > self.need[j] / 2]
+            term.append(u[kept])
+            query.append(np.full(len(kept), j))
+            add.append(w[kept])
+        term, query, add = (np.concatenate(x) for x in (term, query, add))
+        order = np.argsort(term, kind="stable")
+        self.of, self.add = query[order], add[order]
+        self.count = np.bincount(term, minlength=len(vocabulary))
+        self.first = np.cumsum(self.count) - self.count
+
+    def candidates(self, run, pos: np.ndarray, term: np.ndarray, starts: np.ndarray, doc: np.ndarray):
+        """(passage, query) pairs whose product reaches the query's need, each
+        term counted once in a passage; a passage is the blocks that start at
+        ``starts`` and the next ones of its document."""
+        n, size = len(self.need), len(self.count)
+        block = np.searchsorted(starts, pos, side="right") - 1
+        cells = []
+        for k in range(PASSAGE // STRIDE):
+            b = block - k
+            ok = np.flatnonzero((b >= 0) & (doc[np.maximum(b, 0)] == doc[block]))
+            cells.append(b[ok] * size + term[ok])
+        cells = np.concatenate(cells)
+        telling = np.unique(cells[self.count[cells % size] > 0])
+        found_p, found_q = [], []
+        step = max(1, ACCUMULATED // n)
+        cut = np.searchsorted(telling, np.append(np.arange(0, len(starts), step), len(starts)) * size)
+        for i, (lo, hi) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist())):
+            if lo == hi:
+                continue
+            p, t = np.divmod(telling[lo:hi], size)
+            c = self.count[t]
+            at = np.arange(c.sum()) + np.repeat(self.first[t] - (np.cumsum(c) - c), c)
+            got = np.bincount(np.repeat((p - i * step) * n, c) + self.of[at], weights=self.add[at])
+            hit = np.flatnonzero(got > 0)
+            hit = hit[got[hit] >= self.need[hit % n] / 2]
+            found_p.append(hit // n + i * step)
+            found_q.append(hit % n)
+        if not found_p:
+            return np.empty(0, np.int64), np.empty(0, np.int64)
+        p, q = np.concatenate(found_p), np.concatenate(found_q)
+        # the whole product of those pairs
+        wanted = np.zeros(len(starts), dtype=bool)
+        wanted[p] = True
+        held = np.sort(cells[wanted[cells // size]])
+        length = np.array([len(self.terms[j]) for j in q.tolist()], dtype=np.int64)
+        if not len(length):
+            return p, q
+        probe = np.repeat(p * size, length) + np.concatenate([self.terms[j] for j in q.tolist()])
+        at = np.minimum(np.searchsorted(held, probe), len(held) - 1)
+        add = np.concatenate([self.adds[j] for j in q.tolist()]) * (held[at] == probe)
+        whole = np.add.reduceat(add, np.cumsum(length) - length)
+        ok = whole >= self.need[q]
+        return p[ok], q[ok]
 
 
 def _search(docs: DataFrame, items: list[Item], key: str) -> DataFrame:
-    vocabulary, vectors = latent_space(docs, items)
-    held = docs.sparkSession.sparkContext.broadcast((vocabulary, vectors, items, *_queries(items, vocabulary, vectors)))
+    vocabulary, df, vectors = latent_space(docs, items)
+    held = docs.sparkSession.sparkContext.broadcast((vocabulary, vectors, items, Postings(items, vocabulary, df, vectors)))
     key_type = dict(docs.dtypes)[key]
-    reach = PASSAGE // STRIDE
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, vectors, items, owner, wanted = held.value
-        size = np.linalg.norm(wanted, axis=1)
-        ok = size > 0
-        owner, wanted, size = owner[ok], wanted[ok], size[ok]
-        scores = vectors @ wanted.T  # what a word adds to each product
+        vocabulary, vectors, items, postings = held.value
+        owner = postings.owner
+        size = np.linalg.norm(postings.query, axis=1)
         words = [x.words.tolist() for x in items]
         answers = [x.answer.tolist() for x in items]
         places = [_places(w) for w in words]
@@ -254,13 +299,8 @@ def _search(docs: DataFrame, items: list[Item], key: str) -> DataFrame:
                 if not len(pos):
                     continue
                 starts, doc = _blocks(run, STRIDE)
-                part = _summed(scores[term], np.searchsorted(starts, pos, side="right") - 1, len(starts))
-                dot = part.copy()
-                for k in range(1, reach):  # passages of `reach` blocks of one document
-                    same = doc[k:] == doc[:-k]
-                    dot[:-k][same] += part[k:][same]
                 last, seen = -1, {}
-                for p, j in zip(*(x.tolist() for x in np.nonzero(dot >= WEIGHT * size ** 2))):
+                for p, j in zip(*(x.tolist() for x in postings.candidates(run, pos, term, starts, doc))):
                     i, d = int(owner[j]), int(doc[p])
                     n = len(words[i])
                     lo, hi = int(run.first[d]), int(run.first[d + 1])
@@ -281,9 +321,10 @@ def _search(docs: DataFrame, items: list[Item], key: str) -> DataFrame:
                     answer = lcs(answers[i], text) / len(answers[i])
                     if share < LCS and answer < ANSWER:
                         continue
-                    inside = slice(*np.searchsorted(pos, [starts[p], min(hi, starts[p] + PASSAGE)]))
-                    norm = float(np.linalg.norm(vectors[term[inside]].sum(axis=0)))
-                    got = (share, answer, float(dot[p, j]) / (norm * float(size[j])), int(starts[p]) - lo)
+                    inside = np.unique(term[slice(*np.searchsorted(pos, [starts[p], min(hi, starts[p] + PASSAGE)]))])
+                    vector = vectors[inside].sum(axis=0)
+                    cosine = float(vector @ postings.query[j]) / (float(np.linalg.norm(vector)) * float(size[j]))
+                    got = (share, answer, cosine, int(starts[p]) - lo)
                     k = (run.row + d, i)
                     if k not in best or got[:3] > best[k][:3]:
                         best[k] = got
