@@ -1,6 +1,7 @@
 """Packing, URL rules, token counts and decontamination."""
 
 import random
+import re
 import zlib
 
 import numpy as np
@@ -220,3 +221,58 @@ def test_a_large_benchmark_hides_no_item(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     bench = spark.createDataFrame(items, "item_id long, text string")
     assert planted <= {(r.doc_id, r.item_id) for r in decontam.leaks(df, bench).collect()}
+
+
+def brute_words(text):
+    return re.findall(r"[0-9a-z\u0080-\U0010ffff]+", text.lower())
+
+
+def brute_lcs(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        before = row
+        row = [0]
+        for k, y in enumerate(b):
+            row.append(before[k] + 1 if x == y else max(before[k + 1], row[k]))
+    return row[-1]
+
+
+def brute_leaks(rows, items, retrieve):
+    """(document, item) with a match in some passage that holds ``retrieve`` of
+    the words of a part of the item."""
+    out = {}
+    for d, text in rows:
+        w = brute_words(text)
+        for i, t in items:
+            x = brute_words(t)
+            y = brute_words([p for p in re.split(r"[.?!\n]+", t) if re.search(r"\w", p)][-1])
+            k = -(-len(x) // 32)
+            sizes = [len(x) // k + (j < len(x) % k) for j in range(k)]
+            parts = [x[sum(sizes[:j]):sum(sizes[:j + 1])] for j in range(k)]
+            for s in range(0, len(w), 16):
+                held = set(w[s:s + 48])
+                if not any(sum(v in held for v in p) >= retrieve * len(p) for p in parts) or not held & set(x):
+                    continue
+                near = w[max(0, s - len(x)):s + 48 + len(x)]
+                share = brute_lcs(x, near) / len(x)
+                if share >= 0.75 or share >= 0.55 and brute_lcs(y, near) / len(y) >= 0.6:
+                    out[d, i] = max(out.get((d, i), 0), share)
+    return out
+
+
+def test_leaks_against_brute_force(spark):
+    pick = random.Random(11)
+    words = [f"w{k}" for k in range(40)]  # few words, so that chance matches come close to the limits
+    items = [(i, " ".join(pick.choices(words, k=n)) + ". " + " ".join(pick.choices(words, k=4)) + ".")
+             for i, n in enumerate((3, 8, 14, 20, 31, 33, 50, 70))]
+    rows = []
+    for d in range(24):
+        t = brute_words(items[d % 8][1])
+        keep = [x for x in t if pick.random() < (1, 0.8, 0.6)[d % 3]]
+        rows.append((d, " ".join(pick.choices(words, k=pick.randrange(60)) + keep + pick.choices(words, k=pick.randrange(60)))))
+    df = spark.createDataFrame(rows + [(100, None), (101, ""), rows[0]], "doc_id long, text string")
+    bench = spark.createDataFrame(items + [(50, None), (51, "")], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.lcs_share for r in decontam.leaks(df, bench).collect()}
+    sure, possible = brute_leaks(rows, items, 0.5), brute_leaks(rows, items, 0)
+    assert sure.keys() <= got.keys() <= possible.keys() and len(sure) > 20
+    assert all(sure[k] - 1e-9 <= got[k] <= possible[k] + 1e-9 for k in sure)
