@@ -10,8 +10,7 @@ Independent trees repeat this until the target recall at the threshold is met.
 
 Node contents are compared in rounds.  First each class with the pivot
 (least class) of its nodes; links join classes to components.  Next, in turns,
-each class outside its node's largest component with a few members of that one,
-as long as this links a fair share of them.
+each class outside its node's largest component with a few members of that one.
 Then every pair of classes in a node whose components still differ is
 compared: pairs inside one component could only repeat a known connection, so
 a node full of copies costs no square.  Every candidate passes a coarse test on
@@ -25,7 +24,6 @@ extra columns are never read.
 
 from __future__ import annotations
 
-import itertools
 import math
 from collections.abc import Iterator
 
@@ -51,9 +49,9 @@ DIFFERENT = 0.41
 SKETCHED = 24
 SKETCH = ["l0", "l1", "l2"]
 # Members of a node's largest component that the other classes are compared with
-# in a turn; turns end when they link less than one class in WORTH.
+# in a turn, and turns before all pairs across components.
 PIVOTS = 4
-WORTH = 20
+TURNS = 2
 
 
 def shape(classes: int, similarity: float = SIMILARITY, recall: float = RECALL) -> tuple[int, int]:
@@ -223,7 +221,7 @@ def link(df: DataFrame, width: int = WIDTH, percent: int = 80, recall: float = R
     label = components(first)
 
     links, label = first, components(first)
-    for turn in itertools.count():
+    for turn in range(TURNS + 1):
         # nodes whose classes aren't connected yet
         labelled = (shared.select("node", "cid").join(label, F.col("cid") == F.col("id"), "left")
                     .select("node", "cid", F.coalesce("label", "cid").alias("label")))
@@ -231,6 +229,8 @@ def link(df: DataFrame, width: int = WIDTH, percent: int = 80, recall: float = R
         mixed = (by_label.groupBy("node").agg(F.max(F.struct("c", "label")).alias("most"), F.count(F.lit(1)).alias("labels"))
                  .where("labels > 1").select("node", F.col("most.label").alias("major")))
         open_rows = stored(labelled.join(mixed, "node").join(known, "cid"), "near-open")
+        if turn == TURNS:
+            break
         # classes outside a node's largest component with a few of its members
         order = F.xxhash64("cid", F.lit(turn))
         few = (open_rows.where("label = major").groupBy("node", F.pmod(order, F.lit(PIVOTS)).alias("slice"))
@@ -241,8 +241,6 @@ def link(df: DataFrame, width: int = WIDTH, percent: int = 80, recall: float = R
                 .agg(F.min(F.struct(_different("a_", "b_").alias("d"), F.col("b_cid").alias("b"))).alias("best"))
                 .select(F.col("a_cid").alias("a"), F.col("best.b").alias("b")))
         more = stored(_confirmed(best, sets, percent), "near-links")
-        if more.count() * WORTH <= outside.select("a_cid").distinct().count():
-            break
         links = links.unionByName(more)
         label = components(links)
 
@@ -260,7 +258,7 @@ def link(df: DataFrame, width: int = WIDTH, percent: int = 80, recall: float = R
     of_row = named.join(classes.select("n", "ha", "hb", "cid"), ["n", "ha", "hb"]).select("doc_id", "cid")
     several = of_row.groupBy("doc_id").agg(F.min("cid").alias("a"), F.max("cid").alias("most")).where("a != most")
     same = of_row.join(several, "doc_id").where("cid != a").select("a", F.col("cid").alias("b")).distinct()
-    label = components(links.unionByName(more).unionByName(second).unionByName(same))
+    label = components(links.unionByName(second).unionByName(same))
     labelled = stored(classes.select("n", "ha", "hb", "rep", "cid").join(label, F.col("cid") == F.col("id"), "left")
                       .select("n", "ha", "hb", "rep", F.coalesce("label", "cid").alias("label")), "near-labels")
     least = labelled.groupBy("label").agg(F.min("rep").alias("component"))
