@@ -91,3 +91,27 @@ def test_key_that_makes_many_rows_is_dealt_out(spark, monkeypatch):
     assert same(out, [(k, a, b) for k in range(2) for a in range(k, 300, 2) for b in range(k, 400, 2)])
     made = out.groupBy("k", F.pmod(F.xxhash64("r"), F.lit(skew.MADE_SLICES)), F.spark_partition_id()).count()
     assert made.agg(F.max("count")).first()[0] <= 300 * 400 // 2 // 4
+
+
+def test_large_append_gives_each_delivery_once(spark):
+    from gazette.session import scratch_path
+    from gazette.sources import deliveries, sinks, timelines
+
+    frames = [x.coalesce(1).localCheckpoint() for x in model(spark, 1)]
+    rows = [[tuple(r) for r in x.collect()] for x in frames]
+    ready, article, um = frames
+    first = ready.where("article_id % 3 = 0")
+    path, dated = scratch_path(spark, "t"), scratch_path(spark, "tl")
+    art = article.select("id", F.lit(None).cast("timestamp_ntz").alias("publish_date"), "media_id", F.col("title").alias("s3_prefix"))
+    um = um.where("user_id is not null")                   # a null key is never held
+    rows[2] = [r for r in rows[2] if r[0] is not None]
+    kept = [deliveries.append(deliver.deliverable(some, article), um, path, buckets=4, compared=0) for some in (first, ready, ready)]
+    got = [tuple(r) for r in sinks.read_bucketed(spark, path).select("user_id", "article_id").collect()]
+    assert Counter(got) == Counter(set(plain(*rows))) and sum(kept) == len(got) > 50 and kept[2] == 0
+    folder = spark.read.parquet(path).where(F.col("_bucket") != sinks.bucket_of(F.col("user_id"), 4))
+    assert folder.isEmpty()
+    few = timelines.rows_of(deliver.deliverable(first, article), art)
+    assert timelines.append_fanout(few, um, dated, 4, 0) == len({k for k in plain([r for r in rows[0] if r[0] % 3 == 0], *rows[1:])})
+    least = {i: min((m is not None, m or 0, t) for j, m, t in rows[1] if j == i) for i, *_ in rows[1] if i is not None}
+    for r in spark.read.parquet(dated).collect():
+        assert (r.media_id is not None, r.media_id or 0, r.s3_prefix) == least[r.article_id]
