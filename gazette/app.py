@@ -35,7 +35,7 @@ from .operators import jobs as jobs_op, rules as rules_op
 from .operators import serve
 from .operators.fence import where_computed
 from .schemas import TABLES
-from .sources import deletes, feeds, seed as seed_csv, sinks, timelines
+from .sources import deletes, deliveries, feeds, seed as seed_csv, sinks, timelines
 from .sources.answers import AnswerStore
 from .sources.ids import IdBlocks, with_reserved_ids
 from .streaming import worker
@@ -253,12 +253,11 @@ def deliver(spark: SparkSession, root: str, all_langs: bool = False, by_message_
     tr = deliver_op.translations_from_artifacts(fresh, store)
     sinks.append_new(tr, _p(root, "article_translation"), ["article_id", "lang"])
     um = spark.read.parquet(_p(root, "user_media"))
-    # keys already delivered are dropped by the append's bucket-pruned anti-join
-    dl = deliver_op.subscription_fanout(fresh, articles(spark, root), um, all_langs=all_langs,
-                                        by_media=message_media(spark, root) if by_message_media else None)
-    dl = dl.checkpoint(eager=True)
-    sinks.append_new(dl, _p(root, "user_article"), ["user_id", "article_id"])
-    timelines.append(timelines.rows_of(dl, articles(spark, root)), _p(root, "timeline"))
+    # keys already delivered are dropped by the appends
+    items = deliver_op.deliverable(fresh, articles(spark, root), all_langs,
+                                   message_media(spark, root) if by_message_media else None).checkpoint(eager=True)
+    deliveries.append(items, um, _p(root, "user_article"))
+    timelines.append_fanout(timelines.rows_of(items, articles(spark, root)), um, _p(root, "timeline"))
     # last: a run that failed before is repeated whole, and adds what is missing
     sinks.append_new(fresh, _p(root, "ready"), ["article_id", "lang"])
 
