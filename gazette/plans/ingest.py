@@ -114,7 +114,8 @@ def q_insert_new_articles(m):
 @query("feed_files", f"select link, title, pub_date, feed_url from ({_ITEMS_SQL})")
 def q_feed_files(m):
     """SRC-01 (files): feed XML files read with the XML data source, rowTag=item."""
-    docs = feeds.render_feed_documents(feeds.feed_items_from_articles(m.article(), m.media()))
+    items = feeds.numbered_densely(feeds.feed_items_from_articles(m.article(), m.media()))
+    docs = feeds.render_feed_documents(items)
     path = scratch_path(m.spark, "feeds")
     manifest = feeds.write_feed_files(docs, path)
     return feeds.read_feed_files(m.spark, path, manifest).drop("pub_text")

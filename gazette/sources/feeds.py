@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import parse_feed_date
+from ..operators import checks
 from ..operators.fence import where_computed
 from ..schemas import FEED_DOC, FEED_ITEM
 
@@ -50,6 +51,15 @@ def render_feed_documents(items: DataFrame, items_per_doc: int = DEFAULT_ITEMS_P
     return grouped.select("feed_url", "doc_no", body.alias("body"))
 
 
+def numbered_densely(items: DataFrame) -> DataFrame:
+    """``items`` with a dense ``seq`` in the order of feed and old ``seq``: documents
+    rendered from them are full but for the ends of a feed, however thinly a feed's
+    numbers are spread."""
+    start = items.sparkSession.range(1).select(F.lit(0).cast("bigint").alias("_n"))
+    ranged = checks.ranged_by(items, ["feed_url", "seq"]).drop("seq")
+    return checks.numbered(ranged, start, "seq")
+
+
 def split_items(docs: DataFrame) -> DataFrame:
     """``(feed_url, position, item, fragment)``: the items of documents that parse
     as a whole; of the others the text from each ``<item`` to the next one.
