@@ -15,6 +15,8 @@ extra columns are never read.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,16 +24,22 @@ from .common import let
 
 # Lines that name a copyright holder differ from copy to copy.
 COPYRIGHT_LINE = r"^\s*(?:copyright\b|\(c\)|©|all rights reserved\b).*$"
-# Equivalent spellings: (pattern, canonical), applied to lower case.
+# What a line begins with (after blanks) if it names one.
+HOLDER_STARTS = ["copyright", "(c)", "©", "all rights reserved"]
+# Equivalent spellings in lower case: (text that is there wherever the pattern
+# fits, pattern, canonical); without a pattern the text itself is replaced.
 SPELLINGS = [
-    (r"licen[cs]e", "license"),
-    (r"\bnon-?commercial\b", "noncommercial"),
-    (r"\bcopyright holder\b", "copyright owner"),
-    (r"\bfavour", "favor"),
-    (r"https://", "http://"),
-    (r"&", " and "),
-    (r"\bversion (?=\d)|\bv\.? ?(?=\d)", "version "),
+    ("licence", None, "license"),
+    ("non-commercial", r"\bnon-commercial\b", "noncommercial"),
+    ("copyright holder", r"\bcopyright holder\b", "copyright owner"),
+    ("favour", r"\bfavour", "favor"),
+    ("https://", None, "http://"),
+    ("&", None, " and "),
+    # the letter first: most places are left after one comparison
+    ("v", r"v(?<=\bv)\.? ?(?=\d)", "version "),
 ]
+# A run without letters and digits that isn't one space already (or a line end).
+GAP = r"(?: ?[^a-z0-9 \n\p{L}\p{N}]|  )[^\p{L}\p{N}\n]*"
 
 # Notices and short licence texts, as published.
 KNOWN = [
@@ -63,11 +71,24 @@ SOFTWARE."""),
 ]
 
 
-def canonical_line(line: Column) -> Column:
-    out = F.regexp_replace(F.lower(line), COPYRIGHT_LINE, "")
-    for pattern, to in SPELLINGS:
-        out = F.regexp_replace(out, pattern, to)
-    return F.btrim(F.regexp_replace(out, r"[^\p{L}\p{N}]+", " "))
+def canonical_lines(text: Column) -> Column:
+    """Canonical form of every line of ``text``.  No spelling reaches over a line
+    end, so whole texts are rewritten, and by a pattern only those that hold what
+    it needs."""
+    def without_holders(t: Column) -> Column:
+        held = reduce(lambda a, b: a | b, [F.contains(t, F.lit(x)) for x in HOLDER_STARTS])
+        return F.when(held, F.array_join(F.transform(
+            F.split(t, "\n"), lambda x: F.regexp_replace(x, COPYRIGHT_LINE, "")), "\n")).otherwise(t)
+
+    def spelled(t: Column, rest: list) -> Column:
+        if not rest:
+            return F.transform(F.split(F.regexp_replace(t, GAP, " "), "\n"), lambda x: F.btrim(x))
+        held, pattern, canonical = rest[0]
+        new = (F.replace(t, F.lit(held), F.lit(canonical)) if pattern is None
+               else F.when(F.contains(t, F.lit(held)), F.regexp_replace(t, pattern, canonical)).otherwise(t))
+        return let(new, lambda x: spelled(x, rest[1:]))
+
+    return let(F.lower(text), lambda t: let(without_holders(t), lambda x: spelled(x, SPELLINGS)))
 
 
 def _joined(lines: Column) -> Column:
@@ -77,8 +98,7 @@ def _joined(lines: Column) -> Column:
 def known_digests(spark: SparkSession, known: list[tuple[str, str]] = KNOWN) -> DataFrame:
     """digest, length and license_id of the canonical known texts."""
     texts = spark.createDataFrame(known, "license_id string, text string")
-    lines = F.transform(F.split("text", "\n"), canonical_line)
-    return (texts.select("license_id", _joined(lines).alias("c"))
+    return (texts.select("license_id", _joined(canonical_lines(F.col("text"))).alias("c"))
             .groupBy(F.sha2(F.col("c").cast("binary"), 256).alias("digest"))
             .agg(F.min("license_id").alias("license_id"), F.min(F.length("c")).alias("length")))
 
@@ -88,7 +108,6 @@ def scan(df: DataFrame, known: DataFrame, key: str = "doc_id") -> DataFrame:
     and whole (the entire text is a known licence)."""
     lengths = [r[0] for r in known.select("length").distinct().collect()]  # one per known text at most
     rows = df.select(F.monotonically_increasing_id().alias("rid"), F.col(key).alias("key"), "text")
-    lines = F.transform(F.split("text", "\n"), canonical_line)
     blank = F.transform(F.split("text", "\n"), lambda x: ~x.rlike(r"\S"))
     # paragraphs: blank lines become a separator that canonical lines can't hold
     marked = F.zip_with("lines", "blank", lambda x, b: F.when(b, F.lit("\n\n")).otherwise(x))
@@ -99,10 +118,13 @@ def scan(df: DataFrame, known: DataFrame, key: str = "doc_id") -> DataFrame:
         fit = F.filter(units, lambda u: F.length(u).isin(lengths))
         return F.array_distinct(F.transform(fit, lambda u: F.sha2(u.cast("binary"), 256)))
 
-    units = (rows.where(F.col("text").isNotNull()).select("rid", lines.alias("lines"), blank.alias("blank"))
+    # exploded without a test of the size first, which would be pushed down and
+    # compute the units a second time
+    units = (rows.where(F.col("text").isNotNull())
+             .select("rid", canonical_lines(F.col("text")).alias("lines"), blank.alias("blank"))
              .select("rid", let(_joined(F.col("lines")), lambda w: F.when(F.length(w).isin(lengths), F.sha2(w.cast("binary"), 256))).alias("whole"),
                      digests(F.concat(F.col("lines"), paragraphs, F.array(_joined(F.col("lines"))))).alias("d"))
-             .where(F.size("d") > 0).select("rid", "whole", F.explode("d").alias("digest")))
+             .select("rid", "whole", F.explode_outer("d").alias("digest")))
     hits = (units.join(known.select("digest", "license_id"), "digest").groupBy("rid")
             .agg(F.array_sort(F.collect_set("license_id")).alias("license_ids"), F.count(F.lit(1)).alias("n_units"),
                  F.max((F.col("digest") == F.col("whole")).eqNullSafe(True)).alias("whole")))

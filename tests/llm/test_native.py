@@ -4,6 +4,8 @@ import re
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from gazette.llm import licenses, lines, pii, quality
 
 
@@ -85,6 +87,23 @@ def test_licenses(spark):
                    (4, ["MIT"], 1, False)] + [(i, [], 0, False) for i in (5, 6, 7, 8, 9, 10)]
 
 
+def test_licenses_canonical_lines(spark):
+    lines = {"Released under the MIT LICENCE": "released under the mit license", "v2.0 V.3 v 4 av2 version 5": "version 2 0 version 3 version 4 av2 version 5",
+             " (c) me": "", "-- Copyright me": "copyright me", "the Copyright Holder's favour": "the copyright owner s favor", "a  b&c": "a b and c",
+             "anon-commercial non-Commercial": "anon commercial noncommercial", "https://x\t--": "http x", "": "", "\u00c9t\u00e9, \u03a3": "\u00e9t\u00e9 \u03c3", "v": "v"}
+    df = spark.createDataFrame([("\n".join(lines),), ("\r\n".join(lines),), (None,)], "text string")
+    got = [r[0] for r in df.select(licenses.canonical_lines(F.col("text"))).collect()]
+    assert got == [list(lines.values())] * 2 + [None]
+
+
+def test_licenses_units_computed_once(spark):
+    df = spark.range(10).selectExpr("id as doc_id", "cast(id as string) as text")
+    out = licenses.scan(df, licenses.known_digests(spark))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate explode(" in plan
+    assert "Filter (size(" not in plan  # a test of the size, pushed down, computes the units again
+
+
 def test_licenses_empty(spark, empty_docs):
     assert licenses.scan(empty_docs, licenses.known_digests(spark)).collect() == []
 
