@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import scan_words
+from .common import distinct, scan_words
 
 PASSAGE = 48
 STRIDE = 16
@@ -89,14 +89,29 @@ def lcs(pattern: list[int], text: list[int], at: dict[int, int] | None = None) -
     return len(pattern) - v.bit_count()
 
 
-def _terms(run, vocabulary: np.ndarray):
-    """(positions, term ids) of the run's words that the vocabulary has."""
-    if not len(vocabulary) or not len(run.hashes):
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    at = np.searchsorted(vocabulary, run.hashes)
-    at[at == len(vocabulary)] = 0
-    pos = np.flatnonzero(vocabulary[at] == run.hashes)
-    return pos, at[pos]
+class Vocabulary:
+    """Sorted word hashes, found by their leading bits."""
+
+    def __init__(self, words: np.ndarray):
+        self.words = words
+        bits = max(16, len(words).bit_length() + 4)
+        self.shift = np.uint64(64 - bits)
+        # first word with these leading bits or greater ones
+        first = np.searchsorted(words >> self.shift, np.arange((1 << bits) + 1, dtype=np.uint64))
+        self.first, self.held = first[:-1], np.diff(first) > 0
+        self.most = int(np.diff(first).max())
+
+    def terms(self, run) -> tuple[np.ndarray, np.ndarray]:
+        """(positions, term ids) of the run's words that the vocabulary has."""
+        if not len(self.words) or not len(run.hashes):
+            return np.empty(0, np.int64), np.empty(0, np.int64)
+        lead = run.hashes >> self.shift
+        pos = np.flatnonzero(self.held[lead])
+        at, h = self.first[lead[pos]], run.hashes[pos]
+        for _ in range(self.most - 1):  # words that share their leading bits
+            at += (self.words[at] < h) & (at + 1 < len(self.words))
+        same = self.words[at] == h
+        return pos[same], at[same]
 
 
 def _blocks(run, size: int):
@@ -112,21 +127,22 @@ def _blocks(run, size: int):
 def statistics(docs: DataFrame, vocabulary: np.ndarray, omega: np.ndarray) -> tuple[np.ndarray, int, np.ndarray]:
     """In how many passages each term is, the number of passages, and N'N omega
     for the matrix N that says which passage has which term."""
-    known = docs.sparkSession.sparkContext.broadcast((vocabulary, omega))
+    known = docs.sparkSession.sparkContext.broadcast((Vocabulary(vocabulary), omega))
     width = omega.shape[1]
 
     def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v, om = known.value
-        out, n, total = np.zeros(om.shape), np.zeros(len(v), dtype=np.int64), 0
+        size = len(om)
+        out, n, total = np.zeros(om.shape), np.zeros(size, dtype=np.int64), 0
         for b in batches:
             for run in scan_words(b.column(0), True, True):
                 starts, _ = _blocks(run, PASSAGE)
                 total += len(starts)
-                pos, term = _terms(run, v)
+                pos, term = v.terms(run)
                 if not len(pos):
                     continue
-                cell = np.unique((np.searchsorted(starts, pos, side="right") - 1) * len(v) + term)
-                block, term = np.divmod(cell, len(v))
+                cell = distinct((np.searchsorted(starts, pos, side="right") - 1) * size + term)
+                block, term = np.divmod(cell, size)
                 edge = np.append(True, block[1:] != block[:-1])
                 z = np.add.reduceat(om[term], np.flatnonzero(edge), axis=0)
                 order = np.argsort(term, kind="stable")
@@ -238,22 +254,26 @@ class Postings:
         """(passage, query) pairs whose product reaches the query's need, each
         term counted once in a passage; a passage is the blocks that start at
         ``starts`` and the next ones of its document."""
-        n, size = len(self.need), len(self.count)
+        n = len(self.need)
+        bits = len(self.count).bit_length()  # of a term in a cell
         block = np.searchsorted(starts, pos, side="right") - 1
-        cells = []
+        cells, cell_block, telling = [], [], []
+        posted = self.count[term] > 0
         for k in range(PASSAGE // STRIDE):
             b = block - k
-            ok = np.flatnonzero((b >= 0) & (doc[np.maximum(b, 0)] == doc[block]))
-            cells.append(b[ok] * size + term[ok])
-        cells = np.concatenate(cells)
-        telling = np.unique(cells[self.count[cells % size] > 0])
+            ok = (b >= 0) & (doc[np.maximum(b, 0)] == doc[block])
+            cell = b << bits | term
+            cells.append(cell[ok])
+            cell_block.append(b[ok])
+            telling.append(cell[ok & posted])
+        cells, cell_block, telling = np.concatenate(cells), np.concatenate(cell_block), distinct(np.concatenate(telling))
         found_p, found_q = [], []
         step = max(1, ACCUMULATED // n)
-        cut = np.searchsorted(telling, np.append(np.arange(0, len(starts), step), len(starts)) * size)
+        cut = np.searchsorted(telling, np.append(np.arange(0, len(starts), step), len(starts)) << bits)
         for i, (lo, hi) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist())):
             if lo == hi:
                 continue
-            p, t = np.divmod(telling[lo:hi], size)
+            p, t = telling[lo:hi] >> bits, telling[lo:hi] & (1 << bits) - 1
             c = self.count[t]
             at = np.arange(c.sum()) + np.repeat(self.first[t] - (np.cumsum(c) - c), c)
             got = np.bincount(np.repeat((p - i * step) * n, c) + self.of[at], weights=self.add[at])
@@ -267,11 +287,11 @@ class Postings:
         # the whole product of those pairs
         wanted = np.zeros(len(starts), dtype=bool)
         wanted[p] = True
-        held = np.sort(cells[wanted[cells // size]])
+        held = np.sort(cells[wanted[cell_block]])
         length = np.array([len(self.terms[j]) for j in q.tolist()], dtype=np.int64)
         if not len(length):
             return p, q
-        probe = np.repeat(p * size, length) + np.concatenate([self.terms[j] for j in q.tolist()])
+        probe = np.repeat(p << bits, length) + np.concatenate([self.terms[j] for j in q.tolist()])
         at = np.minimum(np.searchsorted(held, probe), len(held) - 1)
         add = np.concatenate([self.adds[j] for j in q.tolist()]) * (held[at] == probe)
         whole = np.add.reduceat(add, np.cumsum(length) - length)
@@ -281,7 +301,7 @@ class Postings:
 
 def _search(docs: DataFrame, items: list[Item], key: str) -> DataFrame:
     vocabulary, df, vectors = latent_space(docs, items)
-    held = docs.sparkSession.sparkContext.broadcast((vocabulary, vectors, items, Postings(items, vocabulary, df, vectors)))
+    held = docs.sparkSession.sparkContext.broadcast((Vocabulary(vocabulary), vectors, items, Postings(items, vocabulary, df, vectors)))
     key_type = dict(docs.dtypes)[key]
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -292,13 +312,18 @@ def _search(docs: DataFrame, items: list[Item], key: str) -> DataFrame:
         answers = [x.answer.tolist() for x in items]
         places = [_places(w) for w in words]
         sets = [frozenset(w) for w in words]
+        most = [max(x.bit_count() for x in p.values()) for p in places]  # places of one word
         for b in batches:
             best: dict[tuple[int, int], tuple] = {}
             for run in scan_words(b.column(1), True, True):
-                pos, term = _terms(run, vocabulary)
+                pos, term = vocabulary.terms(run)
                 if not len(pos):
                     continue
                 starts, doc = _blocks(run, STRIDE)
+                # words that no item has are in no common subsequence
+                held_hashes, before = run.hashes[pos], np.zeros(len(run.hashes) + 1, dtype=np.int64)
+                before[pos + 1] = 1
+                before = np.cumsum(before)
                 last, seen = -1, {}
                 for p, j in zip(*(x.tolist() for x in postings.candidates(run, pos, term, starts, doc))):
                     i, d = int(owner[j]), int(doc[p])
@@ -307,11 +332,15 @@ def _search(docs: DataFrame, items: list[Item], key: str) -> DataFrame:
                     if p != last:
                         last, seen = p, {}
                     if n not in seen:
-                        text = run.hashes[max(lo, int(starts[p]) - n):min(hi, int(starts[p]) + PASSAGE + n)].tolist()
+                        at = before[[max(lo, int(starts[p]) - n), min(hi, int(starts[p]) + PASSAGE + n)]]
+                        text = held_hashes[at[0]:at[1]].tolist()
                         seen[n] = text, frozenset(text)
                     text, held_words = seen[n]
+                    both = sets[i] & held_words
+                    if len(both) * most[i] < LCS_PARAPHRASE * n:
+                        continue
                     bits = 0
-                    for w in sets[i] & held_words:
+                    for w in both:
                         bits |= places[i][w]
                     if bits.bit_count() < LCS_PARAPHRASE * n:  # no subsequence is longer
                         continue

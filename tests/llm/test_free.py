@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 
 from gazette.llm import decontam, packing, tokens, urlrules
+from gazette.llm.common import Words, distinct
 from gazette.llm.encoders import byte_pair_encoder, sentence_pieces, tokenizer_path
 
 BPE = tokenizer_path("byte_bpe_50k.json")
@@ -276,3 +277,22 @@ def test_leaks_against_brute_force(spark):
     sure, possible = brute_leaks(rows, items, 0.5), brute_leaks(rows, items, 0)
     assert sure.keys() <= got.keys() <= possible.keys() and len(sure) > 20
     assert all(sure[k] - 1e-9 <= got[k] <= possible[k] + 1e-9 for k in sure)
+
+
+def test_vocabulary_finds_words_that_share_leading_bits():
+    rng = np.random.default_rng(5)
+    words = rng.integers(0, 2 ** 63, 3000).astype(np.uint64)
+    close = words[:50] ^ np.uint64(1)
+    last = np.array([2 ** 64 - 1, 2 ** 64 - 2, 0], dtype=np.uint64)
+    for held in (np.unique(np.concatenate([words, close, last])), words[:1], words[:0]):
+        probe = np.concatenate([words, close, last, held ^ np.uint64(2), rng.integers(0, 2 ** 63, 500).astype(np.uint64)])
+        run = Words(probe, np.array([0, len(probe)]), 0)
+        pos, term = decontam.Vocabulary(held).terms(run)
+        assert pos.tolist() == np.flatnonzero(np.isin(probe, held)).tolist()
+        assert (held[term] == probe[pos]).all()
+
+
+def test_distinct_equals_unique():
+    for x in ([], [3], [5, 1, 5, 2, 1]):
+        x = np.array(x, dtype=np.uint64)
+        assert distinct(x).tolist() == np.unique(x).tolist() and distinct(x).dtype == x.dtype
