@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_long, mix, range_hashes, scan_words, stored
+from .common import as_long, distinct, mix, range_hashes, scan_words, stored
 
 WIDTH = 5
 SIMILARITY = 0.8
@@ -75,7 +75,7 @@ def shingle_sets(texts: pa.Array, width: int) -> Iterator[np.ndarray]:
             elif b - a < width:
                 yield range_hashes(h[a:b], np.array([0]), np.array([b - a]))
             else:
-                yield np.unique(grams[a:b - width + 1])
+                yield distinct(grams[a:b - width + 1])
 
 
 def _under(tokens: np.ndarray, seeds: np.ndarray) -> np.ndarray:
@@ -98,7 +98,7 @@ def paths(tokens: np.ndarray, depth: int, trees: int, similarity: float) -> tupl
                 np.minimum(low, x.min(axis=1), out=low)
             i, j = np.divmod(np.flatnonzero(x.ravel() <= limit), len(part))
             found.append(mix(seeds[i] * np.uint64(0x2545F4914F6CDD1D) + part[j]))
-        seeds = np.unique(np.concatenate(found))
+        seeds = distinct(np.concatenate(found))
         if not len(seeds):
             break
     return seeds, mix(low).astype(np.uint8)
