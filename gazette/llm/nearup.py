@@ -13,7 +13,9 @@ Node contents are compared in rounds.  First each class with the pivot
 each class outside its node's largest component with a few members of that one.
 Then every pair of classes in a node whose components still differ is
 compared: pairs inside one component could only repeat a known connection, so
-a node full of copies costs no square.  Every candidate passes a coarse test on
+a node full of copies costs no square.  Nodes with the same largest component
+are one group here; classes of a group of more than ``FEW`` meet by tokens
+(``_by_tokens``, which loses no pair).  Every candidate passes a coarse test on
 minimum hashes and is confirmed on full sets.
 
 ``doc_id`` names a document: rows that share it count as one node.  A text
@@ -29,7 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import as_long, distinct, mix, range_hashes, scan_words, stored
@@ -52,6 +54,10 @@ SKETCH = ["l0", "l1", "l2"]
 # in a turn, and turns before all pairs across components.
 PIVOTS = 4
 TURNS = 2
+# Classes of a group up to which they are compared pair by pair, and tasks that a
+# large group's classes are dealt over when they meet their hub.
+FEW = 16
+SALTS = 16
 
 
 def shape(classes: int, similarity: float = SIMILARITY, recall: float = RECALL) -> tuple[int, int]:
@@ -158,6 +164,69 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             .where(both * 100 >= (F.size("sa") + F.size("sb") - both) * percent).select("a", "b"))
 
 
+def _by_hub(groups: DataFrame, hubs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The classes of ``groups`` (g, cid, label, n, sketch) with what sets them apart
+    from their group's hub (``hubs``: g, hub): ``items`` is the symmetric difference
+    of both sets (``far`` false, for similarities of a half or more) or the own set
+    (``far`` true).  By the triangle inequality of the Jaccard distance two linked
+    classes are both in the first kind or both in the second; some are in both.
+    ``on``: linked to the hub, and so labelled as the group's component."""
+    held = (hubs.join(sets, F.col("hub") == F.col("cid")).select("g", "hub", F.col("items").alias("h"))
+            .withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))))
+    met = (groups.join(sets, "cid").withColumn("salt", F.pmod(F.xxhash64("cid"), F.lit(SALTS)).cast("int"))
+           .join(held, ["g", "salt"])
+           .withColumns({"nh": F.size("h").cast("long"), "both": F.size(F.array_intersect("items", "h")).cast("long")})
+           .withColumn("union", F.col("n") + F.col("nh") - F.col("both")))
+    on = F.col("both") * 100 >= F.col("union") * percent
+    kept = ["g", "hub", "cid", "n", *SKETCH, on.alias("on"), F.when(on, F.col("g")).otherwise(F.col("label")).alias("label")]
+    near = met.where("2 * both >= union").select(
+        *kept, F.lit(False).alias("far"), "nh", (F.col("union") - F.col("both")).alias("d"),
+        F.concat(F.array_except("items", "h"), F.array_except("h", "items")).alias("items"))
+    far = met.where(F.col("both") * 100 <= F.col("union") * (150 - percent)).select(
+        *kept, F.lit(True).alias("far"), F.lit(0).cast("long").alias("nh"), F.col("n").alias("d"), "items")
+    return near.unionByName(far)
+
+
+def _by_tokens(apart: DataFrame, percent: int, alike) -> DataFrame:
+    """Pairs (a, b) of classes of ``apart`` (``_by_hub``) that may be linked and whose
+    labels differ, one of them neither linked to the hub nor in its component.
+
+    With sizes n and differences d from the hub, linked classes have at least
+    ``((d + d') - (n + n') * less / more) / 2`` items in common, ``less`` and ``more``
+    being 100 -+ ``percent``; that is above nothing if one isn't linked to the hub.
+    So both hold one of these among the rarest ``d - least + 1`` of their items, and
+    beyond the first of them there must be room for the others."""
+    less, more = 100 - percent, 100 + percent
+    key = ["g", "far"]
+    token = apart.withColumn("token", F.explode("items")).drop("items")
+    often = token.groupBy(*key, "token").agg(F.count(F.lit(1)).alias("c"))
+    place = F.row_number().over(Window.partitionBy(*key, "cid").orderBy("c", "token")) - 1
+    n, d, nh = F.col("n"), F.col("d"), F.col("nh")
+    # items in common with any class that is linked and fits in size
+    whole = F.ceil(n * percent / 100)
+    sized = F.ceil(d - n * less / percent)
+    ranked = stored(
+        token.join(often, [*key, "token"]).withColumn("i", place).where("c > 1")
+        .withColumns({"stray": ~F.col("on") & (F.col("label") != F.col("g")),
+                      "mine": F.when(F.col("far"), whole).otherwise(
+                          F.greatest(F.lit(1), sized, F.ceil((d * more - (n + nh) * less) / (2 * more)))),
+                      "theirs": F.when(F.col("far"), whole).otherwise(
+                          F.greatest(F.lit(1), sized, F.ceil((d * more - (n - nh) * less) / (2 * more))))})
+        .where((F.col("i") <= d - F.col("theirs")) | (F.col("stray") & (F.col("i") <= d - F.col("mine"))))
+        .select(*key, "token", "cid", "label", "n", "d", "i", "stray", "mine", "theirs", *SKETCH), "near-tokens")
+    carried = ["cid", "label", "n", "d", "i", *SKETCH]
+    a = ranked.where(F.col("stray") & (F.col("i") <= d - F.col("mine"))).select(
+        *key, "token", *[F.col(c).alias("a_" + c) for c in carried])
+    b = ranked.where(F.col("i") <= d - F.col("theirs")).select(
+        *key, "token", *[F.col(c).alias("b_" + c) for c in carried], "stray")
+    room = F.least(F.col("a_d") - F.col("a_i"), F.col("b_d") - F.col("b_i"))
+    return (a.join(b, [*key, "token"])
+            .where((F.col("a_label") != F.col("b_label")) & (~F.col("stray") | (F.col("a_cid") < F.col("b_cid")))
+                   & (room * (2 * more) >= (F.col("a_d") + F.col("b_d")) * more - (F.col("a_n") + F.col("b_n")) * less)
+                   & alike("a_", "b_"))
+            .select(F.col("a_cid").alias("a"), F.col("b_cid").alias("b")))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(id, label): least id reachable, for every id of ``edges`` (a, b), by
     large-star and small-star steps on stored edge tables until they stay."""
@@ -244,16 +313,28 @@ def link(df: DataFrame, width: int = WIDTH, percent: int = 80, recall: float = R
         links = links.unionByName(more)
         label = components(links)
 
-    # every pair across components, written as (a class outside the node's
-    # largest component, any other)
-    strays = open_rows.where(F.col("label") != F.col("major")).select(
-        "node", *[F.col(c).alias("a_" + c) for c in known.columns], F.col("label").alias("a_label"))
-    others = open_rows.select("node", "major", "label", *[F.col(c).alias("b_" + c) for c in known.columns])
-    across = (strays.join(others, "node")
+    # every pair across components, nodes with one largest component taken together
+    groups = stored(open_rows.select(F.col("major").alias("g"), "label", *known.columns).distinct(), "near-groups")
+    size = groups.groupBy("g").agg(F.count(F.lit(1)).alias("c"))
+    small = groups.join(size.where(F.col("c") <= FEW), "g").drop("c")
+    large = groups.join(size.where(F.col("c") > FEW), "g").drop("c")
+    # written as (a class outside the largest component, any other)
+    strays = small.where(F.col("label") != F.col("g")).select(
+        "g", *[F.col(c).alias("a_" + c) for c in known.columns], F.col("label").alias("a_label"))
+    others = small.select("g", "label", *[F.col(c).alias("b_" + c) for c in known.columns])
+    across = (strays.join(others, "g")
               .where((F.col("label") != F.col("a_label")) & alike("a_", "b_")
-                     & ((F.col("label") == F.col("major")) | (F.col("a_cid") < F.col("b_cid"))))
-              .select(F.col("a_cid").alias("a"), F.col("b_cid").alias("b")).distinct())
-    second = _confirmed(across, sets, percent)
+                     & ((F.col("label") == F.col("g")) | (F.col("a_cid") < F.col("b_cid"))))
+              .select(F.col("a_cid").alias("a"), F.col("b_cid").alias("b")))
+    # hub: the class of the largest component that most others are linked to
+    central = (links.groupBy(F.col("b").alias("id")).agg(F.count(F.lit(1)).alias("c")).join(label, "id")
+               .groupBy(F.col("label").alias("g")).agg(F.max(F.struct("c", "id")).alias("most")))
+    hubs = (size.where(F.col("c") > FEW).select("g").join(central, "g", "left")
+            .select("g", F.coalesce("most.id", "g").alias("hub")))
+    apart = stored(_by_hub(large, hubs, sets, percent), "near-apart")
+    met = apart.where(F.col("on") & (F.col("cid") != F.col("hub"))).select(F.col("cid").alias("a"), F.col("hub").alias("b")).distinct()
+    across = across.unionByName(_by_tokens(apart, percent, alike)).distinct()
+    second = _confirmed(across, sets, percent).unionByName(met)
     # rows that share a doc_id are one document
     of_row = named.join(classes.select("n", "ha", "hb", "cid"), ["n", "ha", "hb"]).select("doc_id", "cid")
     several = of_row.groupBy("doc_id").agg(F.min("cid").alias("a"), F.max("cid").alias("most")).where("a != most")

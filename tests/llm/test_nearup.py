@@ -1,5 +1,6 @@
 """Near duplicates against brute force, and the edge cases."""
 
+from collections import Counter
 from itertools import combinations
 
 import numpy as np
@@ -92,3 +93,48 @@ def test_rows_of_one_id_with_different_texts(spark, swap):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r[0]: r[2] for r in nearup.link(df, width=2).collect()}
     assert got == {5: 5, 7: 5, 8: 5, 9: 6, 6: 6, 4: 4}
+
+
+def copies_around_the_threshold(families=1, of=400):
+    """Copies of a text with a tenth of the words replaced, and some families of them
+    that agree with each other: many are linked to no other copy."""
+    rng = np.random.default_rng(3)
+    rows = []
+    for f in range(families):
+        base = [f"b{f}x{i}" for i in range(150)]
+        for k in range(of):
+            words = list(base)
+            for i in rng.choice(150, rng.integers(1, 16), replace=False):
+                words[i] = f"w{rng.integers(0, 500)}"
+            rows.append((f * 10_000 + 10 * k, " ".join(words)))
+            if k % 40 == 0:  # a closer copy of this copy
+                words[rng.integers(0, 150)] = "other"
+                rows.append((f * 10_000 + 10 * k + 1, " ".join(words)))
+    return rows
+
+
+def test_copies_outside_their_group_are_not_paired_with_all(spark, monkeypatch):
+    rows = copies_around_the_threshold()
+    confirmed, seen = nearup._confirmed, []
+
+    def counted(pairs, sets, percent):
+        seen.append(pairs.count())
+        return confirmed(pairs, sets, percent)
+
+    monkeypatch.setattr(nearup, "_confirmed", counted)
+    got = result(nearup.link(spark.createDataFrame(rows, "doc_id long, text string"), width=2))
+    want = brute(rows)
+    assert got == want
+    largest = max(Counter(root for _, root, _ in want.values()).values())
+    alone = len(want) - largest
+    print("alone", alone, "pairs", seen)
+    assert alone > 20 and seen[-1] * 5 < alone * len(rows)
+
+
+@pytest.mark.parametrize("percent", [80, 45])
+def test_large_groups_lose_no_link(spark, monkeypatch, percent):
+    """Every group is compared by tokens."""
+    monkeypatch.setattr(nearup, "FEW", 1)
+    rows = copies_around_the_threshold(3, 60) + [(90_000 + i, " ".join(f"w{(i * j) % 90}" for j in range(40))) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert result(nearup.link(df, width=2, percent=percent)) == brute(rows, percent=percent)
