@@ -197,30 +197,31 @@ def _by_tokens(apart: DataFrame, percent: int, alike) -> DataFrame:
     So both hold one of these among the rarest ``d - least + 1`` of their items, and
     beyond the first of them there must be room for the others."""
     less, more = 100 - percent, 100 + percent
-    key = ["g", "far"]
-    token = apart.withColumn("token", F.explode("items")).drop("items")
-    often = token.groupBy(*key, "token").agg(F.count(F.lit(1)).alias("c"))
-    place = F.row_number().over(Window.partitionBy(*key, "cid").orderBy("c", "token")) - 1
+    key = ["g", "far", "token"]
     n, d, nh = F.col("n"), F.col("d"), F.col("nh")
-    # items in common with any class that is linked and fits in size
-    whole = F.ceil(n * percent / 100)
-    sized = F.ceil(d - n * less / percent)
-    ranked = stored(
-        token.join(often, [*key, "token"]).withColumn("i", place).where("c > 1")
-        .withColumns({"stray": ~F.col("on") & (F.col("label") != F.col("g")),
-                      "mine": F.when(F.col("far"), whole).otherwise(
-                          F.greatest(F.lit(1), sized, F.ceil((d * more - (n + nh) * less) / (2 * more)))),
-                      "theirs": F.when(F.col("far"), whole).otherwise(
-                          F.greatest(F.lit(1), sized, F.ceil((d * more - (n - nh) * less) / (2 * more))))})
-        .where((F.col("i") <= d - F.col("theirs")) | (F.col("stray") & (F.col("i") <= d - F.col("mine"))))
-        .select(*key, "token", "cid", "label", "n", "d", "i", "stray", "mine", "theirs", *SKETCH), "near-tokens")
+    stray = ~F.col("on") & (F.col("label") != F.col("g"))
+
+    def rarest(sign: int):
+        """Items to look at, the other class being any (1) or one not linked to the hub (-1)."""
+        least = F.greatest(F.lit(1), F.ceil(d - n * less / percent),
+                           F.ceil((d * more - (n + nh * sign) * less) / (2 * more)))
+        return (d - F.when(F.col("far"), F.ceil(n * percent / 100)).otherwise(least) + 1).cast("int")
+
+    apart = apart.withColumns({"stray": stray, "mine": F.when(stray, rarest(1)).otherwise(0), "theirs": rarest(-1)})
+    token = apart.select("g", "far", "cid", F.col("d").cast("int").alias("d"), F.greatest("mine", "theirs").alias("first"),
+                         F.explode("items").alias("token"))
+    # items that no other class of the group has come first and meet nothing
+    often = token.groupBy(*key).agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    member = Window.partitionBy("g", "far", "cid")
+    place = F.col("d") - F.count(F.lit(1)).over(member) + F.row_number().over(member.orderBy("c", "token")) - 1
+    ranked = (token.join(often, key).withColumn("i", place).where("i < first").select(*key, "cid", "i")
+              .join(apart.drop("items", "on", "hub", "nh"), ["g", "far", "cid"]))
+    ranked = stored(ranked, "near-tokens")
     carried = ["cid", "label", "n", "d", "i", *SKETCH]
-    a = ranked.where(F.col("stray") & (F.col("i") <= d - F.col("mine"))).select(
-        *key, "token", *[F.col(c).alias("a_" + c) for c in carried])
-    b = ranked.where(F.col("i") <= d - F.col("theirs")).select(
-        *key, "token", *[F.col(c).alias("b_" + c) for c in carried], "stray")
+    a = ranked.where("stray and i < mine").select(*key, *[F.col(c).alias("a_" + c) for c in carried])
+    b = ranked.where("i < theirs").select(*key, *[F.col(c).alias("b_" + c) for c in carried], "stray")
     room = F.least(F.col("a_d") - F.col("a_i"), F.col("b_d") - F.col("b_i"))
-    return (a.join(b, [*key, "token"])
+    return (a.join(b, key)
             .where((F.col("a_label") != F.col("b_label")) & (~F.col("stray") | (F.col("a_cid") < F.col("b_cid")))
                    & (room * (2 * more) >= (F.col("a_d") + F.col("b_d")) * more - (F.col("a_n") + F.col("b_n")) * less)
                    & alike("a_", "b_"))
