@@ -9,8 +9,8 @@ with the logarithm of the corpus) nodes hold few but true neighbours.
 Independent trees repeat this until the target recall at the threshold is met.
 
 Node contents are compared in rounds.  First each class with the pivot
-(least class) of its nodes; links join classes to components.  Next, in turns,
-each class outside its node's largest component with a few members of that one.
+(least class) of its nodes; links join classes to components.  Next each class
+outside its node's largest component with a few members of that one.
 Then every pair of classes in a node whose components still differ is
 compared: pairs inside one component could only repeat a known connection, so
 a node full of copies costs no square.  Nodes with the same largest component
@@ -51,9 +51,10 @@ DIFFERENT = 0.41
 SKETCHED = 24
 SKETCH = ["l0", "l1", "l2"]
 # Members of a node's largest component that the other classes are compared with
-# in a turn, and turns before all pairs across components.
+# in a turn, and turns before all pairs across components (a second one linked few
+# and cost a pass over the sets).
 PIVOTS = 4
-TURNS = 2
+TURNS = 1
 # Classes of a group up to which they are compared pair by pair, and tasks that a
 # large group's classes are dealt over when they meet their hub.
 FEW = 16
@@ -211,10 +212,10 @@ def _by_tokens(apart: DataFrame, percent: int, alike) -> DataFrame:
     token = apart.select("g", "far", "cid", F.col("d").cast("int").alias("d"), F.greatest("mine", "theirs").alias("first"),
                          F.explode("items").alias("token"))
     # items that no other class of the group has come first and meet nothing
-    often = token.groupBy(*key).agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    often = F.count(F.lit(1)).over(Window.partitionBy(*key))
     member = Window.partitionBy("g", "far", "cid")
     place = F.col("d") - F.count(F.lit(1)).over(member) + F.row_number().over(member.orderBy("c", "token")) - 1
-    ranked = (token.join(often, key).withColumn("i", place).where("i < first").select(*key, "cid", "i")
+    ranked = (token.withColumn("c", often).where("c > 1").withColumn("i", place).where("i < first").select(*key, "cid", "i")
               .join(apart.drop("items", "on", "hub", "nh"), ["g", "far", "cid"]))
     ranked = stored(ranked, "near-tokens")
     carried = ["cid", "label", "n", "d", "i", *SKETCH]
@@ -228,29 +229,33 @@ def _by_tokens(apart: DataFrame, percent: int, alike) -> DataFrame:
             .select(F.col("a_cid").alias("a"), F.col("b_cid").alias("b")))
 
 
+def _starred(e: DataFrame) -> bool:
+    """Whether ``e`` (u, v, u > v) holds stars around least members only."""
+    ends = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    odd = ends.groupBy("u").agg(F.min("v").alias("least"), F.max("v").alias("most")).where("least < u and least != most")
+    return odd.agg(F.count(F.lit(1))).first()[0] == 0
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(id, label): least id reachable, for every id of ``edges`` (a, b), by
-    large-star and small-star steps on stored edge tables until they stay."""
-    e = edges.where(F.col("a") != F.col("b"))
-    e = stored(e.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "near-edges")
-    before = None
-    while True:
+    large-star and small-star steps on stored edge tables until stars are left."""
+    e = stored(edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")), "near-edges")
+    # copies of an edge are dropped where its ends meet, so a step shuffles once
+    least = F.min("v").over(Window.partitionBy("u")).alias("least")
+    while not _starred(e):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        e = (both.join(least, "u").where(F.col("v") > F.col("u"))
-             .select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
-        least = e.groupBy("u").agg(F.min("v").alias("m"))
-        e = (e.join(least, "u").where(F.col("v") != F.col("m"))
-             .select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(
-                 least.select("u", F.col("m").alias("v")))
-             .where(F.col("u") != F.col("v")).distinct())
+        large = both.select("u", "v", least).distinct().where("v > u")
+        e = large.select(F.col("v").alias("u"), F.least("u", "least").alias("v"))
+        small = e.select("u", "v", least).distinct()
+        e = small.select(F.when(F.col("v") == F.col("least"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("least").alias("v"))
         e = stored(e, "near-edges")
-        now = e.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.pmod(F.xxhash64("v", "u"), F.lit(1 << 30)))).first()
-        if now == before:
-            break
-        before = now
     return e.select(F.col("u").alias("id"), F.col("v").alias("label")).unionByName(
-        e.select(F.col("v").alias("id"), F.col("v").alias("label")).distinct())
+        e.select(F.col("v").alias("id"), F.col("v").alias("label"))).distinct()
+
+
+def _as_edges(label: DataFrame) -> DataFrame:
+    """Components found so far (id, label) as edges."""
+    return label.select(F.col("id").alias("a"), F.col("label").alias("b"))
 
 
 def link(df: DataFrame, width: int = WIDTH, percent: int = 80, recall: float = RECALL,
@@ -288,8 +293,6 @@ def link(df: DataFrame, width: int = WIDTH, percent: int = 80, recall: float = R
             .groupBy("a_cid").agg(F.min(F.struct(_different("a_", "b_").alias("d"), F.col("b_cid").alias("b"))).alias("best"))
             .select(F.col("a_cid").alias("a"), F.col("best.b").alias("b")))
     first = stored(_confirmed(star, sets, percent), "near-links")
-    label = components(first)
-
     links, label = first, components(first)
     for turn in range(TURNS + 1):
         # nodes whose classes aren't connected yet
@@ -312,7 +315,7 @@ def link(df: DataFrame, width: int = WIDTH, percent: int = 80, recall: float = R
                 .select(F.col("a_cid").alias("a"), F.col("best.b").alias("b")))
         more = stored(_confirmed(best, sets, percent), "near-links")
         links = links.unionByName(more)
-        label = components(links)
+        label = components(_as_edges(label).unionByName(more))
 
     # every pair across components, nodes with one largest component taken together
     groups = stored(open_rows.select(F.col("major").alias("g"), "label", *known.columns).distinct(), "near-groups")
@@ -340,7 +343,7 @@ def link(df: DataFrame, width: int = WIDTH, percent: int = 80, recall: float = R
     of_row = named.join(classes.select("n", "ha", "hb", "cid"), ["n", "ha", "hb"]).select("doc_id", "cid")
     several = of_row.groupBy("doc_id").agg(F.min("cid").alias("a"), F.max("cid").alias("most")).where("a != most")
     same = of_row.join(several, "doc_id").where("cid != a").select("a", F.col("cid").alias("b")).distinct()
-    label = components(links.unionByName(second).unionByName(same))
+    label = components(_as_edges(label).unionByName(second).unionByName(same))
     labelled = stored(classes.select("n", "ha", "hb", "rep", "cid").join(label, F.col("cid") == F.col("id"), "left")
                       .select("n", "ha", "hb", "rep", F.coalesce("label", "cid").alias("label")), "near-labels")
     least = labelled.groupBy("label").agg(F.min("rep").alias("component"))

@@ -138,3 +138,57 @@ def test_large_groups_lose_no_link(spark, monkeypatch, percent):
     rows = copies_around_the_threshold(3, 60) + [(90_000 + i, " ".join(f"w{(i * j) % 90}" for j in range(40))) for i in range(40)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert result(nearup.link(df, width=2, percent=percent)) == brute(rows, percent=percent)
+
+
+def test_stars_are_left_alone_and_steps_are_few(spark, monkeypatch):
+    """Edges that are stars already take no step; copies of edges change nothing."""
+    stored, written = nearup.stored, []
+
+    def counted(df, name):
+        written.append(name)
+        return stored(df, name)
+
+    monkeypatch.setattr(nearup, "stored", counted)
+
+    def labels(edges):
+        return sorted(map(tuple, nearup.components(spark.createDataFrame(edges, "a long, b long")).collect()))
+
+    assert labels([(i, i % 3) for i in range(3, 60)] * 2 + [(7, 7)]) == [(i, i % 3) for i in range(60)]
+    assert len(written) == 1
+    rng = np.random.default_rng(5)
+    edges = [(int(a), int(b)) for a, b in rng.integers(0, 300, (170, 2))] + [(i, i + 1) for i in range(400, 440)]
+    up = {x: x for e in edges for x in e if e[0] != e[1]}
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a, b in edges:
+        if a != b:
+            x, y = sorted((root(a), root(b)))
+            up[y] = x
+    assert labels(edges) == sorted((x, root(x)) for x in up)
+    assert labels([]) == []
+
+
+def test_token_rows_get_their_counts_without_a_join(spark, monkeypatch):
+    by_tokens, plans = nearup._by_tokens, []
+
+    def planned(*args):
+        pairs = by_tokens(*args)
+        plans.append(pairs._jdf.queryExecution().optimizedPlan().toString())
+        return pairs
+
+    joins = []
+    stored = nearup.stored
+
+    def seen(df, name):
+        if name == "near-tokens":
+            joins.append(df._jdf.queryExecution().optimizedPlan().toString().count("Join "))
+        return stored(df, name)
+
+    monkeypatch.setattr(nearup, "_by_tokens", planned)
+    monkeypatch.setattr(nearup, "stored", seen)
+    nearup.link(spark.createDataFrame(copies_around_the_threshold(1, 60), "doc_id long, text string"), width=2).collect()
+    assert joins == [1] and plans[0].count("Join ") == 1
