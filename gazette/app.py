@@ -256,7 +256,7 @@ def deliver(spark: SparkSession, root: str, all_langs: bool = False, by_message_
     # keys already delivered are dropped by the appends
     items = deliver_op.deliverable(fresh, articles(spark, root), all_langs,
                                    message_media(spark, root) if by_message_media else None).checkpoint(eager=True)
-    deliveries.append(items, um, _p(root, "user_article"))
+    deliveries.append(items, um, _p(root, "user_article"), by_media=True)
     timelines.append_fanout(timelines.rows_of(items, articles(spark, root)), um, _p(root, "timeline"))
     # last: a run that failed before is repeated whole, and adds what is missing
     sinks.append_new(fresh, _p(root, "ready"), ["article_id", "lang"])

@@ -115,3 +115,35 @@ def test_large_append_gives_each_delivery_once(spark):
     least = {i: min((m is not None, m or 0, t) for j, m, t in rows[1] if j == i) for i, *_ in rows[1] if i is not None}
     for r in spark.read.parquet(dated).collect():
         assert (r.media_id is not None, r.media_id or 0, r.s3_prefix) == least[r.article_id]
+
+
+def test_media_leaves_the_folders_of_others_alone(spark):
+    """Deliveries of a large and of a small append lie by media too, so that deleting a
+    media rewrites its folders only; a table without such folders goes on without."""
+    from gazette.session import scratch_path
+    from gazette.sources import deletes, deliveries, sinks
+
+    media = spark.range(12).select(F.col("id").alias("media_id"))
+    um = spark.range(40).crossJoin(media).select(F.col("id").alias("user_id"), "media_id", F.lit("en").alias("lang"))
+    article = spark.range(240).select("id", (F.col("id") % 12).alias("media_id"))
+    ready = article.select(F.col("id").alias("article_id"), F.lit("en").alias("lang"))
+    path, old = scratch_path(spark, "by-media"), scratch_path(spark, "by-user")
+    first, second = (deliver.deliverable(ready.where(x), article) for x in ("article_id < 180", "article_id >= 180"))
+    for at, large in ((path, True), (old, False)):
+        assert deliveries.append(first, um, at, buckets=2, compared=0, by_media=large) == 180 * 40
+        assert deliveries.append(second, um, at, buckets=2, by_media=True) == 60 * 40
+        assert deliveries.append(first, um, at, buckets=2, by_media=True) == 0
+    assert sinks.has_folders(spark, path, "_media") and not sinks.has_folders(spark, old, "_media")
+    schema = "user_id long, article_id long, _bucket int"
+    gone = article.where("media_id = 3").select(F.col("id").alias("article_id"))
+    lying = lambda: {r.f for r in spark.read.parquet(path).select(F.input_file_name().alias("f")).distinct().collect()}
+    own = sinks.bucket_of(F.lit(3).cast("long"), deliveries.MEDIA_FOLDERS)
+    k = spark.range(1).select(own.alias("k")).first().k
+    before = lying()
+    for at, more in ((path, ["_media"]), (old, [])):
+        table = schema + "".join(f", {c} int" for c in more)
+        assert deletes.delete_rows(spark, at, table, gone, ["article_id"], ["_bucket", *more]) == 20 * 40
+        left = {tuple(r) for r in spark.read.parquet(at).select("user_id", "article_id").collect()}
+        assert left == {(u, a) for u in range(40) for a in range(240) if a % 12 != 3}
+    others = {f for f in before if f"_media={k}/" not in f}
+    assert others and others <= lying() and not (before - others) & lying()
