@@ -117,6 +117,13 @@ def test_large_append_gives_each_delivery_once(spark):
         assert (r.media_id is not None, r.media_id or 0, r.s3_prefix) == least[r.article_id]
 
 
+def size(path):
+    import glob
+    import os
+
+    return sum(os.path.getsize(f) for f in glob.glob(path.replace("file:", "") + "/**/*.parquet", recursive=True))
+
+
 def test_media_leaves_the_folders_of_others_alone(spark):
     """Deliveries of a large and of a small append lie by media too, so that deleting a
     media rewrites its folders only; a table without such folders goes on without."""
@@ -147,3 +154,23 @@ def test_media_leaves_the_folders_of_others_alone(spark):
         assert left == {(u, a) for u in range(40) for a in range(240) if a % 12 != 3}
     others = {f for f in before if f"_media={k}/" not in f}
     assert others and others <= lying() and not (before - others) & lying()
+
+
+@pytest.mark.parametrize("ordered", [False, True])
+def test_stored_fanout_is_small(spark, ordered):
+    """A large append takes far less than a byte a row, whatever it holds of an
+    article, and lies by user (or by article) in the files without a sort of its rows."""
+    from gazette.session import scratch_path
+    from gazette.sources import deliveries
+
+    um = spark.range(1500).select((F.col("id") * 7919).alias("user_id"), F.lit(1).cast("long").alias("media_id"), F.lit("en").alias("lang"))
+    items = spark.range(800).select((F.col("id") * 104729).alias("article_id"), F.lit(1).cast("long").alias("to_media"), F.lit("en").alias("to_lang"),
+                                    F.sha2(F.col("id").cast("string"), 256).alias("s3_prefix"))
+    path = scratch_path(spark, "small")
+    order = [F.col("article_id").desc()] if ordered else None
+    assert deliveries.append(items, um, path, order, buckets=4, compared=0) == 1500 * 800
+    assert size(path) < 1500 * 800 / 2
+    for name in {r.f for r in spark.read.parquet(path).select(F.input_file_name().alias("f")).distinct().collect()}:
+        rows = [tuple(r) for r in spark.read.parquet(name).select("user_id", "article_id").collect()]
+        keys = [(u, -a) for u, a in rows] if ordered else [(a, u) for u, a in rows]
+        assert keys == sorted(keys)
