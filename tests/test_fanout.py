@@ -174,3 +174,21 @@ def test_stored_fanout_is_small(spark, ordered):
         rows = [tuple(r) for r in spark.read.parquet(name).select("user_id", "article_id").collect()]
         keys = [(u, -a) for u, a in rows] if ordered else [(a, u) for u, a in rows]
         assert keys == sorted(keys)
+
+
+def test_written_fanout_is_small(spark):
+    """A channel of many items and subscribers: rows come by item, with few subscribers
+    at a time, so that files repeat them at a small part of a byte a row."""
+    from gazette.session import scratch_path
+    from gazette.sources import sinks
+
+    m, lang = F.lit(1).cast("long").alias("to_media"), F.lit("en").alias("to_lang")
+    items = spark.range(3001).select((F.col("id") * 17 + 3).alias("article_id"), m, lang)
+    subs = spark.range(701).select((F.col("id") * 53 + 1).alias("user_id"), m, lang)
+    rows, n = deliver.fan_out(items, subs).select("user_id", "article_id"), 3001 * 701
+    plain, table = scratch_path(spark, "plain"), scratch_path(spark, "user_article")
+    rows.write.parquet(plain)
+    stored = spark.read.parquet(plain)
+    assert stored.count() == n == stored.distinct().count() and size(plain) < 0.7 * n
+    sinks.write_table(rows, "user_article", table)
+    assert sinks.read_table(spark, "user_article", table).count() == n and size(table) < 0.1 * n
